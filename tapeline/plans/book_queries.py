@@ -10,12 +10,13 @@ from tapeline.plans import views
 from tapeline.plans.catalog import query
 from tapeline.plans.sqlviews import sql
 
-LO, HI = 0.45, 0.6
+# Off every mean a minute of cent prices can have, so the edges never depend on rounding.
+LO, HI = 0.45037, 0.60037
 ANCHOR = views.TAPE_T0
 BREAKS, LABELS = [15.0, 30.0, 50.0], ["before", "first", "second", "after"]
 
-BAND = ("CASE WHEN {m} > -0.01 AND {m} <= 0.45 THEN '<0.45' WHEN {m} > 0.45 AND {m} <= 0.6 THEN '0.45-0.6' "
-        "WHEN {m} > 0.6 AND {m} <= 1.01 THEN '>0.6' END")
+BAND = ("CASE WHEN {m} > -0.01 AND {m} <= 0.45037 THEN '<0.45037' WHEN {m} > 0.45037 AND {m} <= 0.60037 "
+        "THEN '0.45037-0.60037' WHEN {m} > 0.60037 AND {m} <= 1.01 THEN '>0.60037' END")
 CLASSIFIED = """
     SELECT *, CASE WHEN db <= 0 AND da <= 0 THEN 'EMPTY_BOTH' WHEN da <= 0 THEN 'EMPTY_ASK'
                    WHEN db <= 0 THEN 'EMPTY_BID' WHEN yes_bid >= yes_ask THEN 'CROSSED' ELSE 'VALID' END AS state,
@@ -116,10 +117,9 @@ def state_seconds(spark, sf_dir):
     SELECT state_majority, invalid, count(*) AS n
     FROM (SELECT *, lag(mid) OVER (PARTITION BY ticker ORDER BY minute_ts) AS prev_mid,
                  state_majority IN ('CROSSED', 'EMPTY_ASK', 'EMPTY_BOTH') AS invalid FROM mins)
-    WHERE minute_ts >= 1700000600 AND minute_ts < 1700003600 AND prev_mid BETWEEN 0.45 AND 0.6
+    WHERE minute_ts >= 1700000600 AND minute_ts < 1700003600 AND prev_mid BETWEEN 0.45037 AND 0.60037
     GROUP BY ALL""", "ticks", **MINUTE_CTES))
 def gated_invalid(spark, sf_dir):
-    # The mid is rounded to the grid it is compared on, so both engines see the same band edge.
     return book.gated(_minutes(spark, sf_dir), ANCHOR + 600, ANCHOR + 3600, LO, HI).groupBy(
         "state_majority", "invalid").agg(F.count("*").alias("n"))
 
@@ -131,11 +131,11 @@ _Q = "[0.25, 0.5, 0.75, 0.9]"
     SELECT band, k, round(spread_c[k], 6) AS spread_c, round(bid_d[k], 6) AS depth_bid, round(ask_d[k], 6) AS depth_ask
     FROM (SELECT {BAND.format(m='mid_tick')} AS band, quantile_cont(spread * 100, {_Q}) AS spread_c,
                  quantile_cont(db, {_Q}) AS bid_d, quantile_cont(da, {_Q}) AS ask_d
-          FROM classified WHERE state = 'VALID' GROUP BY 1), (SELECT unnest(range(1, 5)) AS k)""", "ticks",
+          FROM classified WHERE state = 'VALID' GROUP BY 1), (SELECT unnest(range(1, 5)) AS k) WHERE band IS NOT NULL""", "ticks",
     classified=CLASSIFIED))
 def spread_quantiles(spark, sf_dir):
     valid = _classified(spark, sf_dir).filter(F.col("state") == "VALID").withColumn(
-        "band", price_band(F.col("mid_tick"), LO, HI))
+        "band", price_band(F.col("mid_tick"), LO, HI)).filter(F.col("band").isNotNull())
     q = book.quantiles(valid, {"spread_c": F.col("spread") * 100, "depth_bid": F.col("depth_bid_eff"),
                                "depth_ask": F.col("depth_ask_eff")}, ["band"])
     return q.select("band", F.posexplode(F.arrays_zip("spread_c", "depth_bid", "depth_ask"))).select(
