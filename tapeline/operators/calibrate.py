@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.prices import clip, logit, sigmoid
+from tapeline.operators.joins import join_small
 from tapeline.operators.ordered import Ordering, last_known, running_sum
 
 CLIP = 1e-3
 SCORE_BINS = 4096
 TIES_PER_CHUNK = 1 << 16
-LOOKUP_SALTS = 16
 
 
 def time_split(df: DataFrame, ts: str, tie: list[str], train_frac: float = 0.6) -> DataFrame:
@@ -62,13 +62,6 @@ def score_rank(df: DataFrame, score: str, tie: str) -> DataFrame:
             .drop("_bin", "_chunk", "_in", "_before"))
 
 
-def _lookup(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """Inner join of rows with one value row per key, a shared key spread over salts."""
-    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    salted = rows.withColumn("_salt", (F.rand(7) * LOOKUP_SALTS).cast("int"))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def isotonic_curve(train: DataFrame, score: str, outcome: str, tie: str) -> DataFrame:
     """Fitted value per distinct train score (M2).
 
@@ -118,7 +111,7 @@ def calibrate(df: DataFrame, score: str, outcome: str, split: str, tie: str,
         return df.withColumn("p_cal", clip(raw, eps, 1.0 - eps))
     rows = df.withColumn("x", clip(F.col(score), 0.0, 1.0))
     fitted = interpolate(rows.select("x").distinct(), isotonic_curve(train, score, outcome, tie))
-    return (_lookup(rows, fitted, "x")
+    return (join_small(rows, fitted, ["x"], [tie])
             .withColumn("p_cal", clip(F.col("yhat"), eps, 1.0 - eps)).drop("x", "yhat"))
 
 

@@ -29,6 +29,19 @@ def _salted(points: DataFrame, bars: DataFrame, condition: Column, salts: int) -
     return salted.join(spread, ["ticker", "_salt"]).filter(condition)
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str],
+               salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join a large side to a small keyed one when a key may hold much of the large side.
+
+    The large side is spread over salts taken from ``spread_by`` (stable under recomputation),
+    the small side is copied per salt. If statistics show the small side fits, Spark broadcasts
+    it and the copies cost nothing.
+    """
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def latest_bar(points: DataFrame, bars: DataFrame, values: Iterable[str], max_age_s: float,
                salts: int = SALTS) -> DataFrame:
     """Last bar at or before each point's ``decision_ts``, if it is young enough.

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; all are runtime SQL settings, so they also apply to a session
 # somebody else built.
@@ -50,3 +50,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoint")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For small results that several branches of one plan read: they are computed once, the plan
+    is cut, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
