@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKET_ZONE = "America/New_York"
@@ -54,20 +54,17 @@ def long_date_to_seconds(text: Column) -> Column:
     return F.when(month != "", F.unix_seconds(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd"))))
 
 
-def month_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """Months ``start..end`` (``yyyy-mm``, inclusive) with their bounds as digits."""
-    first = F.to_date(F.lit(f"{start}-01"))
-    last = F.to_date(F.lit(f"{end}-01"))
+def month_spine(bounds: DataFrame) -> DataFrame:
+    """Months ``start_month..end_month`` (``yyyy-mm``, inclusive) of each row, with their bounds as
+    digits (X20)."""
+    first = F.to_date(F.concat("start_month", F.lit("-01")))
+    last = F.to_date(F.concat("end_month", F.lit("-01")))
     months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month")))
-    return (
-        spark.range(1)
-        .select(F.explode(months).alias("m"))
-        .select(
-            F.year("m").cast("bigint").alias("year"),
-            F.month("m").cast("bigint").alias("month"),
-            F.date_format("m", "yyyyMMddHHmmss").alias("start_digits"),
-            F.date_format(F.add_months("m", 1), "yyyyMMddHHmmss").alias("end_digits"),
-        )
+    return bounds.select(F.explode(months).alias("m")).select(
+        F.year("m").cast("bigint").alias("year"),
+        F.month("m").cast("bigint").alias("month"),
+        F.date_format("m", "yyyyMMddHHmmss").alias("start_digits"),
+        F.date_format(F.add_months("m", 1), "yyyyMMddHHmmss").alias("end_digits"),
     )
 
 

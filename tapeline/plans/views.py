@@ -177,3 +177,54 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(
         "doc_id", (F.col("n_chars") % 97 / 96.0).alias("p_raw"), F.col("quality").alias("y"),
         F.col("doc_id").alias("ts"))
+
+
+# --- market records -------------------------------------------------------------------------------
+
+SERIES = ("KXNFLMENTION", "KXEARNINGSMENTION", "KXDWTS", "KXFTN", "KXTALK", "KXSNL")
+TITLES = ("Game Mention", "Acme Earnings Call", "Dancing: mention", "Face the Nation - Mention", "Town Hall Mention", "")
+
+
+def _pick(values: tuple[str, ...], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market and event records as JSON text, some sighted twice, a few of them parlay legs."""
+    n = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    k, name = F.col("p_partkey"), F.col("p_name")
+    part = table(spark, sf_dir, "part").withColumn("s_suppkey", k % n)
+    rows = part.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    s = F.col("s_name")
+    rules = (
+        F.when(k % 7 == 0, F.concat(F.lit("If "), s, F.lit(" says "), name, F.lit(" as part of "), F.col("p_type"), F.lit(" remarks., then the market resolves to Yes.")))
+        .when(k % 7 == 1, F.concat(F.lit("If "), name, F.lit(" is said by any "), s, F.lit(" representative (including the operator)\n during the next "), s, F.lit(" earnings call, then the market resolves to Yes.")))
+        .when(k % 7 == 2, F.concat(F.lit("If "), name, F.lit(", or a plural or possessive form of the word, is stated by "), s, F.lit(" before  Jan 5., then the market resolves to Yes.")))
+        .when(k % 7 == 3, F.concat(F.lit("If "), s, F.lit(" speaks for 30 minutes at "), F.col("p_type"), F.lit(", then the market resolves to Yes.")))
+        .when(k % 7 == 4, F.concat(F.lit("If any person or "), s, F.lit(" mentions the topic of "), name, F.lit(" most as part of "), F.col("p_type"), F.lit(", then the market resolves to Yes.")))
+        .when(k % 7 == 5, "If a qualifying event does not occur, then the market resolves to Yes.")
+        .otherwise(F.concat(F.lit("Resolved by "), s, F.lit("."))))
+    label = (F.when(k % 5 == 0, name).when(k % 5 == 1, "Oil / Gas").when(k % 5 == 2, "Afford / Affordable")
+             .when(k % 5 == 3, F.concat(name, F.lit(" (3+ times)"))).otherwise(""))
+    second = (F.when(k % 3 == 0, "Video of the event is primarily used.").when(k % 3 == 1, "Plural or possessive forms count: a plural or possessive form.")
+              .otherwise(F.lit(None).cast("string")))
+    day = F.lpad((k % 28 + 1).cast("string"), 2, "0")
+    iso = F.concat(F.lit("2024-02-"), day, F.lit("T10:00:00Z"))
+    market = F.struct(
+        F.concat(_pick(SERIES, k % 6), F.lit("-24FEB"), day, F.lit("-"), k.cast("string")).alias("ticker"), label.alias("yes_sub_title"), rules.alias("rules_primary"),
+        second.alias("rules_secondary"), F.when(k % 9 != 0, F.concat(F.lit("2024-01-"), day, F.lit("T00:00:00+00:00"))).alias("open_time"),
+        F.when(k % 11 == 0, "soon").otherwise(iso).alias("close_time"), F.when(k % 4 != 0, iso).alias("occurrence_datetime"),
+        F.concat(F.lit("2024-03-"), day).alias("expiration_time"), F.concat(F.lit("2024-03-"), day, F.lit("T00:00:00Z")).alias("expected_expiration_time"),
+        F.when(k % 3 == 0, "yes").when(k % 3 == 1, "no").otherwise("").alias("result"),
+        F.when(k % 8 == 0, "n/a").otherwise((k * 3).cast("string")).alias("volume_fp"), (k % 100).cast("string").alias("open_interest_fp"),
+        F.when(k % 13 == 0, "MVE1").alias("mve_collection_ticker"), (k % 2 == 0).alias("can_close_early"))
+    sources = F.transform(F.slice(F.array(*[F.lit(i) for i in range(6)]), 1, (k % 6).cast("int")),
+                          lambda i: F.struct(F.when(i == 2, " ").otherwise(F.concat(F.lit("Outlet "), i.cast("string"))).alias("name")))
+    event = F.struct(
+        F.concat(_pick(SERIES, k % 6), F.lit("-24FEB"), day).alias("event_ticker"), F.when(k % 10 != 0, _pick(SERIES, k % 6)).alias("series_ticker"),
+        _pick(TITLES, k % 6).alias("series_title"), F.lit("State of Play special").alias("title"), sources.alias("settlement_sources"))
+    # closed sightings repeat part of the open ones
+    seen = F.filter(F.array(F.lit(0), F.lit(1)), lambda i: (i == 0) | (k % 4 == 0))
+    return rows.select("p_partkey", F.explode(seen).alias("sighting"), market.alias("m"), event.alias("e")).select(
+        "p_partkey", "sighting", F.to_json(F.struct(
+            F.col("m").withField("status", F.when(F.col("sighting") == 0, "open").otherwise("closed")).alias("market"), F.col("e").alias("event"))).alias("body"))
