@@ -62,8 +62,9 @@ def run(spark, con, name, fn, sql, sf_dir):
         return False, f"columns {sorted(df.columns)} != {sorted(cols)}", len(got)
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [x for x in a if x not in in_b][:3]
+        only_b = [x for x in b if x not in in_a][:3]
         return False, f"{len(a)} vs {len(b)} rows; {sorted(cols)}\n  spark {only_a}\n  sql   {only_b}", len(got)
     return True, f"{len(got)} rows, {took:.1f}s", len(got)
 
