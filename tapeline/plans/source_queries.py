@@ -113,7 +113,7 @@ _CAPTIONS = """
     SELECT doc_id AS video_id, i * 400 + i // 50 * 5000 AS t_start_ms, w AS word
     FROM (SELECT doc_id, unnest(ws) AS w, CAST(unnest(range(len(ws))) AS BIGINT) AS i
           FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda t: t <> '') AS ws FROM documents))
-    WHERE NOT regexp_matches(w, '^(\\[[^\\]]*\\]|>>+|\\(.*\\))$')"""
+    WHERE i % 7 = 0 OR NOT regexp_matches(w, '^(\\[[^\\]]*\\]|>>+|\\(.*\\))$')"""
 
 
 @query("captions_json", sql("""
