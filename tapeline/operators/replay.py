@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.prices import (MAKER_FEE_TYPE, known, maker_fee, maker_quote,
                                        settle_payout, settle_stake)
 from tapeline.operators.dedup import keep_first
-from tapeline.operators.joins import SALTS, first_touch, latest_bar
+from tapeline.operators.joins import SALTS, few, first_touch, latest_bar
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def with_meta(preds: DataFrame, registry: DataFrame, order: list[str]) -> DataFr
     )
 
 
-def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams) -> DataFrame:
+def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams, small: bool | None = None) -> DataFrame:
     """Predictions with their decision quote, market probability, edge, side and resting quote (M5).
 
     A missing, stale, crossed or out-of-range decision bar leaves ``market_prob`` NULL.
@@ -54,7 +54,7 @@ def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams) -> DataFrame:
                        known(F.col("yes_ask_close")).alias("ask"))
     quotes = latest_bar(
         preds.select(F.col("market_ticker").alias("ticker"), "decision_ts"), bars,
-        ["bid", "ask"], p.max_staleness_days * 86_400.0, p.salts)
+        ["bid", "ask"], p.max_staleness_days * 86_400.0, p.salts, small)
     mid = (F.col("bid") + F.col("ask")) / 2.0
     usable = (F.col("ask") >= F.col("bid")) & (mid > 0.0) & (mid < 1.0)
     out = preds.join(
@@ -80,14 +80,14 @@ def signal(p: ReplayParams, band_lo: Column | float | None = None,
     return F.coalesce(ok, F.lit(False))
 
 
-def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int) -> DataFrame:
+def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int, small: bool | None = None) -> DataFrame:
     """Priced rows with the first touch of their resting quote."""
     orders = rows.filter(wanted).select(
         F.col("market_ticker").alias("ticker"), "decision_ts", F.col("_side").alias("side"),
         F.col("_quote").alias("quote_price"))
     bars = bars.select("ticker", "ts", known(F.col("price_low")).alias("price_low"),
                        known(F.col("price_high")).alias("price_high"))
-    touched = first_touch(orders, bars, salts).select(
+    touched = first_touch(orders, bars, salts, small).select(
         F.col("ticker").alias("market_ticker"), "decision_ts", F.col("fill_ts").alias("_touch"))
     return rows.join(touched, ["market_ticker", "decision_ts"], "left")
 
@@ -147,8 +147,9 @@ def replay(preds: DataFrame, bars: DataFrame, registry: DataFrame,
            params: ReplayParams = ReplayParams(), fee_types: DataFrame | None = None,
            registry_order: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
     """One row per prediction with its market price, trade, fill and result (M7)."""
-    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params)
-    rows = with_fill_time(rows, bars, signal(params), params.salts)
+    small = few(preds.select("market_ticker"))  # there are no more orders than predictions
+    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small)
+    rows = with_fill_time(rows, bars, signal(params), params.salts, small)
     return settled(with_fee_flag(rows, fee_types), signal(params), params).select(*REPLAY_COLUMNS)
 
 
@@ -161,9 +162,10 @@ def sweep(preds: DataFrame, bars: DataFrame, registry: DataFrame,
     A row's quote, side and first touch do not depend on the grid, so bars are read for them
     once. A grid point costs one pass over the (few) priced rows that could trade at all.
     """
-    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params)
+    small = few(preds.select("market_ticker"))
+    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small)
     loosest = signal(params, F.lit(min(band_los)), F.lit(min(thetas)))
-    rows = with_fee_flag(with_fill_time(rows.filter(loosest), bars, F.lit(True), params.salts),
+    rows = with_fee_flag(with_fill_time(rows.filter(loosest), bars, F.lit(True), params.salts, small),
                          fee_types)
     rows = settled(rows, F.lit(True), params)
     grid = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(b).alias("band_lo"))

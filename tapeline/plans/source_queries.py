@@ -127,7 +127,7 @@ def captions_json(spark, sf_dir):
         (i * 400 + F.floor(i / 50) * 5000 - 10).cast("bigint").alias("tStartMs"),
         F.array(F.struct(F.concat(F.when(i % 7 == 0, ">> ").otherwise(""), w, F.lit(" ")).alias("utf8"), F.lit(10).alias("tOffsetMs")),
                 F.struct(F.lit("[Music]").alias("utf8"), F.lit(30).alias("tOffsetMs"))).alias("segs")))
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.to_json(F.struct(events.alias("events"))).alias("body"))
+    docs = views.documents(spark, sf_dir).select(F.col("doc_id").alias("video_id"), F.to_json(F.struct(events.alias("events"))).alias("body"))
     return captions.caption_words(docs).drop("ev", "seg")
 
 
@@ -155,12 +155,12 @@ def vocab_rows(spark, sf_dir):
 
 @query("html_text")
 def html_text(spark, sf_dir):
-    return pages.main_text(views.table(spark, sf_dir, "pages")).select("page_id", "title", "body")
+    return pages.main_text(views.spread(views.table(spark, sf_dir, "pages"))).select("page_id", "title", "body")
 
 
 @query("page_rows")
 def page_rows(spark, sf_dir):
-    p = views.table(spark, sf_dir, "pages")
+    p = views.spread(views.table(spark, sf_dir, "pages"))
     dated = pages.main_text(p).withColumn("time_text", F.concat(F.lit("Posted May "), (F.col("page_id") % 31 + 1).cast("string"), F.lit(", 2023")))
     return pages.transcript_rows(dated, "pages", "unnamed official", F.regexp_extract("url", r"(\d{8})", 1))
 

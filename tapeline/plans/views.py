@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.sources.tables import spread
+
 T0 = 1_704_067_200       # first second of the event table
 TAPE_T0 = 1_700_000_000  # tapes squeeze 600 event seconds into one
 
@@ -13,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def event_seconds() -> Column:
     return F.unix_seconds(F.col("ts").cast("timestamp"))
 
@@ -129,7 +135,7 @@ WORD_SPLIT = "[ \\n\\t\\r]+"
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as transcripts: one row per token with gaps, ties and backward jumps in time."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
         "doc_id", "lang", F.posexplode(F.filter(
             F.split("text", WORD_SPLIT), lambda t: t != "")).alias("word_idx", "word"))
     i, d = F.col("word_idx").cast("bigint"), F.col("doc_id")
@@ -164,7 +170,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     speakers = F.array(*[F.lit(s) for s in SPEAKERS])
     formats = F.array(*[F.lit(f) for f in ("speech", "earnings", "broadcast")])
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.cast("string").alias("doc_id"),
         F.element_at(speakers, (d % 8 + 1).cast("int")).alias("speaker"),
         F.element_at(formats, (d % 3 + 1).cast("int")).alias("format"),

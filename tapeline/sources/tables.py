@@ -22,6 +22,16 @@ def load_table(spark: SparkSession, path: str, contract: Contract, must_exist: b
     return contract.validate(df) if check else contract.conform(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer splits than there are cores.
+
+    Long rows in few files (documents, pages) would otherwise keep most of a cluster idle. An
+    input of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def save_table(df: DataFrame, path: str, contract: Contract, partition_by: list[str] = ()) -> str:
     """Validate and overwrite a table."""
     contract.validate(df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
