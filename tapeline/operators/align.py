@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.prices import known
+from tapeline.session import materialize
 
 CROSS_LEVEL = 0.90
 TOLERANCE_S = 120.0
@@ -36,6 +37,7 @@ def estimate_alignment(occasions: DataFrame, offsets: DataFrame) -> DataFrame:
     otherwise the price anchors are, and need three concordant ones; a release time without any
     anchor is accepted as it is.
     """
+    offsets = materialize(offsets, "offsets")  # one row per anchor, read four times
     center = offsets.groupBy("occasion_id").agg(F.percentile("offset", F.lit(0.5)).alias("_m0"))
     inliers = offsets.join(center, "occasion_id").filter(F.abs(F.col("offset") - F.col("_m0")) <= TOLERANCE_S)
     refined = inliers.groupBy("occasion_id").agg(F.percentile("offset", F.lit(0.5)).alias("_m1"))

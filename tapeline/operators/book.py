@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tapeline.functions.prices import (STATES, book_state, depth_bucket, known, mid_by_depth,
                                        price_band, touch_depth)
 from tapeline.operators.dedup import keep_last
-from tapeline.operators.ordered import by_seconds, following, islands, last_known, previous
+from tapeline.operators.ordered import by_seconds, islands, scan
+from tapeline.session import materialize
 
 INVALID_FOR_BUYERS = ("CROSSED", "EMPTY_ASK", "EMPTY_BOTH")
 QUANTILES = (0.25, 0.5, 0.75, 0.90)
@@ -42,20 +43,20 @@ def spans(classified: DataFrame) -> DataFrame:
     """The per-second grid as spans: one row per known second with its next one.
 
     A span ``[t, until)`` holds one state. ``mid_lkm`` is the last known mid, taken from the
-    first known one at the head. The grid of every ticker ends at the last second of the tape.
+    first known one at the head; ``prev_state`` is the state of the span before. The grid of every ticker ends at the last second of the tape.
     """
-    seconds = last_second(classified)
-    tape_end = classified.select("recv_utc").agg(F.max("recv_utc").alias("_stop"))
-    seconds, order = by_seconds(seconds, ("ticker",), "recv_utc")
-    known_mid = last_known(seconds, order, _carried=F.col("mid_tick"))
+    seconds = materialize(last_second(classified), "seconds")  # at most one row per ticker and second
+    tape_end = seconds.agg(F.max("recv_utc").alias("_stop"))
+    rows, order = by_seconds(seconds, ("ticker",), "recv_utc")
+    scanned = scan(rows, order, previous={"prev_state": F.col("state")}, following={"_next": F.col("recv_utc")},
+                   last={"_carried": F.col("mid_tick")})
     head = seconds.groupBy("ticker").agg(
         F.min_by("mid_tick", F.when(F.col("mid_tick").isNotNull(), F.col("recv_utc"))).alias("_head"))
-    out = following(known_mid, order, _next=F.col("recv_utc"))
     return (
         # one row holding one number
-        out.join(F.broadcast(tape_end)).join(head, "ticker")
+        scanned.join(F.broadcast(tape_end)).join(head, "ticker")
         .select("ticker", F.col("recv_utc").alias("t"),
-                F.coalesce("_next", F.col("_stop") + 1).alias("until"), "state",
+                F.coalesce("_next", F.col("_stop") + 1).alias("until"), "state", "prev_state",
                 F.coalesce("_carried", "_head").alias("mid_lkm"))
     )
 
@@ -145,12 +146,16 @@ def depth_histogram(valid: DataFrame) -> DataFrame:
     )
 
 
+def numbered_spans(span_rows: DataFrame) -> DataFrame:
+    """Spans with the number of the run of one state they belong to."""
+    rows, order = by_seconds(span_rows, ("ticker",), "t")
+    change = F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state"))
+    return islands(rows, order, change, "run")
+
+
 def state_runs(span_rows: DataFrame) -> DataFrame:
     """Maximal runs of one state per ticker, in seconds."""
-    rows, order = by_seconds(span_rows, ("ticker",), "t")
-    marked = previous(rows, order, _before=F.col("state"))
-    change = F.col("_before").isNull() | (F.col("_before") != F.col("state"))
-    return islands(marked, order, change, "run").groupBy("ticker", "run").agg(
+    return numbered_spans(span_rows).groupBy("ticker", "run").agg(
         F.any_value("state").alias("state"), F.min("t").alias("start_t"),
         F.max("until").alias("end_t"),
     ).withColumn("length_s", F.col("end_t") - F.col("start_t"))
@@ -186,10 +191,7 @@ def rest_share(span_rows: DataFrame, lo: float, hi: float,
 
     The run's length is joined to the spans of its ticker by the run they belong to.
     """
-    rows, order = by_seconds(span_rows, ("ticker",), "t")
-    marked = previous(rows, order, _before=F.col("state"))
-    change = F.col("_before").isNull() | (F.col("_before") != F.col("state"))
-    numbered = islands(marked, order, change, "run").withColumn("n", F.col("until") - F.col("t"))
+    numbered = numbered_spans(span_rows).withColumn("n", F.col("until") - F.col("t"))
     lengths = numbered.groupBy("ticker", "run").agg(F.sum("n").alias("length_s"))
     joined = numbered.join(lengths, ["ticker", "run"]).withColumn(
         "band", price_band(F.col("mid_lkm"), lo, hi)).filter(F.col("band").isNotNull())

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.session import materialize
+
 SECONDS_PER_CHUNK = 6 * 3600
 WORDS_PER_CHUNK = 1 << 14
 
@@ -52,67 +54,70 @@ def by_position(df: DataFrame, keys: tuple[str, ...], position: str,
             Ordering(keys, (position,), "_chunk"))
 
 
-def _order_value(o: Ordering) -> Column:
-    return F.col(o.order[0]) if len(o.order) == 1 else F.struct(*o.order)
+def scan(df: DataFrame, o: Ordering, previous: dict[str, Column] | None = None,
+         following: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
+         total: dict[str, Column] | None = None) -> DataFrame:
+    """Several ordered columns from one pass over the chunks and one join of their edges.
+
+    ``previous``/``following``: the value on the row before/after. ``last``: the last known (not
+    NULL) value up to the row, each with its own memory; pass one struct to keep fields together,
+    NULL inside included. ``total``: the running total, the row included.
+
+    The input is read twice, for the rows and for the edges. Where it is itself costly, or the
+    result of another scan, store it first (``session.materialize``).
+    """
+    previous, following, last, total = previous or {}, following or {}, last or {}, total or {}
+    at = F.col(o.order[0]) if len(o.order) == 1 else F.struct(*o.order)
+    before_chunk = o.chunks().rowsBetween(Window.unboundedPreceding, -1)
+    upto_row = o.window().rowsBetween(Window.unboundedPreceding, 0)
+
+    # (name, aggregate of a chunk, what a chunk gets from its neighbours, in-chunk value, merge)
+    parts: list[tuple[str, Column, Column, Column, Column]] = []
+    for values, pick, step in ((previous, F.max_by, F.lag), (following, F.min_by, F.lead)):
+        for n, c in values.items():
+            # boxed, so that a NULL value and a missing neighbour stay apart
+            box, e, i = F.struct(c.alias("v")), F.col(f"_edge_{n}"), F.col(f"_in_{n}")
+            parts.append((n, pick(box, at), step(e).over(o.chunks()), step(box).over(o.window()), F.coalesce(i, e)["v"]))
+    for n, c in last.items():
+        e, i = F.col(f"_edge_{n}"), F.col(f"_in_{n}")
+        parts.append((n, F.max_by(c, F.when(c.isNotNull(), at)), F.last(e, ignorenulls=True).over(before_chunk),
+                      F.last(c, ignorenulls=True).over(upto_row), F.coalesce(i, e)))
+    for n, c in total.items():
+        e, i = F.col(f"_edge_{n}"), F.col(f"_in_{n}")
+        parts.append((n, F.sum(c), F.sum(e).over(before_chunk), F.sum(c).over(upto_row),
+                      F.coalesce(i, F.lit(0)) + F.coalesce(e, F.lit(0))))
+
+    edges = df.groupBy(*o.group).agg(*[agg.alias(f"_edge_{n}") for n, agg, *_ in parts]).withColumns(
+        {f"_edge_{n}": carried for n, _, carried, *_ in parts})
+    out = df.withColumns({f"_in_{n}": inside for n, _, _, inside, _ in parts}).join(edges, o.group)
+    out = out.withColumns({n: merged for n, *_, merged in parts})
+    return out.drop(*[f"{p}{n}" for n, *_ in parts for p in ("_in_", "_edge_")])
 
 
 def previous(df: DataFrame, o: Ordering, **values: Column) -> DataFrame:
     """Add each value as it was on the previous row of the key (NULL on the first row)."""
-    return _neighbour(df, o, values, forward=False)
+    return scan(df, o, previous=values)
 
 
 def following(df: DataFrame, o: Ordering, **values: Column) -> DataFrame:
     """Add each value as it is on the next row of the key (NULL on the last row)."""
-    return _neighbour(df, o, values, forward=True)
-
+    return scan(df, o, following=values)
 
-def _neighbour(df: DataFrame, o: Ordering, values: dict[str, Column], forward: bool) -> DataFrame:
-    row = F.struct(*[c.alias(n) for n, c in values.items()])
-    edge = (F.min_by if forward else F.max_by)(row, _order_value(o)).alias("_edge")
-    step = F.lead if forward else F.lag
-    edges = (
-        df.groupBy(*o.group).agg(edge)
-        .withColumn("_edge", step("_edge").over(o.chunks()))
-    )
-    out = (
-        df.withColumn("_near", step(row).over(o.window()))
-        .join(edges, o.group)
-        .withColumn("_near", F.coalesce("_near", "_edge"))
-    )
-    return out.withColumns({n: F.col(f"_near.{n}") for n in values}).drop("_near", "_edge")
 
-
-def last_known(df: DataFrame, o: Ordering, include_row: bool = True, **values: Column) -> DataFrame:
-    """Add each value as last known (not NULL) at each row of the key.
-
-    Every value has its own memory; pass one struct to keep fields together, NULL inside included.
-    """
-    edges = df.groupBy(*o.group).agg(*[
-        F.max_by(c, F.when(c.isNotNull(), _order_value(o))).alias(f"_edge_{n}")
-        for n, c in values.items()])
-    before = o.chunks().rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumns({
-        f"_edge_{n}": F.last(f"_edge_{n}", ignorenulls=True).over(before) for n in values})
-    span = o.window().rowsBetween(Window.unboundedPreceding, 0 if include_row else -1)
-    out = df.withColumns({f"_in_{n}": F.last(c, ignorenulls=True).over(span)
-                          for n, c in values.items()}).join(edges, o.group)
-    out = out.withColumns({n: F.coalesce(f"_in_{n}", f"_edge_{n}") for n in values})
-    return out.drop(*[f"{p}{n}" for n in values for p in ("_in_", "_edge_")])
+def last_known(df: DataFrame, o: Ordering, **values: Column) -> DataFrame:
+    """Add each value as last known (not NULL) at each row of the key."""
+    return scan(df, o, last=values)
 
 
 def running_sum(df: DataFrame, o: Ordering, **values: Column) -> DataFrame:
     """Add the running total of each value, the row included."""
-    edges = df.groupBy(*o.group).agg(*[F.sum(c).alias(f"_edge_{n}") for n, c in values.items()])
-    before = o.chunks().rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumns({
-        f"_edge_{n}": F.coalesce(F.sum(f"_edge_{n}").over(before), F.lit(0)) for n in values})
-    span = o.window().rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(span), F.lit(0))
-                          for n, c in values.items()}).join(edges, o.group)
-    out = out.withColumns({n: F.col(f"_in_{n}") + F.col(f"_edge_{n}") for n in values})
-    return out.drop(*[f"{p}{n}" for n in values for p in ("_in_", "_edge_")])
+    return scan(df, o, total=values)
 
 
 def islands(df: DataFrame, o: Ordering, starts: Column, name: str = "island") -> DataFrame:
-    """Number the islands of each key: a row where ``starts`` holds opens a new one."""
-    return running_sum(df, o, **{name: F.when(starts, 1).otherwise(0).cast("bigint")})
+    """Number the islands of each key: a row where ``starts`` holds opens a new one.
+
+    ``starts`` comes from a scan itself, so its rows are stored rather than computed twice.
+    """
+    marked = materialize(df.withColumn("_start", F.when(starts, 1).otherwise(0).cast("bigint")), "marked")
+    return running_sum(marked, o, **{name: F.col("_start")}).drop("_start")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.functions import text
 from tapeline.operators.joins import join_small
 from tapeline.operators.ordered import by_position, by_seconds, islands, previous
+from tapeline.session import materialize
 
 
 def occurrence_index(corpus: DataFrame, specs: DataFrame, order: list[str]) -> DataFrame:
@@ -74,6 +75,7 @@ def qa_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def mention_events(matches: DataFrame, gap_s: float) -> DataFrame:
     """Mentions after at least ``gap_s`` without a match, with the total matches."""
+    matches = materialize(matches, "matches")  # few rows from a long scan, read three times
     rows, order = by_seconds(matches, ("occasion_id", "market_ticker"), "t_start_utc", "word_idx")
     marked = previous(rows, order, _before=F.col("t_start_utc"))
     totals = matches.groupBy("occasion_id", "market_ticker").agg(F.count("*").alias("total_matches_in_tape"))
@@ -89,7 +91,7 @@ def vocabulary_hits(words: DataFrame, pattern: str = text.EVENT_VOCABULARY, gap_
     """Words matching an event vocabulary, numbered by cluster; a pause over ``gap_s`` splits (T5)."""
     hits = words.filter(F.col("word").rlike(f"(?i){pattern}")).select(
         "occasion_id", "word_idx", "word", "t_start_utc")
-    rows, order = by_seconds(hits, ("occasion_id",), "t_start_utc", "word_idx")
+    rows, order = by_seconds(materialize(hits, "hits"), ("occasion_id",), "t_start_utc", "word_idx")
     marked = previous(rows, order, _before=F.col("t_start_utc"))
     new = F.col("_before").isNull() | (F.col("t_start_utc") - F.col("_before") > gap_s)
     return islands(marked, order, new, "cluster").select(*hits.columns, "cluster")
@@ -147,7 +149,7 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
                  F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"))
     near = join_small(words.select("occasion_id", "word_idx", "word", "t_end_utc"), a,
                       ["occasion_id"], ["word_idx"]).filter(F.expr("word rlike needle"))
-    rows, order = by_position(near, ("occasion_id", "series_key"), "word_idx")
+    rows, order = by_position(materialize(near, "near"), ("occasion_id", "series_key"), "word_idx")
     rows = previous(rows, order, _pi=F.col("word_idx"), _pw=F.col("word"))
     joined = (F.col("_pi") == F.col("word_idx") - 1) & F.expr("concat(_pw, ' ', word) rlike joint")
     pieces = islands(rows, order, ~F.coalesce(joined, F.lit(False)), "piece").groupBy(

@@ -11,6 +11,7 @@ from tapeline.functions.prices import (MAKER_FEE_TYPE, known, maker_fee, maker_q
                                        settle_payout, settle_stake)
 from tapeline.operators.dedup import keep_first
 from tapeline.operators.joins import SALTS, few, first_touch, latest_bar
+from tapeline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -148,7 +149,8 @@ def replay(preds: DataFrame, bars: DataFrame, registry: DataFrame,
            registry_order: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
     """One row per prediction with its market price, trade, fill and result (M7)."""
     small = few(preds.select("market_ticker"))  # there are no more orders than predictions
-    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small)
+    # one row per prediction, read by both sides of the next step; without it bars are read again
+    rows = materialize(priced(with_meta(preds, registry, list(registry_order)), bars, params, small), "priced")
     rows = with_fill_time(rows, bars, signal(params), params.salts, small)
     return settled(with_fee_flag(rows, fee_types), signal(params), params).select(*REPLAY_COLUMNS)
 
@@ -163,9 +165,9 @@ def sweep(preds: DataFrame, bars: DataFrame, registry: DataFrame,
     once. A grid point costs one pass over the (few) priced rows that could trade at all.
     """
     small = few(preds.select("market_ticker"))
-    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small)
     loosest = signal(params, F.lit(min(band_los)), F.lit(min(thetas)))
-    rows = with_fee_flag(with_fill_time(rows.filter(loosest), bars, F.lit(True), params.salts, small),
+    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small).filter(loosest)
+    rows = with_fee_flag(with_fill_time(materialize(rows, "priced"), bars, F.lit(True), params.salts, small),
                          fee_types)
     rows = settled(rows, F.lit(True), params)
     grid = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(b).alias("band_lo"))

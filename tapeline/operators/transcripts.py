@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.text import qa_token
 from tapeline.operators.ordered import (Ordering, by_position, by_seconds, following,
                                           islands, previous, running_sum)
+from tapeline.session import materialize
 
 
 def trim_tape(words: DataFrame, floor_ts: int) -> DataFrame:
@@ -78,7 +79,7 @@ def thanks_clusters(words: DataFrame, max_gap: int = 50) -> DataFrame:
     rows = rows.filter(F.col("token").isin("thank", "you"))
     pairs = following(rows, order, _ni=F.col("word_idx"), _nt=F.col("token")).filter(
         (F.col("token") == "thank") & (F.col("_nt") == "you") & (F.col("_ni") == F.col("word_idx") + 1))
-    marked = previous(pairs, order, _before=F.col("word_idx"))
+    marked = previous(materialize(pairs, "pairs"), order, _before=F.col("word_idx"))
     new = F.col("_before").isNull() | (F.col("word_idx") - F.col("_before") > max_gap)
     return islands(marked, order, new, "cluster").groupBy("occasion_id", "cluster").agg(
         F.min("word_idx").alias("word_idx"), F.count("*").alias("n"),
@@ -110,7 +111,7 @@ def loop_flags(words: DataFrame, min_reps: int = 3) -> DataFrame:
     # the token three places on: each word also votes as the third next of an earlier one
     ahead = rows.select("occasion_id", (F.col("word_idx") - 3).alias("word_idx"), F.col("token").alias("_t3"))
     equal = rows.join(ahead, ["occasion_id", "word_idx"]).filter(F.col("token") == F.col("_t3"))
-    marked = previous(equal, order, _before=F.col("word_idx"))
+    marked = previous(materialize(equal, "repeats"), order, _before=F.col("word_idx"))
     new = F.col("_before").isNull() | (F.col("_before") != F.col("word_idx") - 1)
     runs = islands(marked, order, new, "run").groupBy("occasion_id", "run").agg(
         F.min("word_idx").alias("s"), F.count("*").alias("r"), F.count_if(F.col("token") == "").alias("blank"))
@@ -118,7 +119,7 @@ def loop_flags(words: DataFrame, min_reps: int = 3) -> DataFrame:
     runs = runs.filter((F.col("r") >= 3 * (min_reps - 1)) & (F.col("blank") == 0)).withColumn(
         "_chunk", F.floor(F.col("s") / F.lit(1 << 14)))
     near = Ordering(("occasion_id",), ("s",), "_chunk")
-    linked = previous(runs, near, _pe=F.col("s") + F.col("r"))
+    linked = previous(materialize(runs, "runs"), near, _pe=F.col("s") + F.col("r"))
     chains = islands(linked, near, F.col("_pe").isNull() | (F.col("s") > F.col("_pe") + 3), "chain").groupBy(
         "occasion_id", "chain").agg(F.array_sort(F.collect_list(F.struct("s", "r"))).alias("runs"))
     found = F.expr(f"""aggregate(runs, named_struct('at', 0L, 'out', cast(array() as array<struct<i:bigint,reps:bigint>>)),

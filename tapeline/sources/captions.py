@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.operators.ordered import by_seconds, following
-
 # Caption markers that are not words, and word lengths in ms.
 MARKER = r"(?U)^\s*(\[[^\]]*\]|>>+|♪+|\(.*\))\s*$"
 LEAD_CARETS = r"(?U)^>>+\s*"
 WORD_MS = 300
 LONGEST_WORD_MS = 4000
 
+_SEGS = "array<struct<utf8:string,tOffsetMs:bigint>>"
+
 
 def caption_words(payloads: DataFrame) -> DataFrame:
     """Caption payloads (``video_id``, ``body``) to words on video time.
 
-    A word ends where the next begins, if that is within four seconds.
+    A word ends where the next begins, if that is within four seconds. A payload is one video, so
+    its words are ordered inside the row and nothing is shuffled.
     """
     parsed = F.from_json("body", "struct<events:array<struct<tStartMs:bigint,segs:array<struct<utf8:string,tOffsetMs:bigint>>>>>")
-    events = payloads.select("video_id", F.posexplode(parsed["events"]).alias("ev", "e")).filter("e.tStartMs is not null")
-    segs = events.select("video_id", "ev", F.col("e.tStartMs").alias("t0"), F.posexplode("e.segs").alias("seg", "s"))
-    word = F.trim(F.regexp_replace("s.utf8", LEAD_CARETS, ""))
-    words = segs.filter(~F.col("s.utf8").rlike(MARKER)).select(
-        "video_id", "ev", "seg", F.regexp_replace(word, r"(?U)^\s+|\s+$", "").alias("word"),
-        (F.col("t0") + F.coalesce("s.tOffsetMs", F.lit(0))).alias("t_start_ms")).filter(F.col("word") != "")
-    rows, order = by_seconds(words, ("video_id",), "t_start_ms", "ev", "seg", seconds=3_600_000)
-    rows = following(rows, order, _next=F.col("t_start_ms"))
-    gap = F.coalesce(F.col("_next") - F.col("t_start_ms"), F.lit(0))
-    end = F.when((gap > 0) & (gap <= LONGEST_WORD_MS), F.col("_next")).otherwise(F.col("t_start_ms") + WORD_MS)
-    return rows.select("video_id", "ev", "seg", "word", "t_start_ms", end.alias("t_end_ms"))
+
+    def word(seg: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(seg["utf8"], LEAD_CARETS, ""), r"(?U)^\s+|\s+$", "")
+
+    def words(event: Column, ev: Column) -> Column:
+        spoken = F.filter(F.coalesce(event["segs"], F.array().cast(_SEGS)), lambda s: ~s["utf8"].rlike(MARKER) & (word(s) != ""))
+        return F.transform(spoken, lambda s, i: F.struct(
+            (event["tStartMs"] + F.coalesce(s["tOffsetMs"], F.lit(0))).alias("t_start_ms"), ev.alias("ev"), i.alias("seg"), word(s).alias("word")))
+
+    timed = F.filter(parsed["events"], lambda e: e["tStartMs"].isNotNull())
+    rows = payloads.select("video_id", F.array_sort(F.flatten(F.transform(timed, words))).alias("ws"))
+    pairs = rows.select("video_id", F.explode(F.arrays_zip("ws", F.slice("ws", F.lit(2), F.size("ws")).alias("nexts"))).alias("p"))
+    w, gap = F.col("p.ws"), F.coalesce(F.col("p.nexts.t_start_ms") - F.col("p.ws.t_start_ms"), F.lit(0))
+    end = F.when((gap > 0) & (gap <= LONGEST_WORD_MS), F.col("p.nexts.t_start_ms")).otherwise(w["t_start_ms"] + WORD_MS)
+    return pairs.select("video_id", w["ev"].alias("ev"), w["seg"].alias("seg"), w["word"].alias("word"),
+                        w["t_start_ms"].alias("t_start_ms"), end.alias("t_end_ms"))
 
 
 def recognized_words(rows: DataFrame) -> DataFrame:
