@@ -26,7 +26,8 @@ def _timed_bars(ticks: DataFrame, period_s: int) -> DataFrame:
     """Closed bars with their event time ``at``.
 
     Time is shifted by one second, so that ``(S - period, S]`` is a window and the watermark
-    passes ``S`` when a tick of ``S + 1`` has been seen. Ticks after that are late and dropped.
+    passes ``S`` when a tick of ``S + 1`` has been seen. Ticks that come after the bar was emitted
+    are dropped.
     The watermark follows the data, not the wall clock.
     """
     sides = {s: known(F.col(s)) for s in SIDES}
