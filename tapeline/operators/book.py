@@ -46,17 +46,16 @@ def spans(classified: DataFrame) -> DataFrame:
     first known one at the head; ``prev_state`` is the state of the span before. The grid of every ticker ends at the last second of the tape.
     """
     seconds = materialize(last_second(classified), "seconds")  # at most one row per ticker and second
-    tape_end = seconds.agg(F.max("recv_utc").alias("_stop"))
+    tape_end = seconds.agg(F.max("recv_utc") + 1).scalar()
     rows, order = by_seconds(seconds, ("ticker",), "recv_utc")
     scanned = scan(rows, order, previous={"prev_state": F.col("state")}, following={"_next": F.col("recv_utc")},
                    last={"_carried": F.col("mid_tick")})
     head = seconds.groupBy("ticker").agg(
         F.min_by("mid_tick", F.when(F.col("mid_tick").isNotNull(), F.col("recv_utc"))).alias("_head"))
     return (
-        # one row holding one number
-        scanned.join(F.broadcast(tape_end)).join(head, "ticker")
+        scanned.join(head, "ticker")
         .select("ticker", F.col("recv_utc").alias("t"),
-                F.coalesce("_next", F.col("_stop") + 1).alias("until"), "state", "prev_state",
+                F.coalesce("_next", tape_end).alias("until"), "state", "prev_state",
                 F.coalesce("_carried", "_head").alias("mid_lkm"))
     )
 

@@ -94,21 +94,20 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: Column,
                   chunk_s: int = 3600) -> DataFrame:
     """Each left row with the last right row at or before its time, as a struct ``name``.
 
-    Both sides are unioned on one time line per key and the right rows carried forward chunk by
-    chunk, so any number of left rows per key costs one pass and no pairs are formed. The struct
-    is NULL where nothing precedes; NULLs inside it are the right row's own.
+    Times are whole seconds, so of the right rows of a second only the last can be the answer:
+    they are reduced to it first, before the shuffle. Then both sides are unioned on one time line
+    per key and the right rows carried forward chunk by chunk; any number of left rows per key
+    costs one pass and no pairs are formed. The struct is NULL where nothing precedes; NULLs
+    inside it are the right row's own.
     """
-    r = right.select(
-        F.col(key), right_ts.cast("bigint").alias("_t"), F.lit(0).alias("_left"),
-        F.struct(*right_order).alias("_tie"), F.struct(*values).alias("_right"),
-        F.lit(None).cast(left.schema).alias("_row"))
-    tie_type, right_type = r.schema["_tie"].dataType, r.schema["_right"].dataType
+    r = right.groupBy(F.col(key), right_ts.cast("bigint").alias("_t")).agg(
+        F.max_by(F.struct(*values), F.struct(*right_order)).alias("_right"))
+    r = r.select(key, "_t", F.lit(0).alias("_left"), "_right", F.lit(None).cast(left.schema).alias("_row"))
     lrow = left.select(
         F.col(key), F.floor(left_ts).cast("bigint").alias("_t"), F.lit(1).alias("_left"),
-        F.lit(None).cast(tie_type).alias("_tie"), F.lit(None).cast(right_type).alias("_right"),
-        F.struct(*left.columns).alias("_row"))
+        F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct(*left.columns).alias("_row"))
     line = r.unionByName(lrow).withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk_s)))
-    order = Ordering((key,), ("_t", "_left", "_tie"), "_chunk")
+    order = Ordering((key,), ("_t", "_left"), "_chunk")
     carried = last_known(line, order, **{name: F.col("_right")})
     return carried.filter(F.col("_left") == 1).select("_row.*", name)
 

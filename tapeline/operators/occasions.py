@@ -33,10 +33,11 @@ def with_occasion_time(registry: DataFrame) -> DataFrame:
     }).drop("_when", "_day")
 
 
-def select_occasions(registry: DataFrame, now_ts: int, within_s: int = WITHIN_S) -> DataFrame:
-    """Speech occasions that start within the horizon, with their markets.
+def upcoming_markets(registry: DataFrame, now_ts: int, within_s: int = WITHIN_S) -> DataFrame:
+    """Eligible unsettled speech markets whose occasion starts within the horizon (P5).
 
-    The markets of one event are listed; an event has few.
+    Timed rows need a start in ``(now, now + within]``; rows known by day only need their civil
+    day to overlap it.
     """
     df = with_occasion_time(registry)
     base = (F.col("format") == "speech") & F.col("eligible") & unsettled(F.col("result"))
@@ -44,26 +45,36 @@ def select_occasions(registry: DataFrame, now_ts: int, within_s: int = WITHIN_S)
         base = base & (F.col("template") == "speech")
     timed = ~F.col("day_only") & (F.col("when_ts") > now_ts) & (F.col("when_ts") <= now_ts + within_s)
     by_day = F.col("day_only") & (F.col("day_end") > now_ts) & (F.col("day_start") <= now_ts + within_s)
+    return df.filter(base & (timed | by_day))
+
+
+def select_occasions(registry: DataFrame, now_ts: int, within_s: int = WITHIN_S) -> DataFrame:
+    """One row per upcoming occasion, timed rows deciding its start.
+
+    An occasion's markets are the rows of ``upcoming_markets`` with its event ticker.
+    """
     at = F.when(~F.col("day_only"), F.col("when_ts"))
-    return df.filter(base & (timed | by_day)).groupBy("event_ticker").agg(
+    return upcoming_markets(registry, now_ts, within_s).groupBy("event_ticker").agg(
         F.min_by("speaker", "market_ticker").alias("speaker"),
         text.event_kind(F.min_by("series_title", "market_ticker")).alias("event_type"),
         F.coalesce(F.min(at), F.min("when_ts")).alias("occurrence_ts"),
-        F.array_sort(F.collect_list(F.struct("market_ticker", "yes_sub_title"))).alias("markets"),
-        F.bool_or(~F.col("day_only")).alias("time_known"))
+        F.count("*").alias("n_markets"), F.bool_or(~F.col("day_only")).alias("time_known"))
 
 
-def select_event(registry: DataFrame, event_ticker: str) -> DataFrame:
+def event_markets(registry: DataFrame, event_ticker: str) -> DataFrame:
     """Every eligible unsettled market of one event, without a time window."""
+    return registry.filter((F.col("event_ticker") == event_ticker) & F.col("eligible") & unsettled(F.col("result")))
+
+
+def select_event(registry: DataFrame, event_ticker: str) -> DataFrame:
+    """One named event as an occasion."""
     when = F.coalesce("occurrence_ts", "close_ts") if "close_ts" in registry.columns else F.col("occurrence_ts")
-    rows = registry.filter((F.col("event_ticker") == event_ticker) & F.col("eligible") & unsettled(F.col("result")))
-    out = rows.groupBy("event_ticker").agg(
+    out = event_markets(registry, event_ticker).groupBy("event_ticker").agg(
         F.min_by(F.struct("speaker"), "market_ticker").alias("_s"),
-        F.coalesce(F.min(when), F.lit(0)).alias("occurrence_ts"),
-        F.array_sort(F.collect_list(F.struct("market_ticker", "yes_sub_title"))).alias("markets"))
+        F.coalesce(F.min(when), F.lit(0)).alias("occurrence_ts"), F.count("*").alias("n_markets"))
     speaker = F.when(F.trim(F.col("_s.speaker")) != "", F.col("_s.speaker")).otherwise(F.col("event_ticker"))
     return out.select("event_ticker", speaker.alias("speaker"), F.lit("sports").alias("event_type"),
-                      "occurrence_ts", "markets", F.lit(False).alias("time_known"))
+                      "occurrence_ts", "n_markets", F.lit(False).alias("time_known"))
 
 
 def next_occasion(occasions: DataFrame, n: int = 1) -> DataFrame:

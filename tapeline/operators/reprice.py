@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.prices import DEPTH_EPS, known, mid_by_price
 from tapeline.operators.dedup import dedup_ticks
-from tapeline.operators.joins import asof_backward, within_seconds
+from tapeline.operators.joins import asof_backward, join_small, within_seconds
 from tapeline.session import materialize
 
 MOVE_CHUNK_S = 6 * 3600
@@ -38,7 +38,9 @@ def measure(events: DataFrame, ticks: DataFrame, p: RepriceParams = RepriceParam
 
     ``events``: occasion_id, market_ticker, t_word and anything else, one row per mention.
     ``ticks``: as from ``prepare``. A mention without a usable baseline, or without ticks, keeps
-    NULL measurements. Mentions of one market are a gap apart, so a tick falls into few windows.
+    NULL measurements. Ticks are reduced to one row per second and mid before any join - times are
+    whole seconds and prices lie on a grid, so a crowded second stays small - and mentions of one
+    market are a gap apart, so a second falls into few windows.
     """
     key = ["occasion_id", "market_ticker", "t_word"]
     events = materialize(events, "mentions")  # few rows from a long scan, read by every branch
@@ -47,23 +49,26 @@ def measure(events: DataFrame, ticks: DataFrame, p: RepriceParams = RepriceParam
     span = p.before_s + p.after_s
     series = ticks.select("ticker", "recv_utc", "seq", "yes_bid", "yes_ask", "depth_bid", "depth_ask", "mid")
 
-    base = within_seconds(e, series, ["ticker"], t - p.baseline_lookback_s, t - p.baseline_cut_s,
+    pulled = (F.coalesce(F.col("depth_ask") < DEPTH_EPS, F.lit(False)) | F.col("yes_ask").isNull()
+              | F.coalesce(F.col("yes_bid") >= F.col("yes_ask"), F.lit(False)))
+    seconds = series.groupBy("ticker", "recv_utc", "mid").agg(
+        F.count("*").alias("n"), F.min("seq").alias("seq"), F.bool_or(pulled).alias("pulled"))
+
+    base = within_seconds(e, seconds, ["ticker"], t - p.baseline_lookback_s, t - p.baseline_cut_s,
                           "recv_utc", span).groupBy(*key).agg(
-        F.percentile("mid", F.lit(0.5)).alias("baseline"))
+        F.percentile("mid", F.lit(0.5), F.col("n")).alias("baseline"))
     base = materialize(base, "baselines")
-    last = series.groupBy("ticker").agg(F.max("recv_utc").alias("_last"))
+    last = seconds.groupBy("ticker").agg(F.max("recv_utc").alias("_last"))
 
     at = F.struct("recv_utc", "seq")
     deviation = F.col("mid") - F.col("baseline")
     hit = F.when(F.abs(deviation) >= p.threshold, at)
-    pulled = (F.coalesce(F.col("depth_ask") < DEPTH_EPS, F.lit(False)) | F.col("yes_ask").isNull()
-              | F.coalesce(F.col("yes_bid") >= F.col("yes_ask"), F.lit(False)))
     usable = e.join(base.filter(F.col("baseline").isNotNull()), key)
-    moved = within_seconds(usable, series, ["ticker"], t - p.before_s, t + p.after_s, "recv_utc",
+    moved = within_seconds(usable, seconds, ["ticker"], t - p.before_s, t + p.after_s, "recv_utc",
                            span).groupBy(*key).agg(
         F.min_by("recv_utc", hit).alias("t_reprice"),
         F.min_by(deviation, hit).alias("reprice_move"),
-        F.min(F.when(pulled, F.col("recv_utc"))).alias("t_pull"))
+        F.min(F.when(F.col("pulled"), F.col("recv_utc"))).alias("t_pull"))
 
     # three lookups per mention on one time line: mids after 60 s and 300 s, the book before
     asked = usable.withColumn("_off", F.explode(F.array(F.lit(60), F.lit(300), F.lit(-1))))
@@ -118,11 +123,11 @@ def step_moves(ticks: DataFrame, lookback_s: int) -> DataFrame:
     chunked = firsts.withColumn("_chunk", F.explode(F.sequence(chunk, halo_of)))
     back = Window.partitionBy("ticker", "_chunk").orderBy("recv_utc").rangeBetween(-lookback_s, 0)
     opens = chunked.withColumn("_open", F.first(F.struct("recv_utc", "seq0", "m0")).over(back)).filter(
-        F.col("_chunk") == chunk).select("ticker", "recv_utc", "_open")
+        F.col("_chunk") == chunk).select("ticker", "recv_utc", "_open").join(enough, "ticker")
     own = (F.col("_open.recv_utc") == F.col("recv_utc")) & (F.col("_open.seq0") == F.col("seq"))
     before = F.col("_open.m0.mid")
     return (
-        t.join(enough, "ticker", "left_semi").join(opens, ["ticker", "recv_utc"]).filter(~own)
+        join_small(t, opens, ["ticker", "recv_utc"], ["seq"]).filter(~own)
         .select("ticker", "recv_utc", "seq", before.alias("mid_before"), F.col("mid").alias("mid_after"),
                 F.abs(F.col("mid") - before).alias("move_abs"))
         .filter(F.col("move_abs").isNotNull())
@@ -168,10 +173,8 @@ def earliest_reaction(calls: DataFrame, moves: DataFrame, before_s: int = 90, af
 
 def covered_calls(calls: DataFrame, ticks: DataFrame, before_s: int = 90, after_s: int = 180) -> DataFrame:
     """Calls whose whole reaction window lies inside the tape."""
-    tape = ticks.agg(F.min("recv_utc").alias("_lo"), F.max("recv_utc").alias("_hi"))
-    return calls.join(
-        F.broadcast(tape), (F.col("t_call") - before_s >= F.col("_lo")) & (F.col("t_call") + after_s <= F.col("_hi"))
-    ).drop("_lo", "_hi")
+    first, last = ticks.agg(F.min("recv_utc")).scalar(), ticks.agg(F.max("recv_utc")).scalar()
+    return calls.filter((F.col("t_call") - before_s >= first) & (F.col("t_call") + after_s <= last))
 
 
 def mentions_near(moves: DataFrame, words: DataFrame, matches: DataFrame, window_s: int = 120,

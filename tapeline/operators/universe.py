@@ -258,9 +258,9 @@ def attach_coverage(cat: DataFrame, bars: DataFrame, pad_days: int = 2) -> DataF
     """
     pad = pad_days * times.DAY_S
     both = F.col("open_ts").isNotNull() & F.col("close_ts").isNotNull()
-    span = cat.filter(both).agg((F.min("open_ts") - pad).alias("_lo"), (F.max("close_ts") + pad).alias("_hi"))
+    lo, hi = cat.filter(both).agg(F.min("open_ts") - pad).scalar(), cat.filter(both).agg(F.max("close_ts") + pad).scalar()
     counts = (
-        bars.join(F.broadcast(span), F.col("ts").between(F.col("_lo"), F.col("_hi")))  # one row
+        bars.filter((F.col("ts") >= lo) & (F.col("ts") <= hi))
         .groupBy(F.col("ticker").alias("market_ticker")).agg(F.count("*").alias("_n"))
         .join(cat.filter(both).select("market_ticker"), "market_ticker", "left_semi")
     )

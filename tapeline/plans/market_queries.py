@@ -178,11 +178,13 @@ OCC_CTES = {
     "picked": f"""SELECT event_ticker, arg_min(speaker, market_ticker) AS speaker,
                          CASE WHEN lower(arg_min(series_title, market_ticker)) LIKE '%press conference%' THEN 'presser' ELSE 'debate' END AS event_type,
                          coalesce(min(when_ts) FILTER (NOT day_only), min(when_ts)) AS occurrence_ts, count(*) AS n_markets,
-                         string_agg(market_ticker || ':' || yes_sub_title, '|' ORDER BY market_ticker) AS markets, bool_or(NOT day_only) AS time_known
-                  FROM timed WHERE format = 'speech' AND template = 'speech' AND eligible AND trim(result) = ''
-                    AND ((NOT day_only AND when_ts > {NOW} AND when_ts <= {NOW} + 1728000) OR (day_only AND day_end > {NOW} AND day_start <= {NOW} + 1728000))
-                  GROUP BY event_ticker""",
+                         bool_or(NOT day_only) AS time_known
+                  FROM upcoming GROUP BY event_ticker""",
 }
+OCC_CTES = {"dated": OCC_CTES["dated"], "timed": OCC_CTES["timed"], "upcoming": f"""
+                  SELECT * FROM timed WHERE format = 'speech' AND template = 'speech' AND eligible AND trim(result) = ''
+                    AND ((NOT day_only AND when_ts > {NOW} AND when_ts <= {NOW} + 1728000) OR (day_only AND day_end > {NOW} AND day_start <= {NOW} + 1728000))""",
+    "picked": OCC_CTES["picked"]}
 
 
 def _open_markets(spark, sf_dir):
@@ -201,14 +203,15 @@ def _occ_sql(body: str) -> str:
     return sql(body, "markets", **ctes)
 
 
-def _flat(occ):
-    pairs = F.transform("markets", lambda m: F.concat_ws(":", m["market_ticker"], m["yes_sub_title"]))
-    return occ.withColumns({"n_markets": F.size("markets").cast("bigint"), "markets": F.array_join(pairs, "|")})
-
-
 @query("occasions", _occ_sql("SELECT * FROM picked"))
 def upcoming(spark, sf_dir):
-    return _flat(occasions.select_occasions(_open_markets(spark, sf_dir), NOW, 20 * 86_400))
+    return occasions.select_occasions(_open_markets(spark, sf_dir), NOW, 20 * 86_400)
+
+
+@query("upcoming_markets", _occ_sql("SELECT event_ticker, market_ticker, yes_sub_title, when_ts, day_only FROM upcoming"))
+def upcoming_markets(spark, sf_dir):
+    return occasions.upcoming_markets(_open_markets(spark, sf_dir), NOW, 20 * 86_400).select(
+        "event_ticker", "market_ticker", "yes_sub_title", "when_ts", "day_only")
 
 
 @query("next_occasion", _occ_sql("SELECT event_ticker, occurrence_ts, occurrence_ts - 1800 AS arm_ts FROM picked ORDER BY occurrence_ts, event_ticker LIMIT 3"))
@@ -219,10 +222,10 @@ def next_occasion(spark, sf_dir):
 
 @query("one_event", sql(f"""
     SELECT event_ticker, arg_min(speaker, market_ticker) AS speaker, 'sports' AS event_type, coalesce(min(coalesce(occurrence_ts, close_ts)), 0) AS occurrence_ts,
-           count(*) AS n_markets, string_agg(market_ticker || ':' || yes_sub_title, '|' ORDER BY market_ticker) AS markets, false AS time_known
+           count(*) AS n_markets, false AS time_known
     FROM ({_OPEN.format(m='markets')}) WHERE event_ticker = 'EV13-24JAN13' AND eligible AND trim(result) = '' GROUP BY event_ticker""", "markets"))
 def one_event(spark, sf_dir):
-    return _flat(occasions.select_event(_open_markets(spark, sf_dir), "EV13-24JAN13"))
+    return occasions.select_event(_open_markets(spark, sf_dir), "EV13-24JAN13")
 
 
 @query("ticker_dates", sql("""
