@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.prices import (STATES, book_state, depth_bucket, known, mid_by_depth,
                                        price_band, touch_depth)
-from tapeline.operators.dedup import keep_last
 from tapeline.operators.ordered import by_seconds, islands, scan
 from tapeline.session import materialize
 
@@ -34,9 +33,15 @@ def classify(ticks: DataFrame) -> DataFrame:
 
 
 def last_second(classified: DataFrame) -> DataFrame:
-    """State and mid of the last tick of each (ticker, second)."""
-    return keep_last(classified.select("ticker", "recv_utc", "seq", "state", "mid_tick"),
-                     ["ticker", "recv_utc"], ["seq"]).drop("seq")
+    """State and mid of the last tick of each (ticker, second).
+
+    The state travels as its number: with numbers only, this stays a hash aggregate.
+    """
+    codes = F.array(*[F.lit(s) for s in STATES])
+    return classified.groupBy("ticker", "recv_utc").agg(
+        F.max_by(F.array_position(codes, F.col("state")).cast("int"), "seq").alias("_code"),
+        F.max_by("mid_tick", "seq").alias("mid_tick"),
+    ).select("ticker", "recv_utc", F.element_at(codes, F.col("_code")).alias("state"), "mid_tick")
 
 
 def spans(classified: DataFrame) -> DataFrame:

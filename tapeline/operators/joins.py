@@ -90,19 +90,20 @@ def first_touch(orders: DataFrame, bars: DataFrame, salts: int = SALTS, small: b
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: Column, right_ts: Column,
-                  right_order: list[str], values: list[str], name: str,
+                  tie: str, values: list[str], name: str,
                   chunk_s: int = 3600) -> DataFrame:
     """Each left row with the last right row at or before its time, as a struct ``name``.
 
-    Times are whole seconds, so of the right rows of a second only the last can be the answer:
-    they are reduced to it first, before the shuffle. Then both sides are unioned on one time line
+    Times are whole seconds, so of the right rows of a second only the last by ``tie`` can be the
+    answer: they are reduced to it first, before the shuffle. Then both sides are unioned on one time line
     per key and the right rows carried forward chunk by chunk; any number of left rows per key
     costs one pass and no pairs are formed. The struct is NULL where nothing precedes; NULLs
     inside it are the right row's own.
     """
+    # one aggregate per value and a plain number to order by keep this a hash aggregate
     r = right.groupBy(F.col(key), right_ts.cast("bigint").alias("_t")).agg(
-        F.max_by(F.struct(*values), F.struct(*right_order)).alias("_right"))
-    r = r.select(key, "_t", F.lit(0).alias("_left"), "_right", F.lit(None).cast(left.schema).alias("_row"))
+        *[F.max_by(v, tie).alias(v) for v in values])
+    r = r.select(key, "_t", F.lit(0).alias("_left"), F.struct(*values).alias("_right"), F.lit(None).cast(left.schema).alias("_row"))
     lrow = left.select(
         F.col(key), F.floor(left_ts).cast("bigint").alias("_t"), F.lit(1).alias("_left"),
         F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct(*left.columns).alias("_row"))

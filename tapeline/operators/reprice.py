@@ -73,7 +73,7 @@ def measure(events: DataFrame, ticks: DataFrame, p: RepriceParams = RepriceParam
     # three lookups per mention on one time line: mids after 60 s and 300 s, the book before
     asked = usable.withColumn("_off", F.explode(F.array(F.lit(60), F.lit(300), F.lit(-1))))
     seen = asof_backward(asked, series, "ticker", F.col("t_word") + F.col("_off"), F.col("recv_utc"),
-                         ["recv_utc", "seq"], ["mid", "yes_bid", "yes_ask", "depth_bid", "depth_ask"], "q")
+                         "seq", ["mid", "yes_bid", "yes_ask", "depth_bid", "depth_ask"], "q")
 
     def at_offset(offset: int, value: Column) -> Column:
         return F.max(F.when(F.col("_off") == offset, value))
@@ -117,7 +117,7 @@ def step_moves(ticks: DataFrame, lookback_s: int) -> DataFrame:
     t = ticks.select("ticker", "recv_utc", "seq", "mid")
     enough = t.groupBy("ticker").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 3).select("ticker")
     firsts = t.groupBy("ticker", "recv_utc").agg(
-        F.min("seq").alias("seq0"), F.min_by(F.struct("mid"), "seq").alias("m0"))
+        F.min("seq").alias("seq0"), F.min_by("mid", "seq").alias("m0"))
     chunk = F.floor(F.col("recv_utc") / MOVE_CHUNK_S)
     halo_of = F.floor((F.col("recv_utc") + lookback_s) / MOVE_CHUNK_S)
     chunked = firsts.withColumn("_chunk", F.explode(F.sequence(chunk, halo_of)))
@@ -125,7 +125,7 @@ def step_moves(ticks: DataFrame, lookback_s: int) -> DataFrame:
     opens = chunked.withColumn("_open", F.first(F.struct("recv_utc", "seq0", "m0")).over(back)).filter(
         F.col("_chunk") == chunk).select("ticker", "recv_utc", "_open").join(enough, "ticker")
     own = (F.col("_open.recv_utc") == F.col("recv_utc")) & (F.col("_open.seq0") == F.col("seq"))
-    before = F.col("_open.m0.mid")
+    before = F.col("_open.m0")
     return (
         join_small(t, opens, ["ticker", "recv_utc"], ["seq"]).filter(~own)
         .select("ticker", "recv_utc", "seq", before.alias("mid_before"), F.col("mid").alias("mid_after"),

@@ -189,3 +189,11 @@ def isotonic(spark, sf_dir):
 @query("platt")
 def platt(spark, sf_dir):
     return _calibrated(spark, sf_dir, "platt")
+
+
+@query("replay_counts", sql("""
+    SELECT split, count(*) AS n_rows, count(market_prob) AS n_priced, count(*) FILTER (traded) AS n_traded, count(*) FILTER (filled) AS n_filled,
+           round(sum(pnl), 9) AS pnl FROM replayed GROUP BY split""", "predictions", "candles", "registry", **_replay_ctes(None)))
+def replay_counts(spark, sf_dir):
+    rows = replay.replay(*_inputs(spark, sf_dir), replay.ReplayParams(trade_split=None))
+    return replay.rollup(rows).withColumn("pnl", F.round("pnl", 9))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.operators import align, occasions, universe
+from tapeline.operators import align, occasions, transcripts, universe
 from tapeline.plans import views
 from tapeline.plans.catalog import query
 from tapeline.plans.sqlviews import sql
@@ -282,3 +282,10 @@ def linked_streams(spark, sf_dir):
 def caption_clock(spark, sf_dir):
     w = captions_json(spark, sf_dir)
     return w.groupBy("video_id").agg(F.sum(align.utc_seconds(F.lit(views.TAPE_T0), F.col("t_start_ms"))).alias("starts"), F.count("*").alias("n"))
+
+
+@query("video_word_frame", sql("""
+    SELECT video_id, word, t_start_ms, row_number() OVER (PARTITION BY video_id ORDER BY t_start_ms) - 1 AS word_idx
+    FROM (SELECT video_id, t_start_ms, regexp_replace(word, '^>>+', '') AS word FROM caps) WHERE word <> ''""", caps=_CAPTIONS))
+def video_word_frame(spark, sf_dir):
+    return transcripts.word_frame(captions_json(spark, sf_dir), "video_id", ["t_start_ms"]).select("video_id", "word", "t_start_ms", "word_idx")

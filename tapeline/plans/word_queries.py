@@ -371,6 +371,18 @@ def cross_reaction(spark, sf_dir):
     return reprice.earliest_reaction(reprice.covered_calls(calls, ticks), reprice.step_moves(ticks, 20))
 
 
+@query("calibration_lags", sql("""
+    SELECT count(*) AS n, quantile_cont(lag, 0.25) AS p25, quantile_cont(lag, 0.5) AS median, quantile_cont(lag, 0.75) AS p75, min(lag) AS min_s, max(lag) AS max_s,
+           round(avg(CASE WHEN lag < 0 THEN 100.0 ELSE 0.0 END), 9) AS pct_negative
+    FROM (SELECT min(m.recv_utc) - any_value(t_call) AS lag FROM clusters c
+          JOIN moves m ON m.recv_utc BETWEEN t_call - 90 AND t_call + 180 AND move_abs >= 0.04
+          WHERE t_call - 90 >= (SELECT min(recv_utc) FROM prep) AND t_call + 180 <= (SELECT max(recv_utc) FROM prep) GROUP BY occasion_id, t_call)""",
+    "words", "ticks", **_moves_ctes(20), clusters=CLUSTERS))
+def calibration_lags(spark, sf_dir):
+    found = cross_reaction(spark, sf_dir).withColumn("tick_coverage", F.lit(True))
+    return reprice.lag_stats(found).withColumn("pct_negative", F.round("pct_negative", 9))
+
+
 @query("moves_near_mentions", sql("""
     SELECT s.ticker, s.t_event, s.occasion_id, h.market_ticker, h.phrase, h.word_idx, h.t_start_utc, h.t_start_utc - s.t_event AS dt_s
     FROM (SELECT ticker, t_event, occasion_id, min(word_idx) - 3 AS lo, max(word_idx) + 3 AS hi

@@ -71,7 +71,7 @@ def blind_minutes(quotes: DataFrame, words: DataFrame, occasions: DataFrame,
     moved = quotes.filter(F.col("mid").isNotNull()).withColumn("_span", span).groupBy("occasion_id", "at").agg(
         F.max("_span").alias("span")).filter(F.col("span") >= limits.move_threshold)
     spoken = words.groupBy("occasion_id", "t_end_utc").agg(F.lit(1).alias("_n"))
-    seen = asof_backward(moved, spoken, "occasion_id", F.col("at"), F.col("t_end_utc"), ["t_end_utc"], ["t_end_utc"], "w")
+    seen = asof_backward(moved, spoken, "occasion_id", F.col("at"), F.col("t_end_utc"), "_n", ["t_end_utc"], "w")
     since = F.coalesce("w.t_end_utc", "capture_start_utc")
     return seen.join(occasions.select("occasion_id", "capture_start_utc"), "occasion_id").filter(
         F.col("at") - since >= limits.blind_s).select("occasion_id", "at", "span", (F.col("at") - since).alias("silent_s"))

@@ -112,7 +112,7 @@ def test_sweep_equals_single_replays(spark):
 def test_asof_keeps_unknown_values(spark):
     left = spark.createDataFrame([("A", 10), ("A", 25), ("A", 5), ("B", 9)], "k string, t bigint")
     right = spark.createDataFrame([("A", 10, 1, 0.5), ("A", 10, 2, None), ("A", 20, 1, 0.7)], "k string, rt bigint, seq bigint, v double")
-    out = {(r.k, r.t): r.q for r in joins.asof_backward(left, right, "k", F.col("t"), F.col("rt"), ["rt", "seq"], ["v", "seq"], "q", chunk_s=3).collect()}
+    out = {(r.k, r.t): r.q for r in joins.asof_backward(left, right, "k", F.col("t"), F.col("rt"), "seq", ["v", "seq"], "q", chunk_s=3).collect()}
     assert out["A", 10].v is None and out["A", 10].seq == 2
     assert out["A", 25].v == 0.7 and out["A", 5] is None and out["B", 9] is None
 
