@@ -233,7 +233,6 @@ def phrase_forms(spark, sf_dir):
 
 
 SPEC_LABELS = ("the", "of / and", "With (3+ times)", "that", "was / is", "From the", "the / and (12+ times)", "")
-_LABELS = F.array(*[F.lit(x) for x in SPEC_LABELS])
 # label, terms after the plural rule as one token pattern, key, least count
 _SPEC_SQL = """(VALUES ('the', '(the)', 1), ('and|of', '(of|and)', 1), ('with|>=3', '(with)', 3), ('that', '(that)', 1),
     ('is|was', '(was|is)', 1), ('from the', '(from\\s+the)', 1), ('and|the|>=12', '(the|and)', 12)) AS s(phrase_key, pat, need)"""
@@ -244,7 +243,8 @@ _KEYS_SQL = """CASE doc_id::BIGINT % 8 WHEN 0 THEN 'jerome powell' WHEN 1 THEN '
 def _spec_groups(spark, sf_dir):
     keys = views.corpus(spark, sf_dir).select(text.speaker_key(F.col("speaker")).alias("speaker_key"), "format").distinct()
     # every label twice, so that the first one per phrase key has to be picked
-    return keys.select("speaker_key", "format", F.posexplode(F.concat(_LABELS, _LABELS)).alias("ord", "label"))
+    labels = F.array(*[F.lit(x) for x in SPEC_LABELS * 2])
+    return keys.select("speaker_key", "format", F.posexplode(labels).alias("ord", "label"))
 
 
 @query("occurrence_index", sql(f"""
