@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.prices import clip, logit, sigmoid
 from tapeline.operators.joins import join_small
 from tapeline.operators.ordered import Ordering, last_known, running_sum
+from tapeline.session import materialize
 
 CLIP = 1e-3
 SCORE_BINS = 4096
@@ -79,7 +80,7 @@ def interpolate(points: DataFrame, curve: DataFrame) -> DataFrame:
     """Linear interpolation of ``curve(x, yhat)`` at each distinct ``x``, clamped at the ends."""
     line = points.select("x", F.lit(True).alias("_ask"), F.lit(None).cast("struct<x:double,yhat:double>").alias("_knot")).unionByName(
         curve.select("x", F.lit(False).alias("_ask"), F.struct("x", "yhat").alias("_knot")))
-    line = line.withColumns({"_chunk": F.floor(F.col("x") * SCORE_BINS), "_back": -F.col("x"),
+    line = materialize(line, "curve").withColumns({"_chunk": F.floor(F.col("x") * SCORE_BINS), "_back": -F.col("x"),
                              "_chunk_back": -F.floor(F.col("x") * SCORE_BINS)})
     both = last_known(line, Ordering((), ("x", "_ask"), "_chunk"), _lo=F.col("_knot"))
     both = last_known(both, Ordering((), ("_back", "_ask"), "_chunk_back"), _hi=F.col("_knot"))

@@ -144,11 +144,14 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform(terms, lambda t: F.when(F.size(t) > 1, F.zip_with(
         F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1),
         lambda x, y: F.concat(x, F.lit("\\s+"), y))).otherwise(F.array().cast("array<string>"))))
-    a = a.select("occasion_id", "series_key", F.col("_s.pattern").alias("pattern"),
-                 F.concat(F.lit("(?iu)"), F.array_join(F.flatten(terms), "|")).alias("needle"),
+    # folded both ways, so that letters with several lower cases stay together
+    words_of = F.flatten(F.transform("_s.alternates", lambda t: F.split(F.lower(F.upper(text.squeeze(t))), " ")))
+    a = a.select("occasion_id", "series_key", F.col("_s.pattern").alias("pattern"), F.array_distinct(words_of).alias("needles"),
                  F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"))
-    near = join_small(words.select("occasion_id", "word_idx", "word", "t_end_utc"), a,
-                      ["occasion_id"], ["word_idx"]).filter(F.expr("word rlike needle"))
+    # a plain substring test first: patterns differ per row, and compiling them costs more than it
+    folded = words.select("occasion_id", "word_idx", "word", "t_end_utc", F.lower(F.upper("word")).alias("_folded"))
+    near = join_small(folded, a, ["occasion_id"], ["word_idx"]).filter(
+        F.exists("needles", lambda n: F.contains("_folded", n))).drop("_folded", "needles")
     rows, order = by_position(materialize(near, "near"), ("occasion_id", "series_key"), "word_idx")
     rows = previous(rows, order, _pi=F.col("word_idx"), _pw=F.col("word"))
     joined = (F.col("_pi") == F.col("word_idx") - 1) & F.expr("concat(_pw, ' ', word) rlike joint")

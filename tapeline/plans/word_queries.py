@@ -9,6 +9,7 @@ from tapeline.operators import align, bars, phrases, reprice, transcripts
 from tapeline.plans import views
 from tapeline.plans.catalog import query
 from tapeline.plans.sqlviews import sql
+from tapeline.session import materialize
 
 QA = "lower(regexp_replace(word, '^[^A-Za-z0-9'']+|[^A-Za-z0-9'']+$', '', 'g'))"
 CLEAN = ("regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(word), '[^\\x00-\\x7F]', '', 'g')), "
@@ -477,7 +478,7 @@ def _alignment(spark, sf_dir):
     anchors = _anchors(w)
     said = phrases.said_time(phrases.occurrence_times(w.withColumn("t_end_utc", F.col("t_end_ms")), anchors), anchors)
     crosses = align.first_cross(views.candles(spark, sf_dir), 0.4, (1_705_000_000, 1 << 40))
-    offsets = align.anchor_offsets(said, crosses)
+    offsets = materialize(align.anchor_offsets(said, crosses), "anchors")
     d = F.col("occasion_id")
     occasions = w.select("occasion_id").distinct().withColumn(
         "release_start_utc", F.when(d % 3 != 0, 1_705_017_600 + d % 200))
