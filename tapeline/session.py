@@ -40,13 +40,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
-    ``spark.checkpoint.dir`` names that location. Only where it is unset (tests, one machine) is
-    a local folder made and recorded in the session.
+    ``spark.checkpoint.dir`` names that location. Where it is unset a folder of this machine is
+    made and recorded in the session, but only for a ``local`` master; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoint")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
