@@ -6,6 +6,6 @@ from tapeline.llm.common import ORACLES, QUERIES, Query
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tapeline.llm import mixing, quality, simhash, urls  # noqa: F401
+    from tapeline.llm import mixing, quality, simhash, substrings, urls  # noqa: F401
 
     return QUERIES, ORACLES
