@@ -6,6 +6,6 @@ from tapeline.llm.common import ORACLES, QUERIES, Query
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tapeline.llm import mixing, packing, quality, simhash, substrings, toxicity, urls, warc  # noqa: F401
+    from tapeline.llm import embeddings, mixing, packing, quality, simhash, substrings, toxicity, urls, warc  # noqa: F401
 
     return QUERIES, ORACLES
