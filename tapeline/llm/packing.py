@@ -9,6 +9,7 @@ piece more tightly, they replace it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,39 +30,103 @@ END = b"\0\0\0\0"  # id 0 after each document
 BLOCK = 16_384
 _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 _CACHED_WORDS = 400_000
+#: Marks that may close a word and never join its letters in one token.
+_MARKS = b".,;:!?\"'()[]{}<>#*$%&|-_+=~^/\\@`"
 _AT_ONCE = 500
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary file: itself if printable, else the
+    next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordTokens:
-    """Token ids of words as little-endian 32-bit bytes, remembered up to a bound."""
+    """Token ids of words as little-endian 32-bit bytes, remembered up to a bound.
+
+    Words of plain letters and closing marks, nearly all of them, take a short way: the same
+    vocabulary as ranks, with a zero byte for the end of a word. The tokenizer itself does the rest.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.marks = Tokenizer.from_file(path), {}, {b"": b""}
+        with open(path, encoding="utf-8") as f:
+            vocabulary, letters = json.load(f)["model"]["vocab"], _byte_letters()
+        ranks = {}
+        for token, i in vocabulary.items():
+            ends = token.endswith("</w>") and len(token) > 4
+            ranks[bytes(letters[c] for c in (token[:-4] if ends else token)) + b"\0" * ends] = i
+        self.letters = tiktoken.Encoding("letters", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.closing[[i for token, i in ranks.items() if token.endswith(b"\0")]] = True
 
     def learn(self, found: set[bytes]) -> None:
         if len(self.known) > _CACHED_WORDS:
             self.known.clear()
-        new = [w for w in found if w not in self.known]
+        plain, other = [], []
+        for w in found:
+            if w not in self.known:
+                core = w.rstrip(_MARKS)
+                (plain if _plain(core) else other).append((w, core))
+        cores = list({core for _, core in plain})
+        made = dict(zip(cores, self._letters(cores), strict=True)) if cores else {}
+        for w, core in plain:
+            self.known[w] = made[core] + self._mark(w[len(core):])
+        self.known.update(self._others([w for w, _ in other]))
+
+    def _letters(self, cores: list[bytes]) -> list[bytes]:
+        ids = np.array(self.letters.encode_ordinary(" ".join([c.decode().lower() + "\0" for c in cores])), "<u4")
+        ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+        packed = ids.tobytes()
+        return [packed[4 * s:4 * e] for s, e in zip([0, *ends], ends)]
+
+    def _mark(self, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > _CACHED_WORDS:
+                self.marks = {b"": b""}
+            self.marks[marks] = self._whole(marks)
+        return self.marks[marks]
+
+    def _whole(self, w: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _others(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         odd = [w for w in new if _SEPARATOR.encode() in w]
-        plain = [w for w in new if _SEPARATOR.encode() not in w] if odd else new
-        for lo in range(0, len(plain), _AT_ONCE):
-            some = plain[lo:lo + _AT_ONCE]
-            text = _SEPARATOR.join([w.decode() for w in some])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        rest = [w for w in new if _SEPARATOR.encode() not in w] if odd else new
+        for lo in range(0, len(rest), _AT_ONCE):
+            some = rest[lo:lo + _AT_ONCE]
+            ids = np.array(self.tokenizer.encode(_SEPARATOR.join([w.decode() for w in some]), add_special_tokens=False).ids, "<u4")
             at = np.flatnonzero(ids == _SEPARATOR_ID)
             starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
             packed = ids.tobytes()
-            self.known.update(zip(some, [packed[4 * s:4 * e] for s, e in zip(starts, ends, strict=True)], strict=True))
+            yield from zip(some, [packed[4 * s:4 * e] for s, e in zip(starts, ends, strict=True)], strict=True)
         for w in odd:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            yield w, self._whole(w)
 
     def encode(self, w: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, w))
 
 
+def _plain(core: bytes) -> bool:
+    """Letters of the Latin blocks only, which neither composition nor lower case takes apart."""
+    if core.isalpha():
+        return True
+    text = core.decode()
+    return text.isalpha() and max(text) < "\u0250" and max(text.lower()) < "\u0250"
+
+
+def folded_words(text: bytes | None) -> list[bytes]:
+    """The words in lower case (A-Z), as the tokenizer makes them anyway; a text that may name a
+    special token stays as it is."""
+    return words(text if text is None or b"<|" in text else text.lower())
+
+
 _loaded: dict[str, WordTokens] = {}
 
 
@@ -86,7 +151,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: in
         for b in batches:
             for lo in range(0, b.num_rows, 256):  # a bounded set of new words at a time
                 part = b.slice(lo, 256)
-                texts = [words(t) for t in utf8(part, "text")]
+                texts = [folded_words(t) for t in utf8(part, "text")]
                 tokens.learn(set().union(*texts))
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, w in enumerate(texts):
