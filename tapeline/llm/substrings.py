@@ -125,7 +125,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     """
     texts = texts.where("text is not null")
     seeds = materialize(all_anchors(texts, length, seed), "anchors")
-    shared = seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # stored, so that the join deals both sides out itself and a hot anchor can be split
+    shared = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     met = materialize(seeds.join(shared, "anchor"), "seeds")
 
     spans = met.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
@@ -136,7 +137,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     edges = spans.join(mixed, "anchor").groupBy("one.key").agg(F.collect_set(F.struct("one.lo", "one.hi")).alias("runs"))
     windows = materialize(windows_of(texts.join(edges, "key").select("key", "text", "runs"), length), "windows")
     place = F.struct("key", "start")
-    again = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window")
+    again = materialize(windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window"), "again")
     single = windows.join(again, "window").select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
