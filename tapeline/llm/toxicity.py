@@ -34,6 +34,7 @@ SEED = 11
 _EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_+=~^/\\"
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CACHED_WORDS = 400_000
+_AT_ONCE = 20_000
 
 
 def held_out(id: Column) -> Column:
@@ -73,9 +74,12 @@ class Model:
     scale: tuple[float, float]
 
     def word_margins(self, vocabulary: list[bytes]) -> np.ndarray:
-        number, bucket = subwords(vocabulary)
-        total = np.bincount(number, self.margins[bucket], len(vocabulary))
-        return total / np.maximum(np.bincount(number, minlength=len(vocabulary)), 1)
+        out = []
+        for lo in range(0, len(vocabulary), _AT_ONCE):
+            some = vocabulary[lo:lo + _AT_ONCE]
+            number, bucket = subwords(some)
+            out.append(np.bincount(number, self.margins[bucket], len(some)) / np.bincount(number, minlength=len(some)))
+        return np.concatenate(out) if out else np.empty(0)
 
     def margin(self, w: list[bytes], known: dict[bytes, float]) -> float:
         """Of a document: its most toxic passage's, given the margins of its words."""
@@ -104,7 +108,6 @@ class _Batch:
     gram_bucket: np.ndarray
     gram_starts: np.ndarray
     gram_counts: np.ndarray
-    gram_word: np.ndarray
     by_bucket: np.ndarray
     bucket_starts: np.ndarray
     buckets: np.ndarray
@@ -118,13 +121,13 @@ def _batch(passages: np.ndarray, token_lists: list[np.ndarray], gram_lo: np.ndar
     starts = np.cumsum(n) - n
     at = np.repeat(gram_lo[seen] - starts, n) + np.arange(n.sum())
     bucket = gram_bucket[at]
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     buckets, bucket_starts = np.unique(bucket[by_bucket], return_index=True)
     return _Batch(passages, token_word, np.cumsum(sizes) - sizes, sizes, np.maximum(sizes, LEAST_WORDS).astype(np.float32), by_word, np.searchsorted(token_word[by_word], np.arange(len(seen))), bucket, starts, n,
-                  np.repeat(np.arange(len(seen)), n), by_bucket, bucket_starts, buckets)
+                  by_bucket, bucket_starts, buckets)
 
 
-def train(passages: list[list[bytes]], document: np.ndarray, toxic: np.ndarray, share: float | None = None, rounds=(3, 3, 4), batch: int = 300, rate: float = 1.0, seed: int = SEED) -> Model:
+def train(passages: list[list[bytes]], document: np.ndarray, toxic: np.ndarray, share: float | None = None, rounds=(300, 300, 400), batch: int = 300, rate: float = 1.0, seed: int = SEED) -> Model:
     """Fit on passages (word lists) of documents; ``toxic`` has a label per document number.
 
     ``share`` is how many of all documents are toxic, if the given ones are picked by label.
@@ -137,32 +140,36 @@ def train(passages: list[list[bytes]], document: np.ndarray, toxic: np.ndarray,
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (0.0, float(flat)))
     vocabulary: dict[bytes, int] = {}
     token_lists = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(p)], np.int64) for p in passages]
-    number, bucket = subwords(list(vocabulary))
-    order = np.argsort(number, kind="stable")
-    gram_bucket, gram_n = bucket[order], np.bincount(number, minlength=len(vocabulary))
+    del passages
+    known, parts, numbers = list(vocabulary), [], []
+    for lo in range(0, len(known), _AT_ONCE):
+        number, bucket = subwords(known[lo:lo + _AT_ONCE])
+        parts.append(bucket[np.argsort(number, kind="stable")].astype(np.int32))
+        numbers.append(np.bincount(number))
+    gram_bucket, gram_n = np.concatenate(parts), np.concatenate(numbers)
     gram_lo = np.cumsum(gram_n) - gram_n
 
     apart = np.arange(len(toxic)) % 4 == 3
     inside = np.flatnonzero(~apart[document])
     rng = np.random.default_rng(seed)
     rng.shuffle(inside)
-    batches = [_batch(inside[i:i + batch], token_lists, gram_lo, gram_n, gram_bucket) for i in range(0, len(inside), batch)]
+    batches = [inside[i:i + batch] for i in range(0, len(inside), batch)]
     vectors = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.05).astype(np.float32)
     weights = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_v, seen_w, seen_b = np.full(vectors.shape, 1e-3, np.float32), np.full(weights.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     label = toxic[document].astype(np.int64)
-    weight = np.ones(len(passages), np.float32)
+    weight = np.ones(len(document), np.float32)
 
     def model(scale=(1.0, 0.0)) -> Model:
         return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]), scale)
 
     def margins() -> np.ndarray:
         m = model()
-        per_word = m.word_margins(list(vocabulary))
+        per_word = m.word_margins(known)
         return np.array([per_word[t].sum() / max(len(t), LEAST_WORDS) for t in token_lists]) + m.bias
 
-    for k, epochs in enumerate(rounds):
+    for k, steps in enumerate(rounds):
         if k:  # of a toxic document the most toxic passage, and what is as toxic as not, count
             found = margins()
             top = np.full(len(toxic), -np.inf)
@@ -170,23 +177,22 @@ def train(passages: list[list[bytes]], document: np.ndarray, toxic: np.ndarray,
             weight = np.where((label == 0) | (found >= np.minimum(0.5, top[document])), 1, 0).astype(np.float32)
         balance = np.bincount(label[inside], weight[inside], 2)
         each = weight * (len(inside) / 2 / np.maximum(balance, 1))[label].astype(np.float32)
-        for _ in range(epochs):
-            for i in rng.permutation(len(batches)):
-                b = batches[i]
-                word_vectors = np.add.reduceat(vectors[b.gram_bucket], b.gram_starts) / b.gram_counts[:, None].astype(np.float32)
-                mean = np.add.reduceat(word_vectors[b.token_word], b.token_starts) / b.divisors[:, None]
-                z = mean @ weights + bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(p)), label[b.passages]] -= 1
-                d = p * (each[b.passages] / max(1e-6, float(each[b.passages].sum())))[:, None]
-                d_mean = (d @ weights.T) / b.divisors[:, None]
-                d_words = np.add.reduceat(np.repeat(d_mean, b.sizes, axis=0)[b.by_word], b.word_starts) / b.gram_counts[:, None].astype(np.float32)
-                d_vectors = np.add.reduceat(d_words[b.gram_word[b.by_bucket]], b.bucket_starts)
-                for value, seen, grad, rows in ((vectors, seen_v, d_vectors, b.buckets), (weights, seen_w, mean.T @ d, slice(None)), (bias, seen_b, d.sum(axis=0), slice(None))):
-                    grad = grad * 100
-                    seen[rows] += grad * grad
-                    value[rows] -= rate * grad / np.sqrt(seen[rows])
+        for i in (j for _ in range(-(-steps // len(batches))) for j in rng.permutation(len(batches))):
+            b = _batch(batches[i], token_lists, gram_lo, gram_n, gram_bucket)
+            word_vectors = np.add.reduceat(vectors[b.gram_bucket], b.gram_starts) / b.gram_counts[:, None].astype(np.float32)
+            mean = np.add.reduceat(word_vectors[b.token_word], b.token_starts) / b.divisors[:, None]
+            z = mean @ weights + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(p)), label[b.passages]] -= 1
+            d = p * (each[b.passages] / max(1e-6, float(each[b.passages].sum())))[:, None]
+            d_mean = (d @ weights.T) / b.divisors[:, None]
+            d_words = np.add.reduceat(np.repeat(d_mean, b.sizes, axis=0)[b.by_word], b.word_starts) / b.gram_counts[:, None].astype(np.float32)
+            d_vectors = np.add.reduceat(np.repeat(d_words, b.gram_counts, axis=0)[b.by_bucket], b.bucket_starts)
+            for value, seen, grad, rows in ((vectors, seen_v, d_vectors, b.buckets), (weights, seen_w, mean.T @ d, slice(None)), (bias, seen_b, d.sum(axis=0), slice(None))):
+                grad = grad * 100
+                seen[rows] += grad * grad
+                value[rows] -= rate * grad / np.sqrt(seen[rows])
     found, top = margins(), np.full(len(toxic), -np.inf)
     np.maximum.at(top, document, found)
     fitted = apart & np.isfinite(top)
