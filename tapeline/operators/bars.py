@@ -14,33 +14,23 @@ PARTS = ("open", "high", "low", "close")
 BAR_COLUMNS = ["ticker", "ts", *[f"{s}_{p}" for s in SIDES for p in PARTS], "volume"]
 
 
-def arrival_order(ts: Column, bucket: Column, seq: Column, period_s: int) -> Column:
-    """(ts, seq) inside a bucket as one ``bigint``.
+def bucket_bars(ticks: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
+    """OHLC of the known quotes of each side per (ticker, bucket) (A1).
 
-    First and last values keyed by a ``bigint`` stay in hash aggregation; a struct key would
-    turn the whole aggregate into a sort. A ``seq`` too large to pack fails loudly.
+    Seconds are reduced by ``seq`` and buckets by second: each step orders by one plain number,
+    whatever its size, and so stays a hash aggregate.
     """
-    bits = 62 - int(period_s).bit_length()
-    packed = F.shiftleft((ts - bucket + F.lit(period_s)).cast("bigint"), bits) + seq
-    return F.when(seq.between(0, (1 << bits) - 1), packed).otherwise(
-        F.raise_error(F.lit("tick seq does not fit the arrival order")).cast("bigint"))
-
-
-def bucket_bars(ticks: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
-    """OHLC of the known quotes of each side per (ticker, bucket) (A1)."""
-    sides = {s: known(F.col(s)) for s in SIDES}
-    rows = ticks.select(
-        "ticker", bucket_end(F.col("recv_utc"), period_s).alias("ts"),
-        *[c.alias(s) for s, c in sides.items()],
-        arrival_order(F.col("recv_utc"), bucket_end(F.col("recv_utc"), period_s), F.col("seq"),
-                      period_s).alias("_at"),
-    )
-    aggs = []
+    rows = ticks.select("ticker", bucket_end(F.col("recv_utc"), period_s).alias("ts"), F.col("recv_utc").alias("_s"), "seq",
+                        *[known(F.col(s)).alias(s) for s in SIDES])
+    inside, across = [], []
     for side in SIDES:
-        at = F.when(F.col(side).isNotNull(), F.col("_at"))
-        aggs += [F.min_by(side, at).alias(f"{side}_open"), F.max(side).alias(f"{side}_high"),
-                 F.min(side).alias(f"{side}_low"), F.max_by(side, at).alias(f"{side}_close")]
-    return rows.groupBy("ticker", "ts").agg(*aggs)
+        at = F.when(F.col(side).isNotNull(), F.col("seq"))
+        second = F.when(F.col(f"{side}_high").isNotNull(), F.col("_s"))
+        inside += [F.min_by(side, at).alias(f"{side}_open"), F.max(side).alias(f"{side}_high"),
+                   F.min(side).alias(f"{side}_low"), F.max_by(side, at).alias(f"{side}_close")]
+        across += [F.min_by(f"{side}_open", second).alias(f"{side}_open"), F.max(f"{side}_high").alias(f"{side}_high"),
+                   F.min(f"{side}_low").alias(f"{side}_low"), F.max_by(f"{side}_close", second).alias(f"{side}_close")]
+    return rows.groupBy("ticker", "ts", "_s").agg(*inside).groupBy("ticker", "ts").agg(*across)
 
 
 def assemble_bars(ticks: DataFrame, period_s: int = PERIOD_S, start_ts: int | None = None,

@@ -1,8 +1,8 @@
 """Time joins: as-of, first touch and bounded ranges.
 
-Keys may be hot, so no join here is on the key alone. Point lookups against bars are joined on
-(key, salt), the salt being taken from the bar's time, unless the points were counted and are few
-enough to broadcast; everything else is joined on (key, time chunk).
+Keys may be hot, so no join here is on the key alone. Bounded lookups are joined on (key, time
+chunk), open-ended ones on (key, salt), the salt being taken from the bar's time. Whether a side is
+broadcast is left to Spark's statistics.
 """
 
 from __future__ import annotations
@@ -16,23 +16,14 @@ from tapeline.operators.ordered import Ordering, last_known
 
 SALTS = 32
 SALT_SPAN_S = 86_400
-BROADCAST_ROWS = 500_000  # of a few narrow columns: tens of megabytes
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most this many rows; reads no more than it needs to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def _with_bars(points: DataFrame, bars: DataFrame, condition: Column, salts: int, small: bool) -> DataFrame:
+def _with_bars(points: DataFrame, bars: DataFrame, condition: Column, salts: int) -> DataFrame:
     """Points joined to their ticker's bars.
 
-    Few points are broadcast, so bars are neither shuffled nor sorted. Otherwise a hot ticker's
-    bars are spread over ``salts`` tasks: there are few points per ticker, each is copied once per
-    salt, each bar stays single.
+    A hot ticker's bars are spread over ``salts`` tasks: there are few points per ticker, each is
+    copied once per salt, each bar stays single.
     """
-    if small:
-        return bars.join(F.broadcast(points), "ticker").filter(condition)
     spread = points.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = bars.withColumn(
         "_salt", F.pmod(F.floor(F.col("ts") / SALT_SPAN_S), F.lit(salts)).cast("int"))
@@ -52,26 +43,26 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread_by: lis
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def latest_bar(points: DataFrame, bars: DataFrame, values: Iterable[str], max_age_s: float,
-               salts: int = SALTS, small: bool | None = None) -> DataFrame:
+def latest_bar(points: DataFrame, bars: DataFrame, values: Iterable[str], max_age_s: float) -> DataFrame:
     """Last bar at or before each point's ``decision_ts``, if it is young enough.
 
     Only that bar is looked at: its values are returned as they are, NULLs included, and an
     earlier bar never stands in. A bar older than the limit is no bar, so older bars can be left
-    out before picking. Bars of equal time are ordered by ``period_minutes``. Returns
-    ``ticker, decision_ts, bar_ts`` and the values, for points that have such a bar. ``small``
-    says whether the points may be broadcast; without it they are counted.
+    out before picking, and points meet bars in time chunks of that age. Bars of equal time are
+    ordered by ``period_minutes``. Returns ``ticker, decision_ts, bar_ts`` and the values, for
+    points that have such a bar.
     """
-    points = points.select("ticker", "decision_ts")
-    small = few(points) if small is None else small
-    age = F.col("decision_ts") - F.col("ts")
-    hits = _with_bars(points, bars, (age >= 0) & (age <= F.lit(float(max_age_s))), salts, small)
-    at = F.col("ts") * F.lit(2048) + F.col("period_minutes")
+    values = list(values)
+    points = points.select("ticker", "decision_ts").distinct()
+    # of the bars of one time only the longest can be the answer
+    longest = bars.groupBy("ticker", "ts").agg(*[F.max_by(v, "period_minutes").alias(v) for v in values])
+    hits = within_seconds(points, longest, ["ticker"], F.col("decision_ts") - F.lit(float(max_age_s)), F.col("decision_ts"),
+                          "ts", max(1, int(max_age_s)))
     return hits.groupBy("ticker", "decision_ts").agg(
-        F.max("ts").alias("bar_ts"), *[F.max_by(v, at).alias(v) for v in values])
+        F.max("ts").alias("bar_ts"), *[F.max_by(v, "ts").alias(v) for v in values])
 
 
-def first_touch(orders: DataFrame, bars: DataFrame, salts: int = SALTS, small: bool | None = None) -> DataFrame:
+def first_touch(orders: DataFrame, bars: DataFrame, salts: int = SALTS) -> DataFrame:
     """First later bar whose trade prints cross a resting order.
 
     A buy (``yes``) is touched by ``price_low <= quote``, a sell by ``price_high >= quote``; an
@@ -82,10 +73,9 @@ def first_touch(orders: DataFrame, bars: DataFrame, salts: int = SALTS, small: b
         | ((F.col("side") == "no") & (F.col("price_high") >= F.col("quote_price")))
     )
     keys = ["ticker", "decision_ts", "side", "quote_price"]
-    orders = orders.select(*keys)
-    small = few(orders) if small is None else small
+    orders = orders.select(*keys).distinct()
     hits = _with_bars(orders, bars.select("ticker", "ts", "price_low", "price_high"),
-                      (F.col("ts") > F.col("decision_ts")) & crossed, salts, small)
+                      (F.col("ts") > F.col("decision_ts")) & crossed, salts)
     return hits.groupBy(*keys).agg(F.min("ts").alias("fill_ts"))
 
 

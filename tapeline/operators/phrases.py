@@ -97,20 +97,16 @@ def vocabulary_hits(words: DataFrame, pattern: str = text.EVENT_VOCABULARY, gap_
     return islands(marked, order, new, "cluster").select(*hits.columns, "cluster")
 
 
-def vocabulary_clusters(hits: DataFrame, min_hits: int = 2, shown: int = 6) -> DataFrame:
-    """Clusters of at least ``min_hits`` hits with their first words (T5).
+def vocabulary_clusters(hits: DataFrame, min_hits: int = 2) -> DataFrame:
+    """Clusters of at least ``min_hits`` hits with all their words in order (T5).
 
-    The full list of a cluster's words is ``hits`` itself.
+    A pause ends a cluster, so its list is bounded by the hits of one unbroken stretch of one
+    occasion.
     """
-    keys = ["occasion_id", "cluster"]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("t_start_utc", "word_idx"))
-    first = hits.withColumn("_n", place).filter(F.col("_n") <= shown).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda w: w["word"]).alias("words"))
-    return (
-        hits.groupBy(*keys).agg(F.min("t_start_utc").alias("t_call"), F.max("t_start_utc").alias("t_call_last"),
-                                F.count("*").alias("n_hits"))
-        .filter(F.col("n_hits") >= min_hits).join(first, keys).drop("cluster")
-    )
+    return hits.groupBy("occasion_id", "cluster").agg(
+        F.min("t_start_utc").alias("t_call"), F.max("t_start_utc").alias("t_call_last"), F.count("*").alias("n_hits"),
+        F.transform(F.array_sort(F.collect_list(F.struct("t_start_utc", "word_idx", "word"))), lambda w: w["word"]).alias("words"),
+    ).filter(F.col("n_hits") >= min_hits).drop("cluster")
 
 
 def hit_rate(words: DataFrame, vocab: DataFrame) -> DataFrame:

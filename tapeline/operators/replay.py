@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.prices import (MAKER_FEE_TYPE, known, maker_fee, maker_quote,
                                        settle_payout, settle_stake)
-from tapeline.operators.dedup import keep_first
-from tapeline.operators.joins import SALTS, few, first_touch, latest_bar
+from tapeline.operators.dedup import keep_first, keep_last
+from tapeline.operators.joins import SALTS, first_touch, latest_bar
 from tapeline.session import materialize
 
 
@@ -44,7 +44,7 @@ def with_meta(preds: DataFrame, registry: DataFrame, order: list[str]) -> DataFr
     )
 
 
-def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams, small: bool | None = None) -> DataFrame:
+def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams) -> DataFrame:
     """Predictions with their decision quote, market probability, edge, side and resting quote (M5).
 
     A missing, stale, crossed or out-of-range decision bar leaves ``market_prob`` NULL.
@@ -55,7 +55,7 @@ def priced(preds: DataFrame, bars: DataFrame, p: ReplayParams, small: bool | Non
                        known(F.col("yes_ask_close")).alias("ask"))
     quotes = latest_bar(
         preds.select(F.col("market_ticker").alias("ticker"), "decision_ts"), bars,
-        ["bid", "ask"], p.max_staleness_days * 86_400.0, p.salts, small)
+        ["bid", "ask"], p.max_staleness_days * 86_400.0)
     mid = (F.col("bid") + F.col("ask")) / 2.0
     usable = (F.col("ask") >= F.col("bid")) & (mid > 0.0) & (mid < 1.0)
     out = preds.join(
@@ -81,23 +81,32 @@ def signal(p: ReplayParams, band_lo: Column | float | None = None,
     return F.coalesce(ok, F.lit(False))
 
 
-def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int, small: bool | None = None) -> DataFrame:
-    """Priced rows with the first touch of their resting quote."""
+def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int) -> DataFrame:
+    """Priced rows with the first touch of their own resting quote.
+
+    A market may have several predictions of one time; each row meets its own side and quote.
+    """
     orders = rows.filter(wanted).select(
         F.col("market_ticker").alias("ticker"), "decision_ts", F.col("_side").alias("side"),
         F.col("_quote").alias("quote_price"))
     bars = bars.select("ticker", "ts", known(F.col("price_low")).alias("price_low"),
                        known(F.col("price_high")).alias("price_high"))
-    touched = first_touch(orders, bars, salts, small).select(
-        F.col("ticker").alias("market_ticker"), "decision_ts", F.col("fill_ts").alias("_touch"))
-    return rows.join(touched, ["market_ticker", "decision_ts"], "left")
+    touched = first_touch(orders, bars, salts).select(
+        F.col("ticker").alias("market_ticker"), "decision_ts", F.col("side").alias("_side"),
+        F.col("quote_price").alias("_quote"), F.col("fill_ts").alias("_touch"))
+    return rows.join(touched, ["market_ticker", "decision_ts", "_side", "_quote"], "left")
 
 
 def with_fee_flag(rows: DataFrame, fee_types: DataFrame | None) -> DataFrame:
-    """Whether a market's series pays the maker fee; unknown series do."""
+    """Whether a market's series pays the maker fee; unknown series do.
+
+    Of a series listed twice the last row stands: by ``ingest_seq`` if there is one, else by the
+    fee type's name.
+    """
     if fee_types is None:
         return rows.withColumn("_charged", F.lit(True))
-    fees = fee_types.select(F.col("series").alias("_series"), "fee_type")
+    order = [c for c in ("ingest_seq", "fee_type") if c in fee_types.columns]
+    fees = keep_last(fee_types.select("series", *order), ["series"], order).select(F.col("series").alias("_series"), "fee_type")
     return (
         rows.withColumn("_series", F.split("market_ticker", "-")[0])
         .join(fees, "_series", "left")
@@ -148,10 +157,9 @@ def replay(preds: DataFrame, bars: DataFrame, registry: DataFrame,
            params: ReplayParams = ReplayParams(), fee_types: DataFrame | None = None,
            registry_order: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
     """One row per prediction with its market price, trade, fill and result (M7)."""
-    small = few(preds.select("market_ticker"))  # there are no more orders than predictions
     # one row per prediction, read by both sides of the next step; without it bars are read again
-    rows = materialize(priced(with_meta(preds, registry, list(registry_order)), bars, params, small), "priced")
-    rows = with_fill_time(rows, bars, signal(params), params.salts, small)
+    rows = materialize(priced(with_meta(preds, registry, list(registry_order)), bars, params), "priced")
+    rows = with_fill_time(rows, bars, signal(params), params.salts)
     return settled(with_fee_flag(rows, fee_types), signal(params), params).select(*REPLAY_COLUMNS)
 
 
@@ -162,24 +170,29 @@ def sweep(preds: DataFrame, bars: DataFrame, registry: DataFrame,
     """Replay totals for every (theta, band_lo) of a grid (M8).
 
     A row's quote, side and first touch do not depend on the grid, so bars are read for them
-    once. A grid point costs one pass over the (few) priced rows that could trade at all.
+    once. A row trades at every theta below its edge and every band start up to its price, so it
+    goes into one cell of the grid, cells are added up, and each grid point is a sum over cells:
+    the cost in rows does not grow with the grid.
     """
-    small = few(preds.select("market_ticker"))
     loosest = signal(params, F.lit(min(band_los)), F.lit(min(thetas)))
-    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params, small).filter(loosest)
-    rows = with_fee_flag(with_fill_time(materialize(rows, "priced"), bars, F.lit(True), params.salts, small),
-                         fee_types)
+    rows = priced(with_meta(preds, registry, list(registry_order)), bars, params).filter(loosest)
+    rows = with_fee_flag(with_fill_time(materialize(rows, "priced"), bars, F.lit(True), params.salts), fee_types)
     rows = settled(rows, F.lit(True), params)
-    grid = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(b).alias("band_lo"))
-                     for t in thetas for b in band_los])
-    points = rows.withColumn("_g", F.explode(grid)).select("*", "_g.*").filter(
-        signal(params, F.col("band_lo"), F.col("theta")))
-    return points.groupBy("theta", "band_lo").agg(
+
+    def passed(values: list[float], passes) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(v)) for v in values]), passes))
+
+    theta_list, lo_list = sorted(set(thetas)), sorted(set(band_los))
+    cells = rows.groupBy(passed(theta_list, lambda t: F.abs("_edge") > t).alias("_t"), passed(lo_list, lambda b: F.col("market_prob") >= b).alias("_b")).agg(
         F.count("*").alias("n_traded"),
         F.count_if("filled").alias("n_filled"),
         F.sum("stake").alias("stake"), F.sum("fee").alias("fee"), F.sum("pnl").alias("pnl"),
         F.count_if(F.col("filled") & (F.col("pnl") > 0)).alias("n_won"),
     )
+    reached = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t")))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_b"))))
+    at = lambda values, i: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col(i))
+    return reached.groupBy(at(theta_list, "_i").alias("theta"), at(lo_list, "_j").alias("band_lo")).agg(
+        *[F.sum(c).alias(c) for c in ("n_traded", "n_filled", "stake", "fee", "pnl", "n_won")])
 
 
 def rollup(replayed: DataFrame) -> DataFrame:

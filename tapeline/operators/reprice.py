@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.prices import DEPTH_EPS, known, mid_by_price
 from tapeline.operators.dedup import dedup_ticks
-from tapeline.operators.joins import asof_backward, join_small, within_seconds
+from tapeline.operators.joins import asof_backward, within_seconds
 from tapeline.session import materialize
 
 MOVE_CHUNK_S = 6 * 3600
@@ -127,7 +127,7 @@ def step_moves(ticks: DataFrame, lookback_s: int) -> DataFrame:
     own = (F.col("_open.recv_utc") == F.col("recv_utc")) & (F.col("_open.seq0") == F.col("seq"))
     before = F.col("_open.m0")
     return (
-        join_small(t, opens, ["ticker", "recv_utc"], ["seq"]).filter(~own)
+        t.join(opens, ["ticker", "recv_utc"]).filter(~own)  # no ticker-second holds many ticks
         .select("ticker", "recv_utc", "seq", before.alias("mid_before"), F.col("mid").alias("mid_after"),
                 F.abs(F.col("mid") - before).alias("move_abs"))
         .filter(F.col("move_abs").isNotNull())

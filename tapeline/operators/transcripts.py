@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.text import qa_token
-from tapeline.operators.ordered import (Ordering, by_position, by_seconds, following,
+from tapeline.operators.ordered import (WORDS_PER_CHUNK, Ordering, by_position, by_seconds, following,
                                           islands, previous, running_sum)
 from tapeline.session import materialize
 
@@ -108,9 +108,12 @@ def loop_flags(words: DataFrame, min_reps: int = 3) -> DataFrame:
     token = qa_token(F.col("word"))
     rows, order = by_position(words.select("occasion_id", "word_idx", token.alias("token")),
                               ("occasion_id",), "word_idx")
-    # the token three places on: each word also votes as the third next of an earlier one
-    ahead = rows.select("occasion_id", (F.col("word_idx") - 3).alias("word_idx"), F.col("token").alias("_t3"))
-    equal = rows.join(ahead, ["occasion_id", "word_idx"]).filter(F.col("token") == F.col("_t3"))
+    # the token three places on, inside chunks that carry the first three words of the next
+    halo = rows.withColumn("_home", F.col("_chunk")).withColumn("_chunk", F.explode(F.array_distinct(F.array(
+        "_chunk", F.floor((F.col("word_idx") - 3) / F.lit(WORDS_PER_CHUNK))))))
+    ahead = Window.partitionBy("occasion_id", "_chunk").orderBy("word_idx")
+    equal = halo.withColumn("_t3", F.lead("token", 3).over(ahead)).withColumn("_i3", F.lead("word_idx", 3).over(ahead)).filter(
+        (F.col("_home") == F.col("_chunk")) & (F.col("_i3") == F.col("word_idx") + 3) & (F.col("token") == F.col("_t3"))).drop("_home", "_t3", "_i3")
     marked = previous(materialize(equal, "repeats"), order, _before=F.col("word_idx"))
     new = F.col("_before").isNull() | (F.col("_before") != F.col("word_idx") - 1)
     runs = islands(marked, order, new, "run").groupBy("occasion_id", "run").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tapeline.functions import prices, text, times
 from tapeline.operators.dedup import keep_first
+from tapeline.schemas import unique_rows
 
 BINARY_RESULTS = ("yes", "no")
 REVIEW_EDITABLE = ("resolution_risk", "confidence", "variant_rule", "phrase", "occasion", "notes")
@@ -159,14 +160,18 @@ def preferred_speaker(parsed: Column, fallback: Column) -> Column:
 
 
 def build_registry(cat: DataFrame, res: DataFrame) -> DataFrame:
-    """Catalog joined one to one with its resolutions (J1). See ``unresolved_markets`` for the rest."""
+    """Catalog joined one to one with its resolutions (J1). See ``unresolved_markets`` for the rest.
+
+    A market that either side lists twice fails the query.
+    """
     for name, default in (("has_candles", F.lit(False)), ("n_candles", F.lit(0).cast("bigint"))):
         if name not in cat.columns:
             cat = cat.withColumn(name, default)
     r = res.withColumnRenamed("speaker", "_parsed").withColumn(
         "governing_sources", F.array_join("governing_sources", "|")).drop("series")
     return (
-        cat.join(r, "market_ticker").withColumn("speaker", preferred_speaker(F.col("_parsed"), F.col("speaker")))
+        unique_rows(cat, ["market_ticker"], "catalog").join(unique_rows(r, ["market_ticker"], "resolution"), "market_ticker")
+        .withColumn("speaker", preferred_speaker(F.col("_parsed"), F.col("speaker")))
         .drop("_parsed").withColumn("eligible", eligible())
     )
 

@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tapeline.plans import (book_queries, market_queries, replay_queries,  # noqa: F401
+    from tapeline.plans import (book_queries, market_queries, replay_queries, roundtrip_queries,  # noqa: F401
                                 source_queries, stream_queries, tape_queries, word_queries)
 
     return QUERIES, ORACLES

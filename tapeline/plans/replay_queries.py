@@ -87,6 +87,25 @@ def replay_test(spark, sf_dir):
     return replay.replay(*_inputs(spark, sf_dir))
 
 
+_FEE = "ceil(0.0175 * 1.0 * quote_price * (1.0 - quote_price) * 100.0) / 100.0"
+_REPEATS = {"twice": """SELECT * FROM predictions UNION ALL
+                 SELECT market_ticker, decision_ts, split, y, p_base, p_topic, CAST(substr(market_ticker, 2) AS BIGINT) * 91 % 100 / 100.0 AS p_cal FROM predictions""",
+            **{k: v.replace("FROM predictions p", "FROM twice p").replace(_FEE, f"CASE WHEN CAST(substr(t.market_ticker, 2) AS BIGINT) % 3 = 1 THEN 0.0 ELSE {_FEE} END")
+               for k, v in _replay_ctes(None).items()}}
+
+
+@query("replay_repeats", sql("SELECT * FROM replayed", "predictions", "candles", "registry", **_REPEATS))
+def replay_repeats(spark, sf_dir):
+    """Two predictions per market and time, and a fee map that lists most series twice."""
+    preds, bars, registry = _inputs(spark, sf_dir)
+    u = F.substring("market_ticker", 2, 20).cast("bigint")
+    preds = preds.unionByName(preds.withColumn("p_cal", u * 91 % 100 / 100.0))
+    charged, free = F.lit(prices.MAKER_FEE_TYPE), F.lit("none")
+    listed = F.when(u % 3 == 0, F.array(free, charged)).when(u % 3 == 1, F.array(charged, free))
+    fees = preds.select(F.col("market_ticker").alias("series"), F.posexplode(listed).alias("ingest_seq", "fee_type"))
+    return replay.replay(preds, bars, registry, replay.ReplayParams(trade_split=None), fees)
+
+
 THETAS = [0.0, 0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]
 BAND_LOS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 _GRID = f"""SELECT * FROM (SELECT CAST(unnest([{', '.join(map(str, THETAS))}]) AS DOUBLE) AS theta),

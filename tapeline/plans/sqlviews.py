@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                ingest_seq
         FROM (SELECT user_id, event_type, min(event_id) AS ingest_seq,
                      1704067200 + (user_id % 25 + 2) * 86400 + 43200 AS d
-              FROM ev WHERE event_type <> 'view' GROUP BY ALL)"""),
+              FROM ev GROUP BY ALL)"""),
     "markets": (("registry",), """
         SELECT *, coalesce(template IN ('speech','earnings','duration') AND NOT is_nqe
                            AND resolution_risk IN ('low','medium') AND confidence >= 0.8, false) AS eligible

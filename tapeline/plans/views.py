@@ -91,7 +91,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and event type, so markets repeat and the first row must be kept."""
-    per = table(spark, sf_dir, "events").filter(F.col("event_type") != "view").groupBy(
+    per = table(spark, sf_dir, "events").groupBy(
         "user_id", "event_type").agg(F.min("event_id").alias("ingest_seq"))
     u = F.col("user_id")
     formats = F.array(*[F.lit(f) for f in ("earnings", "speech", "broadcast", "sports")])

@@ -87,14 +87,26 @@ def thanks_clusters(spark, sf_dir):
     return transcripts.thanks_clusters(_thanking(views.words(spark, sf_dir)))
 
 
-@query("loop_flags")
+@query("loop_flags", sql(f"""
+    SELECT * FROM (WITH RECURSIVE t AS (SELECT occasion_id, word_idx AS i, {QA} AS tok
+        FROM (SELECT * REPLACE (CASE WHEN word_idx // 25 % 4 = 1 THEN 'Loop' || (word_idx % 3) || ',' ELSE word END AS word) FROM words)),
+    e AS (SELECT occasion_id, i, tok <> '' AND tok IS NOT DISTINCT FROM lead(tok, 3) OVER (PARTITION BY occasion_id ORDER BY i) AS eq,
+                 max(i) OVER (PARTITION BY occasion_id) + 1 AS n FROM t),
+    r AS (SELECT occasion_id, i, n, coalesce(min(CASE WHEN NOT eq THEN i END) OVER (PARTITION BY occasion_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) - i AS run FROM e),
+    c AS (SELECT occasion_id, i, 1 + run // 3 AS reps FROM r WHERE run >= 6 AND i < n - 9),
+    s AS (SELECT occasion_id, min(i) AS i FROM c GROUP BY 1
+          UNION ALL
+          SELECT s.occasion_id, (SELECT min(d.i) FROM c d WHERE d.occasion_id = s.occasion_id AND d.i >= s.i + 3 * c.reps)
+          FROM s JOIN c ON c.occasion_id = s.occasion_id AND c.i = s.i)
+    SELECT s.occasion_id, s.i AS word_idx, reps FROM s JOIN c ON c.occasion_id = s.occasion_id AND c.i = s.i)""", "words"))
 def loop_flags(spark, sf_dir):
     return transcripts.loop_flags(_looping(views.words(spark, sf_dir)))
 
 
 def _looping(words):
-    """The word view with its words cut to their first letter, which makes loops frequent."""
-    return words.withColumn("word", F.substring("word", 1, 1))
+    """The word view, whole, with a three-word phrase said over and over in every fourth stretch."""
+    i = F.col("word_idx")
+    return words.withColumn("word", F.when(F.floor(i / 25) % 4 == 1, F.concat(F.lit("Loop"), i % 3, F.lit(","))).otherwise(F.col("word")))
 
 
 @query("tape_facts", sql(f"""
@@ -189,7 +201,7 @@ def _events(words, spark):
 VOCAB_RE = r"\bthe\b|that|from"
 CLUSTERS = f"""
     SELECT occasion_id, g, min(t_start_utc) AS t_call, max(t_start_utc) AS t_call_last, count(*) AS n_hits,
-           array_to_string(list(word ORDER BY t_start_utc, word_idx)[1:6], ' ') AS words
+           array_to_string(list(word ORDER BY t_start_utc, word_idx), ' ') AS words
     FROM (SELECT *, sum(c) OVER (PARTITION BY occasion_id ORDER BY t_start_utc, word_idx) AS g
           FROM (SELECT *, CASE WHEN t_start_utc - lag(t_start_utc) OVER (PARTITION BY occasion_id ORDER BY t_start_utc, word_idx) <= 20
                           THEN 0 ELSE 1 END AS c

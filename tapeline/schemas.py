@@ -129,6 +129,17 @@ def require_one_to_one(left: DataFrame, right: DataFrame, key: str) -> None:
             raise ContractError(f"{key} is not unique on the {side} side")
 
 
+def unique_rows(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """The same rows; the query that reads them fails where a key repeats.
+
+    Unlike ``require_one_to_one`` it runs no job of its own, and a join on the keys can use the
+    way its aggregate deals rows out.
+    """
+    rows = df.groupBy(*keys).agg(F.any_value(F.struct(*df.columns)).alias("_row"), F.count("*").alias("_n"))
+    twice = F.raise_error(F.concat(F.lit(f"{', '.join(keys)} repeats on the {side} side: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return rows.select(F.when(F.col("_n") == 1, F.col("_row")).otherwise(twice).alias("_row")).select("_row.*")
+
+
 _CATALOG = (
     text("market_ticker", False), text("event_ticker", False), text("series_ticker", False), text("series_title"),
     text("speaker"), text("format", False, FORMATS), text("yes_sub_title"), text("rules_primary"), text("rules_secondary"),

@@ -41,7 +41,7 @@ def write_review_csv(registry: DataFrame, path: str, only_flagged: bool = False,
     A global sort writes one ordered file per range, so a large review is not one task.
     """
     review_view(registry, only_flagged, rule_chars).write.mode("overwrite").option("header", True).option(
-        "escape", '"').csv(path)
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

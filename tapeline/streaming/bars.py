@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tapeline.functions.prices import known
-from tapeline.operators.bars import BAR_COLUMNS, PARTS, PERIOD_S, SIDES, arrival_order
-from tapeline.functions.times import bucket_end
+from tapeline.operators.bars import BAR_COLUMNS, PARTS, PERIOD_S, SIDES
 
 _CLOSES = [f"{s}_close" for s in SIDES]
 BAR_SCHEMA = "ticker string, ts bigint, " + ", ".join(f"{s}_{p} double" for s in SIDES for p in PARTS) + ", volume double"
@@ -31,10 +30,9 @@ def _timed_bars(ticks: DataFrame, period_s: int) -> DataFrame:
     The watermark follows the data, not the wall clock.
     """
     sides = {s: known(F.col(s)) for s in SIDES}
-    bucket = bucket_end(F.col("recv_utc"), period_s)
     rows = ticks.select("ticker", F.timestamp_seconds(F.col("recv_utc") - 1).alias("at"),
                         *[c.alias(s) for s, c in sides.items()],
-                        arrival_order(F.col("recv_utc"), bucket, F.col("seq"), period_s).alias("_at"))
+                        F.struct("recv_utc", "seq").alias("_at"))
     aggs = []
     for side in SIDES:
         at = F.when(F.col(side).isNotNull(), F.col("_at"))
