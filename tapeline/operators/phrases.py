@@ -125,6 +125,11 @@ def hit_rate(words: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
+def _letters(c: Column) -> Column:
+    """Lower case, with the four letters that match a plain one when case is ignored."""
+    return F.lower(F.translate(c, "ſ\u212aİı", "skii"))
+
+
 def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """End time of the word that closes each match of an anchor's label.
 
@@ -142,12 +147,25 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
         lambda x, y: F.concat(x, F.lit("\\s+"), y))).otherwise(F.array().cast("array<string>"))))
     # folded both ways, so that letters with several lower cases stay together
     words_of = F.flatten(F.transform("_s.alternates", lambda t: F.split(F.lower(F.upper(text.squeeze(t))), " ")))
+    plain = F.flatten(F.transform("_s.alternates", lambda t: F.split(text.squeeze(t), " ")))
     a = a.select("occasion_id", "series_key", F.col("_s.pattern").alias("pattern"), F.array_distinct(words_of).alias("needles"),
-                 F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"))
-    # a plain substring test first: patterns differ per row, and compiling them costs more than it
+                 F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"),
+                 F.array_distinct(F.transform(plain, lambda n: F.regexp_extract(_letters(n), "[a-z]+", 0))).alias("_akeys"))
+    # a match holds the first run of letters of a label's word whole, but for a plural; so words and
+    # anchors meet on those runs, and only then come substring tests and patterns
+    runs = F.regexp_extract_all(_letters(F.col("word")), F.lit("[a-z]+"), F.lit(0))
     folded = words.select("occasion_id", "word_idx", "word", "t_end_utc", F.lower(F.upper("word")).alias("_folded"))
-    near = join_small(folded, a, ["occasion_id"], ["word_idx"]).filter(
-        F.exists("needles", lambda n: F.contains("_folded", n))).drop("_folded", "needles")
+    run = F.col("_run")
+    ends = F.when(run.endswith("es"), F.array(run, F.expr("left(_run, length(_run) - 1)"), F.expr("left(_run, length(_run) - 2)"))).when(
+        run.endswith("s"), F.array(run, F.expr("left(_run, length(_run) - 1)"))).otherwise(F.array(run))
+    keyed = folded.withColumn("_run", F.explode(runs)).withColumn("_key", F.explode(ends)).join(
+        a.withColumn("_key", F.explode("_akeys")), ["occasion_id", "_key"]).drop("_run")
+    # labels with a word of no letters have no such run
+    loose = join_small(folded, a.filter(F.array_contains("_akeys", "")), ["occasion_id"], ["word_idx"])
+    # a word may meet an anchor by several runs; the few rows that pass the tests are made distinct
+    met = keyed.filter(~F.array_contains("_akeys", "")).drop("_key").unionByName(loose)
+    near = met.filter(F.exists("needles", lambda n: F.contains("_folded", n))).drop("_folded", "needles", "_akeys").dropDuplicates(
+        ["occasion_id", "series_key", "word_idx"])
     rows, order = by_position(materialize(near, "near"), ("occasion_id", "series_key"), "word_idx")
     rows = previous(rows, order, _pi=F.col("word_idx"), _pw=F.col("word"))
     joined = (F.col("_pi") == F.col("word_idx") - 1) & F.expr("concat(_pw, ' ', word) rlike joint")
