@@ -50,10 +50,14 @@ def test_bars_match(spark, seed):
     assert got == bars_by_hand([r[1:] for r in rows], start, stop)
 
 
-def test_seq_beyond_the_packing_fails(spark):
-    df = spark.createDataFrame([("A", T0, 1 << 60, 0.1, 0.2)], "ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double")
-    with pytest.raises(Exception, match="arrival order"):
-        bars.assemble_bars(df).collect()
+def test_nanosecond_seq_orders_bars(spark):
+    big = 1_700_000_000_000_000_000
+    df = spark.createDataFrame([("A", T0, big + 3, 0.3, 0.4), ("A", T0, big + 1, 0.1, 0.2), ("A", T0, big + 2, 0.2, None), ("A", T0 + 1, big + 9, 0.25, 0.5)],
+                               "ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double")
+    rows = bars.bucket_bars(df, 60).orderBy("ts").collect()
+    first = rows[0]
+    assert (first.yes_bid_open, first.yes_bid_high, first.yes_ask_open) == (0.1, 0.3, 0.2)
+    assert rows[-1].yes_bid_close == 0.25 and rows[-1].yes_ask_close == 0.5
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
