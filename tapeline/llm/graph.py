@@ -13,9 +13,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Every round joins each node's neighbours to the smallest of them, first the larger neighbours,
     then the smaller ones; the rounds needed grow with the logarithm of the longest chain. A round
-    is two aggregates and two joins on one node column, so a hub is a skewed side that adaptive
-    execution splits, and its minimum is pre-aggregated. Each round's edges go to the shared
-    folder; the driver sees one count and one checksum. Edges with a null end or a loop are
+    is two aggregates and two joins on one node column. The minima are pre-aggregated and stored
+    before the join, so that a hub is a skewed side that adaptive execution splits. Each round's
+    edges go to the shared folder; the driver sees one count and one checksum. Edges with a null end or a loop are
     ignored; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
@@ -35,11 +35,12 @@ def _state(e: DataFrame) -> tuple:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    e = materialize(e, "starred")
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

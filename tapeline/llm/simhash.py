@@ -120,14 +120,17 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
 
     Ids that are null come last; of repeated rows with that id one stays. Columns are kept.
     """
-    fp, root = free_name(docs, "fp"), free_name(docs, "root")
+    fp, key, least = free_name(docs, "fp"), free_name(docs, "row_key"), free_name(docs, "least")
     prints = materialize(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     rooted = nodes.join(roots(nodes.select("fp"), limit), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias(fp),
-                                      F.min("least").alias("least")).drop("root")
-    kept = with_fingerprint(docs, text, fp, shingle).join(best, fp).where(F.col(id).eqNullSafe(F.col("least")))
-    return kept.dropDuplicates([fp]).select(*docs.columns)
+                                      F.min("least").alias(least)).drop("root")
+    # copies share a fingerprint but not an id, so joined on both they spread over all tasks
+    best = best.withColumn(key, F.xxhash64(fp, least))
+    rows = with_fingerprint(docs, text, fp, shingle).withColumn(key, F.xxhash64(fp, id))
+    kept = rows.join(best, [fp, key]).where(F.col(id).eqNullSafe(F.col(least)))
+    return kept.dropDuplicates([fp, key]).select(*docs.columns)
 
 
 @query("op1_simhash")
