@@ -125,7 +125,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     """
     texts = texts.where("text is not null")
     seeds = materialize(all_anchors(texts, length, seed), "anchors")
-    # stored, so that the join deals both sides out itself and a hot anchor can be split
+    # what a join meets is stored first: both sides are then dealt out for it, and a hot key can be split
     shared = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     met = materialize(seeds.join(shared, "anchor"), "seeds")
 
@@ -134,12 +134,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     whole = met.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("key", "lo", (F.col("hi") + length).alias("hi"))
 
     mixed = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("anchor")
-    edges = spans.join(mixed, "anchor").groupBy("one.key").agg(F.collect_set(F.struct("one.lo", "one.hi")).alias("runs"))
+    edges = materialize(spans.join(mixed, "anchor").groupBy("one.key").agg(F.collect_set(F.struct("one.lo", "one.hi")).alias("runs")), "runs")
     windows = materialize(windows_of(texts.join(edges, "key").select("key", "text", "runs"), length), "windows")
     place = F.struct("key", "start")
     again = materialize(windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window"), "again")
     single = windows.join(again, "window").select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    return materialize(whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "repeats")
 
 
 def kept_words(text: bytes | None, runs: list[dict] | None) -> tuple[int, list[bytes]]:
