@@ -192,6 +192,7 @@ def archive(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url"
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = rows.withColumns({"digest": F.sha1(payload), "bytes": F.length(payload)})
     keys = rows.where(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keys = materialize(keys, "warc-copies")  # stored, so that a payload of many pages can be split in the join
     marked = rows.join(keys, ["digest", "bytes"], "left")
     revisit = (F.col("page_id") < F.col("first")) & F.col("first").isNotNull()
     return write(marked.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), "digest",
@@ -204,8 +205,8 @@ def report(index: DataFrame, folder: str, id: str = "page_id") -> DataFrame:
     Size and digest of a revisit are those of the response it refers to.
     """
     found = materialize(read(index, folder), "warc-records")
-    stored = found.where("kind = 'response' and page_id is not null").groupBy("page_id").agg(
-        F.max(F.struct("payload_bytes", "payload_digest")).alias("full")).withColumnRenamed("page_id", "refers_to")
+    stored = materialize(found.where("kind = 'response' and page_id is not null").groupBy("page_id").agg(
+        F.max(F.struct("payload_bytes", "payload_digest")).alias("full")).withColumnRenamed("page_id", "refers_to"), "warc-responses")
     revisits = found.where("kind = 'revisit'").drop("payload_bytes", "payload_digest").join(stored, "refers_to").select(
         "page_id", "full.payload_bytes", "full.payload_digest", "kind", "refers_to")
     return found.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", "kind", "refers_to").unionByName(revisits).select(
