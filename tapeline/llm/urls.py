@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import query, table
+from tapeline.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host, path and verdict of the registered query's rules.
@@ -68,7 +69,8 @@ def judge(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: str = "u
         (F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path")))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"),
                     F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
-    best = met.groupBy(F.col("url").alias("b_url")).agg(F.max(rank).alias("best"))
+    # stored, so that a URL of many rows can be split in the join
+    best = materialize(met.groupBy(F.col("url").alias("b_url")).agg(F.max(rank).alias("best")), "judged")
 
     host, path = split_url(F.col("_url"))
     return pages.select(F.col(id).alias("_id"), F.col(url).alias("_url")).join(best, F.col("_url") == F.col("b_url"), "left").select(
