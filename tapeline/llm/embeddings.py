@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
         rotations[n] = learn_rotation(np.frombuffer(b"".join(seen)).reshape(-1, n))
     coded = materialize(codes_of(nodes, rotations), "codes")
 
-    sizes = coded.groupBy("n", "code").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    sizes = materialize(coded.groupBy("n", "code").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "sizes")
     member = F.struct("node", "m", "unit")
     blocks = materialize(coded.join(sizes, ["n", "code"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).groupBy("n", "code", "block").agg(
         F.collect_list(member).alias("members")), "blocks")
