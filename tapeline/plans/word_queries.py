@@ -237,12 +237,16 @@ def phrase_hits(spark, sf_dir):
     return phrases.hit_rate(w, _vocab(w))
 
 
-@query("phrase_forms", sql(f"""
-    SELECT market_ticker, phrase, replace(forms, '|', '; ') AS forms FROM specs JOIN (VALUES {_FORM_ROWS}) f(phrase, forms) USING (phrase)
-    WHERE (SELECT count(*) FROM words) > 0""", "words", "specs"))
+@query("phrase_forms", """
+    SELECT phrase, string_agg(form, '; ' ORDER BY form) AS forms FROM (
+        SELECT DISTINCT phrase, unnest(CASE WHEN w LIKE '%s' THEN [w] ELSE [w, w || 's'] END) AS form
+        FROM (SELECT split_part(p_name, ' ', 1) || ' / ' || split_part(p_name, ' ', 2) AS phrase, lower(unnest(string_split(p_name, ' ')[1:2])) AS w FROM part))
+    GROUP BY phrase""")
 def phrase_forms(spark, sf_dir):
-    w = views.words(spark, sf_dir)
-    return _vocab(w).select("market_ticker", "phrase", F.array_join(text.surface_forms(F.col("phrase")), "; ").alias("forms")).distinct()
+    """Surface forms of the part names' words as alternates."""
+    w = F.split("p_name", " ")
+    phrases_ = views.table(spark, sf_dir, "part").select(F.concat_ws(" / ", F.get(w, F.lit(0)), F.get(w, F.lit(1))).alias("phrase")).distinct()
+    return phrases_.select("phrase", F.array_join(F.array_sort(text.surface_forms(F.col("phrase"))), "; ").alias("forms"))
 
 
 SPEC_LABELS = ("the", "of / and", "With (3+ times)", "that", "was / is", "From the", "the / and (12+ times)", "")
