@@ -45,6 +45,13 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of a batch stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is called that."""
     taken = {c.lower() for c in df.columns}
@@ -56,7 +63,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def add_column(df: DataFrame, name: str, dtype: T.DataType, values: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """``df`` with one more column, computed from Arrow batches inside the scan's own tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, values(b)], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, dtype)]))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import add_column, free_name, query, table, utf8, words
+from tapeline.llm.common import add_column, free_name, query, slices, table, utf8, words
 from tapeline.session import materialize
 
 LENGTH = 35
@@ -84,10 +84,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 def all_anchors(texts: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [anchors(t, length, seed) for t in utf8(b, "text")]
-            if not found:
-                continue
             keys = b.column(b.schema.get_field_index("key")).take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
             a, lo, hi, span = (np.concatenate(c) for c in zip(*found))
             yield pa.RecordBatch.from_arrays([_signed(a), keys, pa.array(lo), pa.array(hi), _signed(span)], names=["anchor", "key", "lo", "hi", "span"])
@@ -98,7 +96,7 @@ def all_anchors(texts: DataFrame, length: int, seed: int) -> DataFrame:
 def windows_of(runs: DataFrame, length: int) -> DataFrame:
     """(window, key, start) for every start in the runs of (key, text, runs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, hashes, starts = [], [], []
             for i, (t, spans) in enumerate(zip(utf8(b, "text"), b.column(b.schema.get_field_index("runs")).to_pylist())):
                 at = np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans]))
@@ -133,7 +131,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     spans = materialize(spans, "spans")
     whole = met.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("key", "lo", (F.col("hi") + length).alias("hi"))
 
-    mixed = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("anchor")
+    mixed = materialize(spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("anchor"), "mixed")
     edges = materialize(spans.join(mixed, "anchor").groupBy("one.key").agg(F.collect_set(F.struct("one.lo", "one.hi")).alias("runs")), "runs")
     windows = materialize(windows_of(texts.join(edges, "key").select("key", "text", "runs"), length), "windows")
     place = F.struct("key", "start")
@@ -170,11 +168,13 @@ def substring_report(docs: DataFrame, id: str = "doc_id", text: str = "text", le
     rows, _, runs = _with_runs(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", length, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [kept_words(t, r) for t, r in zip(utf8(b, "text"), b.column(b.schema.get_field_index(runs)).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("id")), pa.array([n for n, _ in done], pa.int64()), pa.array([n - len(k) for n, k in done], pa.int64()),
-                 pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in done], pa.string())], names=[id, "n_words", "n_removed", "kept_sha256"])
+        for b in slices(batches):
+            n_words, n_removed, digests = [], [], []
+            for t, r in zip(utf8(b, "text"), b.column(b.schema.get_field_index(runs)).to_pylist()):
+                n, kept = kept_words(t, r)
+                n_words.append(n), n_removed.append(n - len(kept)), digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())],
+                                             names=[id, "n_words", "n_removed", "kept_sha256"])
 
     kind = dict(docs.dtypes)[id]
     return rows.select("id", "text", runs).mapInArrow(run, f"`{id}` {kind}, n_words long, n_removed long, kept_sha256 string")
