@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     prints = materialize(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     rooted = nodes.join(roots(nodes.select("fp"), limit), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # components of one fingerprint need no second lookup
+    rooted = materialize(rooted, "rooted")
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     known = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(known, "fp", "left").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("component_root"))
