@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.llm.common import query, table, utf8, words
+from tapeline.llm.common import query, slices, table, utf8, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -68,9 +68,9 @@ def with_counts(docs: DataFrame, text: str, prefix: str) -> DataFrame:
     made = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [counts(t) for t in utf8(b, text)]
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, names=list(COUNTS))], names=[*b.schema.names, prefix])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(prefix, made)]))
