@@ -187,7 +187,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
 
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = nodes.select("node", "m", "least").join(components(met, "node", "other"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "named")
     known = materialize(rooted.join(named, "component").join(links, "node", "left").select(
         "node", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "components")
     out = rows.select("id", "node").join(known, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
