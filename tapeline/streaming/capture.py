@@ -84,8 +84,19 @@ class _Watch(StatefulProcessor):
         self.limits = limits
 
     def init(self, handle) -> None:
+        self.handle = handle
         # small: five minutes of one mid per ticker and check
         self.state = handle.getValueState("watch", "body string")
+        # observations that the watermark has not passed
+        self.pending = handle.getListState("pending", "ts bigint, ticker string, mid double")
+
+    def _first(self, start: int) -> int:
+        return (start // self.limits.period_s + 1) * self.limits.period_s + 1
+
+    def _timer(self, check: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(check * 1000)
 
     def _check(self, s: dict, at: int) -> list[tuple[int, str]]:
         lim, out = self.limits, []
@@ -104,34 +115,59 @@ class _Watch(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values("ts", kind="stable")
-        s = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out = []
-        for r in batch.to_dict("records"):
-            ts = int(r["ts"])
-            if s is None:
-                s = {"start": ts, "occurrence": ts, "word": 0, "mids": {}, "hist": {}, "stopped": False,
-                     "check": (ts // self.limits.period_s + 1) * self.limits.period_s + 1}
-            while not s["stopped"] and s["check"] < ts:
-                out += self._check(s, s["check"])
-                s["check"] += self.limits.period_s
-            if pd.isna(r["ticker"]):
-                s["word"] = max(s["word"], ts)
-            elif pd.notna(r["mid"]):
-                s["mids"][r["ticker"]] = float(r["mid"])
-            else:
-                s["mids"].pop(r["ticker"], None)
+        batch = pd.concat(rows)
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"stopped": False}
+        if not pd.isna(key[0]) and not s["stopped"]:
+            self.pending.appendList([(int(ts), None if pd.isna(t) else t, None if pd.isna(m) else float(m))
+                                     for ts, t, m in zip(batch["ts"], batch["ticker"], batch["mid"])])
+            if "check" not in s:
+                self._timer(self._first(min(r[0] for r in self.pending.get())))
+        yield pd.DataFrame([], columns=["occasion_id", "at", "kind"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto, out = timerValues.getCurrentWatermarkInMs() // 1000, []
+        rows = sorted(self.pending.get() if self.pending.exists() else [], key=lambda r: r[0])
+        if self.state.exists():
+            s = json.loads(self.state.get()[0])
+        else:
+            start = rows[0][0]
+            s = {"start": start, "occurrence": start, "word": 0, "mids": {}, "hist": {}, "stopped": False, "check": self._first(start)}
+        i = 0
+        while not s["stopped"] and s["check"] <= upto:
+            while i < len(rows) and rows[i][0] <= s["check"]:
+                ts, ticker, mid = rows[i]
+                if ticker is None:
+                    s["word"] = max(s["word"], ts)
+                elif mid is not None:
+                    s["mids"][ticker] = mid
+                else:
+                    s["mids"].pop(ticker, None)
+                i += 1
+            out += self._check(s, s["check"])
+            s["check"] += self.limits.period_s
         self.state.update((json.dumps(s),))
+        left = [] if s["stopped"] else [tuple(r) for r in rows[i:]]
+        if left:
+            self.pending.put(left)
+        else:
+            self.pending.clear()
+        if not s["stopped"]:
+            self._timer(s["check"])
         yield pd.DataFrame([(key[0], at, kind) for at, kind in out], columns=["occasion_id", "at", "kind"])
 
     def close(self) -> None:
         pass
 
 
-def watch(observations: DataFrame, limits: CaptureLimits = CaptureLimits()) -> DataFrame:
+def watch(observations: DataFrame, limits: CaptureLimits = CaptureLimits(), delay_s: int = 1) -> DataFrame:
     """Alerts of a running capture from one stream of observations.
 
     ``observations``: occasion_id, ts, ticker, mid. A row without a ticker is a word that ended at
     ``ts``; one with a ticker is its standing mid. The first observation starts the capture.
+    A check runs when the watermark, ``delay_s`` behind the latest observation of any occasion,
+    has passed it, so an occasion that falls silent is stopped too; later rows are dropped. A row
+    without an occasion only moves the watermark.
     """
-    return observations.groupBy("occasion_id").transformWithStateInPandas(_Watch(limits), ALERT_SCHEMA, "Append", "None")
+    timed = observations.select("occasion_id", "ts", "ticker", "mid", F.timestamp_seconds("ts").alias("_at"))
+    return timed.withWatermark("_at", f"{delay_s} seconds").groupBy("occasion_id").transformWithStateInPandas(
+        _Watch(limits), ALERT_SCHEMA, "Append", "EventTime")

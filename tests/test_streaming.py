@@ -93,6 +93,22 @@ def test_watch_and_its_batch_twins(spark, tmp_path):
     assert (capped.stop_utc - T0, capped.stop_reason) == (301, "max_duration")
 
 
+def test_silent_occasions_stop_too(spark, tmp_path):
+    """Occasions without a ticker, or whose rows end, get the stop of the batch rule, however rows are cut into batches."""
+    lim = capture.CaptureLimits(min_capture_s=120, max_capture_s=900, quiet_s=200)
+    rng = random.Random(8)
+    spoken = {k: sorted(T0 + rng.randrange(10 + 120 * k) for _ in range(30 * k)) for k in range(1, 9)}
+    rows = [(k, t, None, None) for k, ts in spoken.items() for t in ts]
+    rng.shuffle(rows)
+    mark = [(None, T0 + 200_000, None, None)]
+    stream = as_stream(spark, tmp_path, [rows[:300], rows[300:700], rows[700:], mark], "occasion_id bigint, ts bigint, ticker string, mid double")
+    got = sorted(map(tuple, append_to_table(capture.watch(stream, lim, delay_s=100_000), "q").collect()))
+    w = spark.createDataFrame([(k, t) for k, ts in spoken.items() for t in ts], "occasion_id bigint, t_end_utc bigint")
+    occ = spark.createDataFrame([(k, ts[0], ts[0]) for k, ts in spoken.items()], "occasion_id bigint, capture_start_utc bigint, occurrence_ts bigint")
+    want = sorted(map(tuple, capture.stop_times(w, occ, lim).collect()))
+    assert got == want and {k for _, _, k in want} == {"speech_ended", "max_duration"}
+
+
 def commits_by_hand(passes, max_dt=2.0, limit=75.0, hold=10.0, window=15.0):
     done, prev, dropped, out = [], [], 0.0, []
     for end, hyp in passes:
