@@ -135,7 +135,12 @@ WORD_SPLIT = "[ \\n\\t\\r]+"
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as transcripts: one row per token with gaps, ties and backward jumps in time."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
+    return words_of(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
+
+
+def words_of(documents: DataFrame) -> DataFrame:
+    """The same of (doc_id, lang, text), which may be a stream."""
+    docs = documents.select(
         "doc_id", "lang", F.posexplode(F.filter(
             F.split("text", WORD_SPLIT), lambda t: t != "")).alias("word_idx", "word"))
     i, d = F.col("word_idx").cast("bigint"), F.col("doc_id")

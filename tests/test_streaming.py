@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tapeline.operators.bars import bucket_bars
+from tapeline.plans import stream_queries, views
 from tapeline.streaming import bars, book, capture, commits
 from tapeline.streaming.run import append_to_table
 
@@ -109,6 +110,16 @@ def test_silent_occasions_stop_too(spark, tmp_path):
     assert got == want and {k for _, _, k in want} == {"speech_ended", "max_duration"}
 
 
+def test_watch_reads_the_words(spark):
+    """The stops of the registered query are those of the batch rule over the words of the documents."""
+    data = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, stream_queries.stream_watch(spark, data).filter("kind != 'blind'").collect()))
+    w = views.words(spark, data).select("occasion_id", "t_end_utc")
+    quoted = views.ticks(spark, data).select(F.substring("ticker", 2, 20).cast("bigint"), "recv_utc")
+    occ = w.union(quoted).groupBy("occasion_id").agg(F.min("t_end_utc").alias("capture_start_utc"), F.min("t_end_utc").alias("occurrence_ts"))
+    assert got == sorted(map(tuple, capture.stop_times(w, occ, stream_queries._WATCH).collect()))
+
+
 def commits_by_hand(passes, max_dt=2.0, limit=75.0, hold=10.0, window=15.0):
     done, prev, dropped, out = [], [], 0.0, []
     for end, hyp in passes:
