@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``materialize`` has made since the innermost open ``settled`` began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -62,5 +68,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of ``make()``; whatever else it stored on the way is deleted.
+
+    Only the result may be read afterwards. A failure deletes the intermediate tables too.
+    """
+    mine: list[str] = []
+    token, open_ = _MADE.set(mine), True
+    spark = None
+    try:
+        out = make()
+        spark = out.sparkSession
+        _MADE.reset(token)
+        open_ = False
+        return materialize(out, name)
+    finally:
+        if open_:
+            _MADE.reset(token)
+        delete(spark or SparkSession.active(), *mine)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders through the file system that Spark itself uses for them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
