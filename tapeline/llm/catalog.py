@@ -6,6 +6,6 @@ from tapeline.llm.common import ORACLES, QUERIES, Query
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tapeline.llm import embeddings, mixing, packing, periodic, quality, simhash, substrings, token_counts, toxicity, urls, vector_codes, warc  # noqa: F401
+    from tapeline.llm import embeddings, licenses, mixing, packing, periodic, quality, simhash, substrings, token_counts, toxicity, urls, vector_codes, warc  # noqa: F401
 
     return QUERIES, ORACLES
