@@ -54,6 +54,16 @@ def by_position(df: DataFrame, keys: tuple[str, ...], position: str,
             Ordering(keys, (position,), "_chunk"))
 
 
+def by_range(df: DataFrame, *order: str) -> DataFrame:
+    """``df``, stored, with a ``_chunk`` that follows ``order`` and holds about equally many rows.
+
+    Chunks are range partitions, so they need no knowledge of how the values are spread; rows that
+    are equal in ``order`` share one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id()), "ranged")
+
+
 def scan(df: DataFrame, o: Ordering, previous: dict[str, Column] | None = None,
          following: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
          total: dict[str, Column] | None = None) -> DataFrame:

@@ -200,12 +200,44 @@ def _calibrated(spark, sf_dir, method):
     return out.select("doc_id", "split", F.round("p_cal", 6).alias("p_cal"))
 
 
-@query("isotonic")
+_SPLIT = """SELECT *, CASE WHEN ts <= (SELECT quantile_cont(ts, 0.6) FROM scores) + 1e-6 THEN 'train' ELSE 'test' END AS split FROM scores"""
+
+# The fit at a row is the greatest, over all stretches' starts up to it, of the least mean of a stretch to or past it.
+ISOTONIC_CTES = {
+    "sides": _SPLIT,
+    "train": "SELECT row_number() OVER (ORDER BY p_raw, doc_id) AS i, p_raw AS x, CAST(y AS DOUBLE) AS y FROM sides WHERE split = 'train'",
+    "sums": "SELECT i, sum(y) OVER (ORDER BY i) AS upto, sum(y) OVER (ORDER BY i) - y AS before FROM train",
+    "least": """SELECT a.i AS a, b.i AS i, min((b.upto - a.before) / (b.i - a.i + 1)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m
+                FROM sums a JOIN sums b ON a.i <= b.i""",
+    "fit": "SELECT i, max(m) AS f FROM least GROUP BY i",
+    "knots": "SELECT x, avg(f) AS yhat FROM train JOIN fit USING (i) GROUP BY x",
+    "asked": "SELECT *, greatest(0.0, least(1.0, p_raw)) AS q FROM sides",
+    "met": """SELECT s.*, a.x AS x0, a.yhat AS y0, b.x AS x1, b.yhat AS y1 FROM asked s
+              ASOF LEFT JOIN knots a ON s.q >= a.x ASOF LEFT JOIN knots b ON s.q <= b.x"""}
+
+
+@query("isotonic", sql("""
+    SELECT doc_id, split, round(greatest(0.001, least(0.999, CASE WHEN x0 < x1 THEN y0 + (y1 - y0) / (x1 - x0) * (q - x0) ELSE coalesce(y0, y1) END)), 6) AS p_cal FROM met""",
+    "scores", **ISOTONIC_CTES))
 def isotonic(spark, sf_dir):
     return _calibrated(spark, sf_dir, "isotonic")
 
 
-@query("platt")
+def _newton(steps: int) -> dict[str, str]:
+    """Plain Newton steps from (0, 0)."""
+    out = {"sides": _SPLIT, "train": """SELECT ln(q / (1.0 - q)) AS x, count(*) AS n, sum(y) AS y
+               FROM (SELECT *, greatest(1e-6, least(1.0 - 1e-6, p_raw)) AS q FROM sides WHERE split = 'train') GROUP BY ALL""",
+           "b0": "SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS a"}
+    for k in range(steps):
+        out[f"w{k}"] = f"SELECT b, a, x, y - n / (1.0 + exp(-b - a * x)) AS r, n * exp(-b - a * x) / (1.0 + exp(-b - a * x)) ** 2 AS w FROM train, b{k}"
+        out[f"s{k}"] = f"SELECT any_value(b) AS b, any_value(a) AS a, sum(r) AS g0, sum(r * x) AS g1, sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) AS h11 FROM w{k}"
+        out[f"b{k + 1}"] = f"""SELECT b + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b, a + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS a FROM s{k}"""
+    return out
+
+
+@query("platt", sql("""
+    SELECT doc_id, split, round(greatest(0.001, least(0.999, 1.0 / (1.0 + exp(-b - a * ln(q / (1.0 - q)))))), 6) AS p_cal
+    FROM (SELECT *, greatest(1e-6, least(1.0 - 1e-6, p_raw)) AS q FROM sides), b8""", "scores", **_newton(8)))
 def platt(spark, sf_dir):
     return _calibrated(spark, sf_dir, "platt")
 

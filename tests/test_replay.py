@@ -142,6 +142,43 @@ def test_isotonic_matches(spark, seed):
     assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-9
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_isotonic_blocks_over_partitions(spark, partitions):
+    """All scores in one narrow band, most of them shared, over many partitions; and no trend at all."""
+    rng = np.random.default_rng(partitions)
+    for p in (rng.integers(0, 9, 800) * 1e-6, rng.random(800) * 2e-4, np.full(300, 1e-5)):
+        for y in ((rng.random(len(p)) < 0.5).astype(float), np.round(rng.normal(p * 1e4, 1.0), 3), -p, np.zeros(len(p))):
+            rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y))]
+            df = spark.createDataFrame(rows, "i bigint, p double, y double").repartition(3)
+            curve = sorted(calibrate.isotonic_curve(df, "p", "y", "i", partitions).collect())
+            rows.sort(key=lambda r: (r[1], r[0]))
+            fit = np.array(pava([r[2] for r in rows]))
+            xs = np.unique(p)
+            want = np.array([fit[[r[1] == x for r in rows]].mean() for x in xs])
+            assert np.abs(np.interp(xs, [c.x for c in curve], [c.yhat for c in curve]) - want).max() < 1e-9
+        # a corner is a score, and between two corners the curve is straight
+        assert {c.x for c in curve} <= set(xs.tolist())
+
+
+def test_isotonic_rows_stay_spread(spark):
+    """Rows of one narrow band of scores are pooled by many tasks."""
+    df = spark.range(20_000).selectExpr("id AS i", "id * 1e-9 AS p", "CAST(id % 7 < id / 4000 AS DOUBLE) AS y")
+    blocks = df.selectExpr("p AS first", "i AS tie").repartitionByRange(8, "first", "tie")
+    assert blocks.selectExpr("spark_partition_id() AS part").groupBy("part").count().agg(F.max("count")).first()[0] < 6000
+    assert abs(calibrate.isotonic_blocks(df, "p", "y", "i").agg(F.sum("total")).first()[0] - df.agg(F.sum("y")).first()[0]) < 1e-6
+
+
+@pytest.mark.parametrize("values", [
+    [3.0], [1.0, 2.0], [5.0] * 40, [float(i % 7) for i in range(100)], [1e-300 * i for i in range(50)], [10.0 ** i for i in range(-12, 12)],
+    [1.0, 1.0 + 2**-52, 1.0 + 2**-51], [0.0] * 99 + [1e18], [None, float("nan"), 2.0, 9.0]])
+def test_exact_quantile(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    known = [v for v in values if v is not None and v == v]
+    for q in (0.0, 0.1, 0.6, 1.0):
+        assert calibrate.exact_quantile(df, F.col("v"), q) == pytest.approx(float(np.quantile(known, q)), rel=1e-12, abs=0.0)
+    assert calibrate.exact_quantile(df.limit(0), F.col("v"), 0.5) is None
+
+
 def test_isotonic_ties_enter_in_row_order(spark):
     rows = [(0, 0.4, 1, "train"), (1, 0.5, 0, "train"), (2, 0.5, 1, "train")]
     got = {r.i: round(r.p_cal, 9) for r in calibrate.calibrate(spark.createDataFrame(rows, "i bigint, p double, y int, split string"), "p", "y", "split", "i").collect()}
