@@ -154,17 +154,29 @@ def bar_coverage(spark, sf_dir):
     return universe.attach_coverage(views.markets(spark, sf_dir), views.candles(spark, sf_dir)).select("market_ticker", "n_candles", "has_candles")
 
 
+# Customers as markets: many of them have no bars.
+_LISTED = """SELECT 'U' || c_custkey AS market_ticker, c_acctbal > 0 AS eligible, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'yes' WHEN c_mktsegment = 'FURNITURE' THEN 'no' ELSE '' END AS result
+             FROM customer"""
+
+
+def _listed(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer")
+    segment = F.col("c_mktsegment")
+    return c.select(F.concat(F.lit("U"), "c_custkey").alias("market_ticker"), (F.col("c_acctbal") > 0).alias("eligible"),
+                    F.when(segment.isin("BUILDING", "MACHINERY"), "yes").when(segment == "FURNITURE", "no").otherwise("").alias("result"))
+
+
 @query("coverage", sql("""
-    SELECT count(*) AS n_target, count(*) FILTER (b) AS n_covered, count(*) FILTER (NOT b) AS n_missing, (SELECT count(*) FROM candles WHERE volume > 2) AS n_bars
-    FROM (SELECT market_ticker IN (SELECT ticker FROM candles WHERE volume > 2) AS b FROM markets WHERE eligible AND result IN ('yes', 'no'))""", "markets", "candles"))
+    SELECT count(*) AS n_target, count(*) FILTER (b) AS n_covered, count(*) FILTER (NOT b) AS n_missing, (SELECT count(*) FROM candles) AS n_bars
+    FROM (SELECT market_ticker IN (SELECT ticker FROM candles) AS b FROM listed WHERE eligible AND result IN ('yes', 'no'))""", "candles", listed=_LISTED))
 def coverage(spark, sf_dir):
-    return universe.coverage_stats(views.candles(spark, sf_dir).filter("volume > 2"), views.markets(spark, sf_dir))
+    return universe.coverage_stats(views.candles(spark, sf_dir), _listed(spark, sf_dir))
 
 
-@query("missing_keys", sql("SELECT DISTINCT market_ticker FROM predictions WHERE market_ticker NOT IN (SELECT ticker FROM candles WHERE volume > 6)", "predictions", "candles"))
+@query("missing_keys", sql("SELECT DISTINCT market_ticker FROM listed WHERE market_ticker NOT IN (SELECT ticker FROM candles)", "candles", listed=_LISTED))
 def missing_keys(spark, sf_dir):
-    have = views.candles(spark, sf_dir).filter("volume > 6").select(F.col("ticker").alias("market_ticker"))
-    return dedup.missing_keys(views.predictions(spark, sf_dir), have, "market_ticker")
+    have = views.candles(spark, sf_dir).select(F.col("ticker").alias("market_ticker"))
+    return dedup.missing_keys(_listed(spark, sf_dir), have, "market_ticker")
 
 
 # --- occasions ------------------------------------------------------------------------------------

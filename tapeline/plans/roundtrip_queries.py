@@ -32,13 +32,13 @@ def bars_by_day(spark, sf_dir):
     return spark.read.parquet(path).where("period_minutes = 1440").select("ticker", "ts", "yes_bid_close", "volume")
 
 
-@query("missing_table", "SELECT 0 AS n_rows, 21 AS n_columns, (SELECT count(*) FROM events) AS n_events")
+@query("missing_table", sql("SELECT ticker, ts, period_minutes, yes_bid_close, yes_ask_close, volume, false AS late FROM candles", "candles"))
 def missing_table(spark, sf_dir):
-    """A table that isn't there has its contract's columns and no rows."""
-    none = tables.load_table(spark, shared_dir(spark, "none"), schemas.CATALOG)
-    events = views.table(spark, sf_dir, "events")
-    return none.agg(F.count("*").cast("int").alias("n_rows"), F.lit(len(none.columns)).alias("n_columns"),
-                    events.agg(F.count("*")).scalar().alias("n_events"))
+    """The bars beside those of a table that nobody has written yet: it adds its columns and no rows."""
+    path = tables.save_table(_bars(spark, sf_dir), shared_dir(spark, "bars"), schemas.CANDLES)
+    found = tables.load_table(spark, path, schemas.CANDLES, must_exist=True).withColumn("late", F.lit(False))
+    none = tables.load_table(spark, shared_dir(spark, "none"), schemas.CANDLES).withColumn("late", F.lit(True))
+    return found.unionByName(none).select("ticker", "ts", "period_minutes", "yes_bid_close", "yes_ask_close", "volume", "late")
 
 
 @query("tape_append", sql("SELECT CASE WHEN seq % 5 = 0 THEN 'late' ELSE 'main' END AS occasion_id, * FROM ticks", "ticks"))
@@ -53,12 +53,12 @@ def tape_append(spark, sf_dir):
 
 
 @query("transcript_replace", sql("""
-    SELECT occasion_id, word_idx, CASE WHEN occasion_id % 3 = 0 THEN word || '!' ELSE word END AS word, t_start_utc FROM words WHERE occasion_id % 3 = 0 OR word_idx % 2 = 0""", "words"))
+    SELECT occasion_id, word_idx, CASE WHEN occasion_id % 3 = 0 THEN word || '!' ELSE word END AS word, t_start_utc FROM words""", "words"))
 def transcript_replace(spark, sf_dir):
-    """Every other word of all occasions, then a third of the occasions again, whole."""
+    """All words of all occasions, then a third of the occasions again, whole and changed."""
     w = views.words(spark, sf_dir).select(*[F.col(c) for c in schemas.TRANSCRIPT.columns])
     path = shared_dir(spark, "transcripts")
-    tables.write_transcript(w.where(F.col("word_idx") % 2 == 0), path, schemas.TRANSCRIPT)
+    tables.write_transcript(w, path, schemas.TRANSCRIPT)
     tables.write_transcript(w.where(F.col("occasion_id") % 3 == 0).withColumn("word", F.concat("word", F.lit("!"))), path, schemas.TRANSCRIPT)
     rows = tables.load_transcript(spark, path, schemas.LIVE_TRANSCRIPT)
     return rows.select(F.col("occasion_id").cast("bigint").alias("occasion_id"), "word_idx", "word", "t_start_utc")
@@ -116,18 +116,20 @@ def said_by_hook(spark, sf_dir):
 class _Documents:
     """Documents of one language as a corpus source."""
 
-    def __init__(self, sf_dir: str, lang: str):
+    def __init__(self, sf_dir: str, lang: str | None):
         self.sf_dir, self.lang = sf_dir, lang
 
     def load(self, spark):
-        d = views.table(spark, self.sf_dir, "documents").where(F.col("lang") == self.lang)
+        d = views.table(spark, self.sf_dir, "documents").where(F.col("lang").eqNullSafe(self.lang))
         return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("speaker"), F.lit("speech").alias("format"), F.lit(None).cast("string").alias("occasion"),
                         F.col("doc_id").alias("date_ts"), F.lit(self.lang).alias("source"), F.lit(None).cast("string").alias("url"), F.col("n_chars").alias("n_words"), "text")
 
 
-@query("corpus_sources", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS speaker, lang AS source, text FROM documents WHERE lang IN ('en', 'de')")
+@query("corpus_sources", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS speaker, lang AS source, text FROM documents")
 def corpus_sources(spark, sf_dir):
-    return pages.corpus_of(spark, [_Documents(sf_dir, "en"), _Documents(sf_dir, "de")]).select("doc_id", "speaker", "source", "text")
+    """One source for each language there is."""
+    langs = [r.lang for r in views.table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
+    return pages.corpus_of(spark, [_Documents(sf_dir, lang) for lang in langs]).select("doc_id", "speaker", "source", "text")
 
 
 @query("time_split_rank", sql("""

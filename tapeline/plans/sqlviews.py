@@ -115,7 +115,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                volume, open_interest, status, array_to_string(sources, '|') AS settlement_sources, CAST(len(sources) AS BIGINT) AS n_settlement_sources,
                false AS has_candles, CAST(0 AS BIGINT) AS n_candles
         FROM kept"""),
-    "res_": (("kept",), """
+    "parsed_": (("kept",), """
         SELECT *, CASE WHEN template = 'nqe' THEN 'medium' WHEN vague AND base = 'low' THEN 'medium' WHEN vague THEN 'high' ELSE base END AS resolution_risk,
                CASE WHEN template = 'nqe' THEN 'qualifying-event-does-not-occur leg (cancellation clause); not a phrase pred'
                     ELSE 'template=' || template || '; ' || CASE WHEN template = 'other' THEN 'unrecognized rule template — needs manual parse; ' ELSE '' END || why ||
@@ -129,7 +129,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                           WHEN template = 'earnings' OR video THEN 'video/transcript-primary resolution → low approved-outlet-miss risk'
                           WHEN n >= 5 THEN n || ' approved outlets → low miss risk'
                           WHEN n >= 1 THEN 'only ' || n || ' approved source(s) → outlet-dependency risk' ELSE 'no governing source declared' END AS why
-              FROM (SELECT ticker AS market_ticker, coalesce(series_ticker, series) AS series, second, len(sources) AS n, second LIKE 'Video%' AS video,
+              FROM (SELECT ticker AS market_ticker, coalesce(series_ticker, series) AS series, second, event_ticker, coalesce(series_ticker, series) AS series_ticker, series_title,
+                           CASE k % 6 WHEN 0 THEN 'Game' WHEN 1 THEN 'Acme' WHEN 2 THEN 'Dancing' WHEN 3 THEN 'Face the Nation' WHEN 4 THEN 'Town Hall' ELSE 'State of Play special' END AS listed_speaker,
+                           CASE k % 6 WHEN 0 THEN 'sports' WHEN 1 THEN 'earnings' WHEN 2 THEN 'entertainment' WHEN 3 THEN 'broadcast' WHEN 4 THEN 'speech' ELSE 'entertainment' END AS format,
+                           rules, open_ts, close_ts, occurrence_ts, expiration_ts, result, volume, open_interest, status, len(sources) AS n, second LIKE 'Video%' AS video,
                            (['speech', 'earnings', 'duration', 'length', 'superlative', 'nqe', 'other'])[k % 7 + 1] AS template,
                            CASE k % 7 WHEN 0 THEN s_name WHEN 1 THEN 'any ' || s_name || ' representative' WHEN 2 THEN s_name WHEN 4 THEN 'any person or ' || s_name ELSE '' END AS speaker,
                            CASE k % 7 WHEN 0 THEN p_type || ' remarks' WHEN 1 THEN s_name || ' earnings call' WHEN 2 THEN 'public statements before Jan 5' WHEN 4 THEN p_type ELSE '' END AS occasion,
@@ -139,12 +142,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                            k % 7 = 5 AS cancellation_clause, k % 7 = 5 AS is_nqe,
                            CAST((['0.9', '0.9', '0.85', '0.85', '0.85', '0.95', '0.4'])[k % 7 + 1] AS DOUBLE) AS confidence
                     FROM kept))"""),
-    "registry_": (("catalog_", "res_"), """
-        SELECT c.* EXCLUDE (speaker), CASE WHEN r.speaker <> '' AND r.speaker NOT LIKE 'any %' THEN r.speaker ELSE c.speaker END AS speaker,
-               r.template, r.phrase, r.variant_rule, r.occasion, r.cutoff_ts, array_to_string(r.governing_sources, '|') AS governing_sources, r.early_resolution,
-               r.cancellation_clause, r.is_nqe, r.resolution_risk, r.confidence, r.notes,
-               r.template IN ('speech', 'earnings', 'duration') AND NOT r.is_nqe AND r.resolution_risk IN ('low', 'medium') AND r.confidence >= 0.8 AS eligible
-        FROM catalog_ c JOIN res_ r USING (market_ticker)"""),
+    "res_": (("parsed_",), """
+        SELECT market_ticker, series, second, n, video, template, speaker, occasion, phrase, variant, variant_rule, cutoff_ts, governing_sources, early_resolution, cancellation_clause, is_nqe,
+               confidence, vague, base, why, resolution_risk, notes FROM parsed_"""),
+    "registry_": (("parsed_",), """
+        SELECT market_ticker, event_ticker, series_ticker, series_title, format, phrase AS yes_sub_title, rules AS rules_primary, second AS rules_secondary, open_ts, close_ts, occurrence_ts,
+               expiration_ts, result, volume, open_interest, status, array_to_string(governing_sources, '|') AS settlement_sources, CAST(n AS BIGINT) AS n_settlement_sources,
+               false AS has_candles, CAST(0 AS BIGINT) AS n_candles,
+               CASE WHEN speaker <> '' AND speaker NOT LIKE 'any %' THEN speaker ELSE listed_speaker END AS speaker,
+               template, phrase, variant_rule, occasion, cutoff_ts, array_to_string(governing_sources, '|') AS governing_sources, early_resolution,
+               cancellation_clause, is_nqe, resolution_risk, confidence, notes,
+               template IN ('speech', 'earnings', 'duration') AND NOT is_nqe AND resolution_risk IN ('low', 'medium') AND confidence >= 0.8 AS eligible
+        FROM parsed_"""),
     "scores": ((), """
         SELECT l.doc_id, n_chars % 97 / 96.0 AS p_raw, quality AS y, l.doc_id AS ts
         FROM labels l JOIN documents d USING (doc_id)"""),
