@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import query, table
@@ -34,19 +34,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id, digest: str) -> str:
+    """Names a page and its payload; only equal payloads of one page share a name."""
+    return f"<urn:page:{'' if page_id is None else page_id}:sha1:{digest}>"
 
 
 def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC/1.1 record. A revisit has no block; control characters of the URL are escaped."""
     block = b"" if kind == "revisit" else payload
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     head.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
     head += [("Content-Type", "text/html"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -109,12 +110,22 @@ def seek_table(f, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the file system that Spark would use for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (pafs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Write bundles of (page_id, url, html, kind, digest, refers_to) rows; the index, stored."""
+    folder = qualified(records.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
@@ -146,13 +157,16 @@ def write(records: DataFrame, folder: str) -> DataFrame:
 def read(index: DataFrame, folder: str) -> DataFrame:
     """(page_id, kind, refers_to, payload_bytes, payload_digest) of every record that ``index`` lists.
 
-    Each frame that holds a listed record is sought by the bundle's footer and read once; sizes
-    and digests come from the blocks found there.
+    Each frame that holds a listed record is sought by the bundle's footer and read once. Sizes
+    and digests of responses come from the blocks found there; a revisit has no size, and the
+    digest of its header. Bundles are dealt to as many tasks as there are bundles.
     """
+    folder = qualified(index.sparkSession, folder)
+    bundles = max(1, index.agg(F.count_distinct("bundle")).first()[0])
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("frame_offset")).alias("places"))
 
     def number(urn: str) -> int | None:
-        text = urn.removeprefix("<urn:page:").removesuffix(">")
+        text = urn.removeprefix("<urn:page:").split(":")[0]
         return int(text) if text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +185,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     head, block, _ = parse(data, place)
                     revisit = head["WARC-Type"] == "revisit"
                     out.append((number(head["WARC-Record-ID"]), head["WARC-Type"], number(head["WARC-Refers-To"]) if revisit else None,
-                                None if revisit else len(block), None if revisit else hashlib.sha1(block).hexdigest()))
+                                None if revisit else len(block), head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(block).hexdigest()))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             cols = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "kind", "refers_to", "payload_bytes", "payload_digest"])
 
-    return frames.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(
+    return frames.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame").mapInArrow(
         run, "page_id long, kind string, refers_to long, payload_bytes long, payload_digest string")
 
 
@@ -202,14 +216,15 @@ def archive(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url"
 def report(index: DataFrame, folder: str, id: str = "page_id") -> DataFrame:
     """Read the bundles back: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Size and digest of a revisit are those of the response it refers to.
+    The size of a revisit is that of the response it refers to: of the stored record with that id
+    and the revisit's own digest, so ids may repeat with other payloads.
     """
     found = materialize(read(index, folder), "warc-records")
-    stored = materialize(found.where("kind = 'response' and page_id is not null").groupBy("page_id").agg(
-        F.max(F.struct("payload_bytes", "payload_digest")).alias("full")).withColumnRenamed("page_id", "refers_to"), "warc-responses")
-    revisits = found.where("kind = 'revisit'").drop("payload_bytes", "payload_digest").join(stored, "refers_to").select(
-        "page_id", "full.payload_bytes", "full.payload_digest", "kind", "refers_to")
-    return found.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", "kind", "refers_to").unionByName(revisits).select(
+    stored = materialize(found.where("kind = 'response' and page_id is not null").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct(), "warc-responses")
+    revisits = found.where("kind = 'revisit'").drop("payload_bytes").join(stored, ["refers_to", "payload_digest"])
+    columns = ["page_id", "payload_bytes", "payload_digest", "kind", "refers_to"]
+    return found.where("kind = 'response'").select(*columns).unionByName(revisits.select(*columns)).select(
         F.col("page_id").alias(id), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -54,6 +54,23 @@ def test_odd_pages(spark, frame):
     assert found == len(rows)
 
 
+def test_repeated_ids_with_other_bodies(spark, frame):
+    """Both revisits of page 1 lead to page 2, each to the body it had."""
+    a, b = "a" * 1500, "b" * 2500
+    rows = [(1, "u", a), (2, "u", a), (2, "u", b), (1, "u", b), (2, "u", a), (3, "u", "tiny")]
+    folder = shared_dir(spark, "warc")
+    index = warc.archive(frame(rows, "page_id long, url string, html string"), folder)
+    assert sorted((tuple(r) for r in warc.report(index, folder).collect()), key=str) == by_hand(rows)
+    assert len({warc.record_id(i, hashlib.sha1(t.encode()).hexdigest()) for i, _, t in rows}) == 5
+
+
+def test_paths(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    fs, root = warc._open(f"file:{tmp_path}")
+    assert isinstance(fs, pafs.LocalFileSystem) and root == str(tmp_path)
+    assert warc._open("file:///a/b")[1] == "/a/b"
+
+
 def test_one_frame_is_read_alone():
     bundle = warc.Bundle()
     records = [warc.record("response", i, f"http://x/{i}", os.urandom(40_000), "d", None) for i in range(40)]
