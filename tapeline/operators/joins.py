@@ -1,8 +1,8 @@
 """Time joins: as-of, first touch and bounded ranges.
 
-Keys may be hot, so no join here is on the key alone. Bounded lookups are joined on (key, time
-chunk), open-ended ones on (key, salt), the salt being taken from the bar's time. Whether a side is
-broadcast is left to Spark's statistics.
+Keys may be hot, so no join here is on the key alone but for one on a few rows per key. Bounded
+lookups are joined on (key, time chunk); an open-ended one finds its chunk in an index of chunks
+first. Whether a side is broadcast is left to Spark's statistics.
 """
 
 from __future__ import annotations
@@ -13,21 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.operators.ordered import Ordering, last_known
+from tapeline.session import materialize
 
-SALTS = 32
-SALT_SPAN_S = 86_400
-
-
-def _with_bars(points: DataFrame, bars: DataFrame, condition: Column, salts: int) -> DataFrame:
-    """Points joined to their ticker's bars.
-
-    A hot ticker's bars are spread over ``salts`` tasks: there are few points per ticker, each is
-    copied once per salt, each bar stays single.
-    """
-    spread = points.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = bars.withColumn(
-        "_salt", F.pmod(F.floor(F.col("ts") / SALT_SPAN_S), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["ticker", "_salt"]).filter(condition)
+BLOCK_S = 7 * 86_400
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str],
@@ -54,28 +42,36 @@ def latest_bar(points: DataFrame, bars: DataFrame, values: Iterable[str], max_ag
     """
     values = list(values)
     points = points.select("ticker", "decision_ts").distinct()
-    # of the bars of one time only the longest can be the answer
-    longest = bars.groupBy("ticker", "ts").agg(*[F.max_by(v, "period_minutes").alias(v) for v in values])
-    hits = within_seconds(points, longest, ["ticker"], F.col("decision_ts") - F.lit(float(max_age_s)), F.col("decision_ts"),
+    hits = within_seconds(points, bars.select("ticker", "ts", "period_minutes", *values), ["ticker"], F.col("decision_ts") - F.lit(float(max_age_s)), F.col("decision_ts"),
                           "ts", max(1, int(max_age_s)))
-    return hits.groupBy("ticker", "decision_ts").agg(
-        F.max("ts").alias("bar_ts"), *[F.max_by(v, "ts").alias(v) for v in values])
+    best = hits.groupBy("ticker", "decision_ts").agg(F.max(F.struct("ts", "period_minutes", *values)).alias("_bar"))
+    return best.select("ticker", "decision_ts", F.col("_bar.ts").alias("bar_ts"), *[F.col(f"_bar.{v}").alias(v) for v in values])
 
 
-def first_touch(orders: DataFrame, bars: DataFrame, salts: int = SALTS) -> DataFrame:
+def first_touch(orders: DataFrame, bars: DataFrame, block_s: int = BLOCK_S) -> DataFrame:
     """First later bar whose trade prints cross a resting order.
 
     A buy (``yes``) is touched by ``price_low <= quote``, a sell by ``price_high >= quote``; an
     unknown print touches nothing. Returns ``ticker, decision_ts, side, quote_price, fill_ts``.
+
+    Bars are reduced to one row per ticker and block of ``block_s`` seconds, with the least low and
+    greatest high. An order looks its first crossing block up among those after its own, and then
+    meets the bars of two blocks only: that one, and its own, where earlier bars may have made the
+    extremes.
     """
-    crossed = (
-        ((F.col("side") == "yes") & (F.col("price_low") <= F.col("quote_price")))
-        | ((F.col("side") == "no") & (F.col("price_high") >= F.col("quote_price")))
-    )
+    def crosses(low: str, high: str) -> Column:
+        return ((F.col("side") == "yes") & (F.col(low) <= F.col("quote_price"))) | ((F.col("side") == "no") & (F.col(high) >= F.col("quote_price")))
+
     keys = ["ticker", "decision_ts", "side", "quote_price"]
-    orders = orders.select(*keys).distinct()
-    hits = _with_bars(orders, bars.select("ticker", "ts", "price_low", "price_high"),
-                      (F.col("ts") > F.col("decision_ts")) & crossed, salts)
+    block = F.floor(F.col("ts") / F.lit(block_s)).cast("bigint")
+    bars = bars.select("ticker", "ts", "price_low", "price_high").withColumn("_block", block)
+    index = bars.groupBy("ticker", "_block").agg(F.min("price_low").alias("_least"), F.max("price_high").alias("_most"))
+    orders = orders.select(*keys).distinct().withColumn("_own", F.floor(F.col("decision_ts") / F.lit(block_s)).cast("bigint"))
+    later = (F.col("_block") > F.col("_own")) & crosses("_least", "_most")
+    first = orders.join(index, "ticker").groupBy(*keys, "_own").agg(F.min(F.when(later, F.col("_block"))).alias("_first"))
+    # stored: two rows an order, so that their size is known when the join with the bars is planned
+    asked = materialize(first.select(*keys, F.explode(F.array_compact(F.array("_own", "_first"))).alias("_block")), "asked")
+    hits = bars.join(asked, ["ticker", "_block"]).where((F.col("ts") > F.col("decision_ts")) & crosses("price_low", "price_high"))
     return hits.groupBy(*keys).agg(F.min("ts").alias("fill_ts"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.prices import (MAKER_FEE_TYPE, known, maker_fee, maker_quote,
                                        settle_payout, settle_stake)
 from tapeline.operators.dedup import keep_first, keep_last
-from tapeline.operators.joins import SALTS, first_touch, latest_bar
+from tapeline.operators.joins import BLOCK_S, first_touch, latest_bar
 from tapeline.session import materialize
 
 
@@ -28,7 +28,7 @@ class ReplayParams:
     # again. Set this to charge it once.
     fee_per_contract: bool = False
     period_minutes: int | None = None  # None mixes all granularities of a ticker
-    salts: int = SALTS
+    block_s: int = BLOCK_S  # of the index that first touches are looked up in
 
 
 META = ["occasion", "speaker", "format", "resolution_risk"]
@@ -81,7 +81,7 @@ def signal(p: ReplayParams, band_lo: Column | float | None = None,
     return F.coalesce(ok, F.lit(False))
 
 
-def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int) -> DataFrame:
+def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, block_s: int) -> DataFrame:
     """Priced rows with the first touch of their own resting quote.
 
     A market may have several predictions of one time; each row meets its own side and quote.
@@ -91,7 +91,7 @@ def with_fill_time(rows: DataFrame, bars: DataFrame, wanted: Column, salts: int)
         F.col("_quote").alias("quote_price"))
     bars = bars.select("ticker", "ts", known(F.col("price_low")).alias("price_low"),
                        known(F.col("price_high")).alias("price_high"))
-    touched = first_touch(orders, bars, salts).select(
+    touched = first_touch(orders, bars, block_s).select(
         F.col("ticker").alias("market_ticker"), "decision_ts", F.col("side").alias("_side"),
         F.col("quote_price").alias("_quote"), F.col("fill_ts").alias("_touch"))
     return rows.join(touched, ["market_ticker", "decision_ts", "_side", "_quote"], "left")
@@ -159,7 +159,7 @@ def replay(preds: DataFrame, bars: DataFrame, registry: DataFrame,
     """One row per prediction with its market price, trade, fill and result (M7)."""
     # one row per prediction, read by both sides of the next step; without it bars are read again
     rows = materialize(priced(with_meta(preds, registry, list(registry_order)), bars, params), "priced")
-    rows = with_fill_time(rows, bars, signal(params), params.salts)
+    rows = with_fill_time(rows, bars, signal(params), params.block_s)
     return settled(with_fee_flag(rows, fee_types), signal(params), params).select(*REPLAY_COLUMNS)
 
 
@@ -176,7 +176,7 @@ def sweep(preds: DataFrame, bars: DataFrame, registry: DataFrame,
     """
     loosest = signal(params, F.lit(min(band_los)), F.lit(min(thetas)))
     rows = priced(with_meta(preds, registry, list(registry_order)), bars, params).filter(loosest)
-    rows = with_fee_flag(with_fill_time(materialize(rows, "priced"), bars, F.lit(True), params.salts), fee_types)
+    rows = with_fee_flag(with_fill_time(materialize(rows, "priced"), bars, F.lit(True), params.block_s), fee_types)
     rows = settled(rows, F.lit(True), params)
 
     def passed(values: list[float], passes) -> Column:

@@ -89,12 +89,12 @@ def test_replay_matches(spark, seed, contracts, split, fees):
         assert r["resolution_risk"] == ((first.get(t) or (0,) * 6)[4] or "low") and r["format"] == ((first.get(t) or (0,) * 6)[3] or "other")
 
 
-def test_salted_lookups_equal_plain_ones(spark):
+def test_block_lookups_equal_plain_ones(spark):
     bars, preds, _ = adversarial(5)
     b, pts = spark.createDataFrame(bars, BARS), spark.createDataFrame(preds, PREDS).selectExpr("market_ticker ticker", "decision_ts")
     orders = pts.filter("decision_ts is not null").selectExpr("ticker", "decision_ts", "'yes' side", "0.3D quote_price")
-    both = [sorted(map(str, joins.first_touch(orders, b, salts=n).collect())) for n in (1, 4)]
-    assert both[0] == both[1]
+    both = [sorted(map(str, joins.first_touch(orders, b, block_s=n).collect())) for n in (1, 40, 10**9)]
+    assert both[0] == both[1] == both[2]
 
 
 def test_sweep_equals_single_replays(spark):
