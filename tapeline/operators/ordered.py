@@ -124,6 +124,23 @@ def running_sum(df: DataFrame, o: Ordering, **values: Column) -> DataFrame:
     return scan(df, o, total=values)
 
 
+def clamped_sum(df: DataFrame, o: Ordering, value: str, name: str) -> DataFrame:
+    """Add the running total of ``value`` that starts again from zero wherever it falls below.
+
+    It is the plain running total less its least prefix, if that is negative. A chunk hands on its
+    sum and its least prefix; pairs of these compose, so chunks are scanned apart.
+    """
+    before = o.chunks().rowsBetween(Window.unboundedPreceding, -1)
+    upto = o.window().rowsBetween(Window.unboundedPreceding, 0)
+    inside = materialize(df.withColumn("_in", F.sum(value).over(upto)), "inside")
+    inside = inside.withColumn("_low", F.min("_in").over(upto))
+    edges = inside.groupBy(*o.group).agg(F.sum(value).alias("_sum"), F.min("_in").alias("_least"))
+    edges = edges.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    edges = edges.withColumn("_past", F.min(F.col("_base") + F.col("_least")).over(before)).drop("_sum", "_least")
+    total, least = F.col("_base") + F.col("_in"), F.least(F.col("_past"), F.col("_base") + F.col("_low"), F.lit(0.0))
+    return inside.join(edges, o.group).withColumn(name, total - least).drop("_in", "_low", "_base", "_past")
+
+
 def islands(df: DataFrame, o: Ordering, starts: Column, name: str = "island") -> DataFrame:
     """Number the islands of each key: a row where ``starts`` holds opens a new one.
 

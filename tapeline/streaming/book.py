@@ -70,8 +70,8 @@ class _Rebuild(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["seq", "recv_utc"], kind="stable")
-        books = {s: {k[0]: v[0] for k, v in m.iterator()} for s, m in self.maps.items()}
-        out = []
+        kept = {s: {k[0]: v[0] for k, v in m.iterator()} for s, m in self.maps.items()}
+        books, out = {s: dict(b) for s, b in kept.items()}, []
         for f in batch.to_dict("records"):
             if f["snapshot"]:
                 books = {s: {x["price"]: x["count"] for x in f[s]} for s in books}
@@ -83,10 +83,12 @@ class _Rebuild(StatefulProcessor):
             (b1, db1), (b2, db2) = _top(books["yes"])
             (n1, dn1), (n2, dn2) = _top(books["no"])
             out.append((key[0], f["recv_utc"], f["seq"], b1, _ask(n1), db1, dn1, b2, _ask(n2), db2, dn2))
-        for s, m in self.maps.items():
-            m.clear()
+        for s, m in self.maps.items():  # levels that are as they were are not written again
+            for price in kept[s].keys() - books[s].keys():
+                m.removeKey((price,))
             for price, count in books[s].items():
-                m.updateValue((price,), (count,))
+                if kept[s].get(price) != count:
+                    m.updateValue((price,), (count,))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:

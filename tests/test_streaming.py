@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from tapeline.operators import levels
 from tapeline.operators.bars import bucket_bars
 from tapeline.plans import stream_queries, views
 from tapeline.streaming import bars, book, capture, commits
@@ -72,6 +75,43 @@ def test_book_rebuild(spark, tmp_path):
     assert (out[7].yes_bid, out[7].yes_ask) == (0.20, None)
 
 
+def plain_book(frames):
+    """Top two levels of both sides after each (ticker, recv, seq, snapshot, yes, no, side, price, delta)."""
+    out, books = [], {}
+    for ticker, recv, seq, snapshot, yes, no, side, price, delta in sorted(frames, key=lambda f: (f[0], f[2])):
+        both = books.setdefault(ticker, {"yes": {}, "no": {}})
+        if snapshot:
+            both["yes"], both["no"] = dict(yes), dict(no)
+        elif side in both and price is not None and delta is not None:
+            both[side][price] = both[side].get(price, 0.0) + delta
+            if both[side][price] <= 0:
+                del both[side][price]
+        (b1, d1), (b2, d2) = (sorted(both["yes"].items(), reverse=True) + [(None, None)] * 2)[:2]
+        (n1, m1), (n2, m2) = (sorted(both["no"].items(), reverse=True) + [(None, None)] * 2)[:2]
+        ask = lambda p: None if p is None else round(1 - p, 4)
+        out.append((ticker, recv, seq, b1, ask(n1), d1, m1, b2, ask(n2), d2, m2))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window,chunk", [(2, 3), (64, 16), (1, 1)])
+def test_batch_rebuild_equals_plain_book(spark, monkeypatch, window, chunk):
+    """Levels that fall below zero and come back, snapshots inside windows, one market with most frames."""
+    monkeypatch.setattr(levels, "FRAMES_PER_CHUNK", chunk)
+    rng, frames = random.Random(window), []
+    for i in range(700):
+        ticker = "HOT" if rng.random() < 0.8 else rng.choice("AB")
+        prices = [round(0.01 * rng.randint(1, 12), 2) for _ in range(4)]
+        snapshot = rng.random() < 0.03
+        frames.append((ticker, T0 + i // 3, i, snapshot, {p: float(rng.randint(1, 9)) for p in prices[:2]} if snapshot else {}, {p: 4.0 for p in prices[2:]} if snapshot else {},
+                       rng.choice(["yes", "no", "up", None]), rng.choice(prices + [None]), rng.choice([None, *map(float, range(-9, 10))])))
+    rows = [(*f[:4], [{"price": p, "count": n} for p, n in f[4].items()], [{"price": p, "count": n} for p, n in f[5].items()], *f[6:]) for f in frames]
+    side = "array<struct<price:double,count:double>>"
+    df = spark.createDataFrame(rows, f"ticker string, recv_utc bigint, seq bigint, snapshot boolean, yes {side}, no {side}, side string, price double, delta double").repartition(5)
+    out = levels.rebuild(df, window)
+    assert sorted(map(tuple, out.collect()), key=str) == plain_book(frames)
+    assert "Python" not in out._jdf.queryExecution().toString() and levels.rebuild(df.limit(0), window).collect() == []
+
+
 def test_watch_and_its_batch_twins(spark, tmp_path):
     lim = capture.CaptureLimits(min_capture_s=120, max_capture_s=100_000, quiet_s=200, blind_s=90, move_threshold=0.08)
     words = [(1, T0 + t, None, None) for t in range(0, 400, 20)]
