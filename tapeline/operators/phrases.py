@@ -46,7 +46,7 @@ def ngram_matches(words: DataFrame, token: Column, vocab_tokens: DataFrame) -> D
     start with votes from all places of one list is a match. Only voting words are shuffled, by
     their start, so neither long transcripts nor common words gather in one task. ``word_idx``
     must be gap-free (see ``trim_tape``). A vocabulary with ``occasion_id`` applies to that
-    occasion only.
+    occasion only. ``n_tokens`` is the length of the shortest list that matches there.
     """
     own = ["occasion_id"] if "occasion_id" in vocab_tokens.columns else []
     w = words.select("occasion_id", "word_idx", "t_start_utc", token.alias("token"))
@@ -56,21 +56,27 @@ def ngram_matches(words: DataFrame, token: Column, vocab_tokens: DataFrame) -> D
         # at most one entry per token of the phrase
         F.collect_list(F.struct("alias", "n")).alias("votes"),
         F.min(F.when(F.col("pos") == 0, F.col("t_start_utc"))).alias("t_start_utc"))
-    whole = F.exists("votes", lambda v: F.size(F.filter("votes", lambda o: o["alias"] == v["alias"])) == v["n"])
-    return starts.filter(whole).select("occasion_id", "market_ticker", "phrase",
-                                       F.col("start").alias("word_idx"), "t_start_utc")
+    whole = F.filter("votes", lambda v: F.size(F.filter("votes", lambda o: o["alias"] == v["alias"])) == v["n"])
+    n = F.array_min(F.transform(whole, lambda v: v["n"]))
+    return starts.withColumn("n_tokens", n).filter("n_tokens IS NOT NULL").select(
+        "occasion_id", "market_ticker", "phrase", F.col("start").alias("word_idx"), "t_start_utc", "n_tokens")
 
 
-def reprice_matches(words: DataFrame, vocab: DataFrame, stem_aliases: bool = False) -> DataFrame:
-    """Matches under the reprice token rules: words are stemmed, aliases by option only."""
+def measured_matches(words: DataFrame, vocab: DataFrame, stem_aliases: bool = False) -> DataFrame:
+    """Matches under the reprice token rules, with their lengths: words are stemmed, aliases by option only."""
     lists = text.alias_tokens(F.col("phrase"), stem_aliases)
     return ngram_matches(words, text.stem(text.reprice_token(F.col("word"))), token_lists(vocab, lists))
 
 
+def reprice_matches(words: DataFrame, vocab: DataFrame, stem_aliases: bool = False) -> DataFrame:
+    """Matches under the reprice token rules."""
+    return measured_matches(words, vocab, stem_aliases).drop("n_tokens")
+
+
 def qa_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Matches of the surface forms under the QA token rules."""
     lists = F.transform(text.surface_forms(F.col("phrase")), lambda f: F.split(f, " "))
-    return ngram_matches(words, text.qa_token(F.col("word")), token_lists(vocab, lists))
+    return ngram_matches(words, text.qa_token(F.col("word")), token_lists(vocab, lists)).drop("n_tokens")
 
 
 def mention_events(matches: DataFrame, gap_s: float) -> DataFrame:

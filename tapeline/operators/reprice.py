@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.prices import DEPTH_EPS, known, mid_by_price
 from tapeline.operators.dedup import dedup_ticks
 from tapeline.operators.joins import asof_backward, within_seconds
+from tapeline.operators.ordered import Ordering, running_sum
 from tapeline.session import materialize
 
 MOVE_CHUNK_S = 6 * 3600
@@ -181,21 +182,29 @@ def mentions_near(moves: DataFrame, words: DataFrame, matches: DataFrame, window
                   pad: int = 3) -> DataFrame:
     """Phrase matches around each move.
 
-    The words spoken within the window, padded by a few words, are a range of positions per
-    occasion; matches that start in it are reported. ``moves``: ticker, t_event, ...; ``matches``
-    as from ``reprice_matches``.
+    A move looks two positions up in every transcript: its first word not before ``t_event -
+    window_s`` and its first not before ``t_event + window_s``. The words between them, ``pad`` more
+    on both sides, are its slice, so there is one even where no word falls in the window; matches
+    that lie wholly inside the slice are reported. Both lookups ride one time line per transcript.
+    ``moves``: ticker, t_event, ..., the few that ``top_moves`` picks; ``words`` have gap-free
+    positions in order of time; ``matches`` as from ``measured_matches``.
     """
-    spans = within_seconds(
-        moves.select("ticker", "t_event"), words.select("occasion_id", "word_idx", "t_start_utc"), [],
-        F.col("t_event") - window_s, F.col("t_event") + window_s - 1, "t_start_utc", 2 * window_s,
-    ).groupBy("ticker", "t_event", "occasion_id").agg(
-        (F.min("word_idx") - pad).alias("_lo"), (F.max("word_idx") + pad).alias("_hi"))
+    events = moves.select("ticker", "t_event").distinct().agg(F.collect_set(F.struct("ticker", "t_event")).alias("events"))
+    asked = words.select("occasion_id").distinct().withColumn("_e", F.explode(events.scalar())).select("occasion_id", "_e.ticker", "_e.t_event")
+    asks = asked.select("occasion_id", F.explode(F.array(F.lit(-window_s), F.lit(window_s))).alias("_off"), F.struct("ticker", "t_event").alias("_e")).select(
+        "occasion_id", (F.col("_e.t_event") + F.col("_off")).cast("double").alias("_t"), F.lit(0).alias("_word"), F.lit(-1).cast("bigint").alias("_idx"), "_off", "_e")
+    line = words.select("occasion_id", F.col("t_start_utc").cast("double").alias("_t"), F.lit(1).alias("_word"), F.col("word_idx").cast("bigint").alias("_idx"),
+                        F.lit(None).cast("int").alias("_off"), F.lit(None).cast(asks.schema["_e"].dataType).alias("_e")).unionByName(asks)
+    # words of the asked second itself come after the question
+    order = Ordering(("occasion_id",), ("_t", "_word", "_idx"), "_chunk")
+    found = running_sum(line.withColumn("_chunk", F.floor(F.col("_t") / F.lit(3600))), order, _n=F.col("_word")).where("_word = 0")
+    spans = found.groupBy("_e.ticker", "_e.t_event", "occasion_id").agg(
+        F.greatest(F.lit(0), F.min(F.when(F.col("_off") < 0, F.col("_n"))) - pad).alias("_lo"), (F.max(F.when(F.col("_off") > 0, F.col("_n"))) + pad).alias("_hi"))
     # positions are joined in chunks, as times are
     size = 1024
-    copied = spans.withColumn("_c", F.explode(F.sequence(
-        F.floor(F.greatest(F.col("_lo"), F.lit(0)) / size), F.floor(F.col("_hi") / size))))
-    m = matches.select("occasion_id", "market_ticker", "phrase", "word_idx", "t_start_utc",
-                       F.floor(F.col("word_idx") / size).alias("_c"))
-    return copied.join(m, ["occasion_id", "_c"]).filter(F.col("word_idx").between(F.col("_lo"), F.col("_hi"))).select(
+    copied = spans.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
+    m = matches.select("occasion_id", "market_ticker", "phrase", "word_idx", "t_start_utc", "n_tokens", F.floor(F.col("word_idx") / size).alias("_c"))
+    inside = (F.col("word_idx") >= F.col("_lo")) & (F.col("word_idx") + F.col("n_tokens") <= F.col("_hi"))
+    return copied.join(m, ["occasion_id", "_c"]).filter(inside).select(
         "ticker", "t_event", "occasion_id", "market_ticker", "phrase", "word_idx", "t_start_utc",
         (F.col("t_start_utc") - F.col("t_event")).alias("dt_s"))

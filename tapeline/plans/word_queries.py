@@ -400,15 +400,18 @@ def calibration_lags(spark, sf_dir):
     return reprice.lag_stats(found).withColumn("pct_negative", F.round("pct_negative", 9))
 
 
+_MEASURED = REPRICE_HITS.replace("SELECT DISTINCT occasion_id, market_ticker, phrase, word_idx, t_start_utc", "SELECT occasion_id, market_ticker, phrase, word_idx, t_start_utc, min(len(ts)) AS n") + " GROUP BY ALL"
+
+
 @query("moves_near_mentions", sql("""
     SELECT s.ticker, s.t_event, s.occasion_id, h.market_ticker, h.phrase, h.word_idx, h.t_start_utc, h.t_start_utc - s.t_event AS dt_s
-    FROM (SELECT ticker, t_event, occasion_id, min(word_idx) - 3 AS lo, max(word_idx) + 3 AS hi
-          FROM top JOIN words ON t_start_utc >= t_event - 120 AND t_start_utc < t_event + 120 GROUP BY ALL) s
-    JOIN hits h ON h.occasion_id = s.occasion_id AND h.word_idx BETWEEN lo AND hi""", "words", "specs", "ticks",
-    **TOP_CTES, hits=REPRICE_HITS))
+    FROM (SELECT ticker, t_event, occasion_id, count(*) FILTER (t_start_utc < t_event - 120) AS lo, count(*) FILTER (t_start_utc < t_event + 120) AS hi
+          FROM (SELECT DISTINCT ticker, t_event FROM top), words GROUP BY ALL) s
+    JOIN hits h ON h.occasion_id = s.occasion_id AND h.word_idx >= lo - 3 AND h.word_idx + n <= hi + 3""", "words", "specs", "ticks",
+    **{**TOP_CTES, "hits": _MEASURED}))
 def moves_near_mentions(spark, sf_dir):
     w = views.words(spark, sf_dir)
-    return reprice.mentions_near(_top(spark, sf_dir), w, phrases.reprice_matches(w, views.specs(spark)))
+    return reprice.mentions_near(_top(spark, sf_dir), w, phrases.measured_matches(w, views.specs(spark)))
 
 
 @query("bar_jumps_vs_hits", sql("""
