@@ -56,6 +56,16 @@ def dedup_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.dropDuplicates(["ticker", "recv_utc", "seq"])
 
 
+def dedup_tick_stream(ticks: DataFrame, delay_s: int) -> DataFrame:
+    """One tick per (ticker, recv_utc, seq) of a stream, copies of other batches included.
+
+    A tick is remembered until the watermark, ``delay_s`` behind the latest, has passed it by as
+    much; copies may land so much later, and the state stays as small as such a span of ticks.
+    """
+    timed = ticks.withColumn("_time", F.timestamp_seconds("recv_utc")).withWatermark("_time", f"{delay_s} seconds")
+    return timed.dropDuplicatesWithinWatermark(["ticker", "recv_utc", "seq"]).drop("_time")
+
+
 def last_tick_per_second(ticks: DataFrame) -> DataFrame:
     """The last tick of each second by ``seq``."""
     return keep_last(ticks, ["ticker", "recv_utc"], ["seq"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeline import schemas
 from tapeline.operators import calibrate, phrases, universe
-from tapeline.plans import market_queries, views
+from tapeline.plans import market_queries, replay_queries, views
 from tapeline.plans.catalog import query
 from tapeline.plans.sqlviews import sql
 from tapeline.session import shared_dir
@@ -32,6 +32,19 @@ def bars_by_day(spark, sf_dir):
     return spark.read.parquet(path).where("period_minutes = 1440").select("ticker", "ts", "yes_bid_close", "volume")
 
 
+@query("replay_table", sql("SELECT * FROM replayed", "predictions", "candles", "registry", **replay_queries._replay_ctes("test")))
+def replay_table(spark, sf_dir):
+    """The replay's rows, checked by their contract while they are written."""
+    path = tables.save_table(replay_queries.replay_test(spark, sf_dir), shared_dir(spark, "replay"), schemas.REPLAY)
+    return tables.load_table(spark, path, schemas.REPLAY, must_exist=True, check=False)
+
+
+@query("registry_table", sql("SELECT * EXCLUDE (rules_primary) FROM registry_", "registry_"))
+def registry_table(spark, sf_dir):
+    path = tables.save_table(market_queries._registry(spark, sf_dir), shared_dir(spark, "registry"), schemas.REGISTRY)
+    return tables.load_table(spark, path, schemas.REGISTRY, must_exist=True, check=False).drop("rules_primary")
+
+
 @query("missing_table", sql("SELECT ticker, ts, period_minutes, yes_bid_close, yes_ask_close, volume, false AS late FROM candles", "candles"))
 def missing_table(spark, sf_dir):
     """The bars beside those of a table that nobody has written yet: it adds its columns and no rows."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,18 +94,33 @@ class Contract:
             out.append((F.nanvl(c, F.lit(None).cast("double")) if f.type == "double" else c).alias(f.name))
         return df.select(*out)
 
+    def checks(self) -> dict[str, Column]:
+        """Per rule, the number of rows that break it."""
+        rules = {f.name: f.violation() for f in self.fields}
+        return {n: F.count_if(v) for n, v in rules.items() if v is not None}
+
+    def repeated_keys(self, df: DataFrame) -> dict[str, int]:
+        """Keys that repeat; only the key columns are read."""
+        if not self.key:
+            return {}
+        twice = df.groupBy(*self.key).agg(F.count("*").alias("_n")).filter("_n > 1").count()
+        return {"repeated " + ", ".join(self.key): twice} if twice else {}
+
     def violations(self, df: DataFrame) -> dict[str, int]:
         """Rows that break each field's rules, and keys that repeat; one pass each."""
-        rules = {f.name: f.violation() for f in self.fields}
-        checks = [F.count_if(v).alias(n) for n, v in rules.items() if v is not None]
-        found: dict[str, int] = {}
-        if checks:
-            found = {k: v for k, v in df.agg(*checks).first().asDict().items() if v}
-        if self.key:
-            twice = df.groupBy(*self.key).agg(F.count("*").alias("_n")).filter("_n > 1").count()
-            if twice:
-                found["repeated " + ", ".join(self.key)] = twice
-        return found
+        checks = [c.alias(n) for n, c in self.checks().items()]
+        found = {k: v for k, v in df.agg(*checks).first().asDict().items() if v} if checks else {}
+        return found | self.repeated_keys(df)
+
+    def observed(self, df: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+        """The conformed table, and a function that tells the violations its rows had.
+
+        They are counted while an action reads the table, and known once that has ended, so a
+        costly table is computed once to be stored and checked.
+        """
+        seen = Observation()
+        rows = self.conform(df).observe(seen, F.count("*").alias("rows written"), *[c.alias(n) for n, c in self.checks().items()])
+        return rows, lambda: {k: v for k, v in seen.get.items() if v and k != "rows written"}
 
     def validate(self, df: DataFrame) -> DataFrame:
         """The conformed table, or ``ContractError`` with the counts."""

@@ -100,3 +100,13 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` in the place of ``path``, which may exist."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (new, path))
+    fs = target.getFileSystem(conf)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{new} could not take the place of {path}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeline.schemas import TICKS, Contract, require_columns
+from tapeline.schemas import TICKS, Contract, ContractError, require_columns
+from tapeline.session import delete, replace
 
 
 def load_table(spark: SparkSession, path: str, contract: Contract, must_exist: bool = False,
@@ -32,17 +35,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def save_table(df: DataFrame, path: str, contract: Contract, partition_by: list[str] = ()) -> str:
-    """Validate and overwrite a table."""
-    contract.validate(df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def _stored(df: DataFrame, path: str, contract: Contract, partition_by: list[str], extra: dict[str, Column]) -> str:
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows, broken = contract.observed(df)
+    try:
+        rows.withColumns(extra).write.partitionBy(*partition_by).parquet(staging)
+        found = broken() | contract.repeated_keys(spark.read.parquet(staging))
+        if found:
+            raise ContractError(f"{contract.name}: {found}")
+    except BaseException:
+        delete(spark, staging)
+        raise
+    replace(spark, staging, path)
     return path
 
 
+def save_table(df: DataFrame, path: str, contract: Contract, partition_by: list[str] = ()) -> str:
+    """Overwrite a table that keeps its contract.
+
+    The rows are computed once: they go to a folder beside the table while the broken rules are
+    counted as observed metrics; then the keys are counted in what was written. Only a table
+    without violations takes the place of the old one, else ``ContractError`` tells the counts and
+    the old one stays.
+    """
+    return _stored(df, path, contract, list(partition_by), {})
+
+
 def save_bars(df: DataFrame, path: str, contract: Contract) -> str:
-    """Bars laid out by granularity and day, so time windows prune files."""
-    days = contract.validate(df).withColumn("day", F.to_date(F.timestamp_seconds("ts")))
-    days.write.mode("overwrite").partitionBy("period_minutes", "day").parquet(path)
-    return path
+    """Bars laid out by granularity and day, so time windows prune files; checked like any table."""
+    return _stored(df, path, contract, ["period_minutes", "day"], {"day": F.to_date(F.timestamp_seconds("ts"))})
 
 
 def append_ticks(ticks: DataFrame, path: str) -> str:

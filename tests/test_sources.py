@@ -58,6 +58,33 @@ def test_tables_round_trip(spark, tmp_path):
     assert (tmp_path / "bars" / "period_minutes=1" / "day=1970-01-01").exists()
 
 
+def test_a_bad_table_does_not_replace_a_good_one(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    for bad, rule in (([("A", 60, 1, 1.4), ("B", 60, 1, None)], "yes_bid_open"), ([("A", 60, 1, 0.4)] * 2 + [("B", 60, 1, 0.4)], "repeated")):
+        tables.save_table(candle_rows(spark, [("A", 60, 1, 0.5)]), path, schemas.CANDLES)
+        with pytest.raises(schemas.ContractError, match=rule):
+            tables.save_table(candle_rows(spark, bad), path, schemas.CANDLES)
+        assert [r.yes_bid_open for r in tables.load_table(spark, path, schemas.CANDLES).collect()] == [0.5]
+        with pytest.raises(schemas.ContractError):
+            tables.save_bars(candle_rows(spark, bad), str(tmp_path / "days"), schemas.CANDLES)
+    assert [x.name for x in tmp_path.iterdir()] == ["bars"]  # nothing is left beside it
+    tables.save_table(candle_rows(spark, []), path, schemas.CANDLES)
+    assert tables.load_table(spark, path, schemas.CANDLES).count() == 0
+
+
+def test_a_checked_save_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = candle_rows(spark, [("A", 60 * i, 1, 0.4) for i in range(20)])
+    tables.save_table(rows.mapInArrow(touch, rows.schema), str(tmp_path / "bars"), schemas.CANDLES)
+    assert seen.value == 20
+
+
 def test_tape_appends_and_transcripts_replace_one_occasion(spark, tmp_path):
     ticks, words = str(tmp_path / "ticks"), str(tmp_path / "words")
     row = lambda o, s: spark.createDataFrame([(o, "A", 1, s, *[0.5] * 8)], "occasion_id string, " + ", ".join(

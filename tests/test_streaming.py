@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeline.operators import levels
 from tapeline.operators.bars import bucket_bars
+from tapeline.operators.dedup import dedup_tick_stream
 from tapeline.plans import stream_queries, views
 from tapeline.streaming import bars, book, capture, commits
 from tapeline.streaming.run import append_to_table
@@ -36,6 +37,14 @@ def test_late_ticks_never_reach_a_closed_bar(spark, tmp_path):
         (60, 0.4, 0.41, 0.41), (120, 0.42, 0.42, 0.42), (240, 0.5, 0.5, 0.5)]
 
 
+def test_repeated_ticks_of_other_batches(spark, tmp_path):
+    """Copies inside the delay go, in the same batch or a later one; what differs in any key stays."""
+    tick = lambda t, seq, ticker="A": (ticker, T0 + t, seq, 0.4, 0.5, 1.0, 1.0)
+    batches = [[tick(0, 1), tick(0, 1), tick(0, 2)], [tick(0, 1), tick(0, 1, "B"), tick(1, 1)], [tick(40, 3), tick(1, 1)], [tick(40, 3), tick(0, 2), tick(41, 3)]]
+    out = append_to_table(dedup_tick_stream(as_stream(spark, tmp_path, batches, TICKS), 600), "d")
+    assert sorted((r.ticker, r.recv_utc - T0, r.seq) for r in out.collect()) == [("A", 0, 1), ("A", 0, 2), ("A", 1, 1), ("A", 40, 3), ("A", 41, 3), ("B", 0, 1)]
+
+
 def test_silent_buckets_repeat_the_close_pair(spark, tmp_path):
     rows = [("A", T0 + 5, 1, 0.4, None, 1.0, 1.0), ("A", T0 + 250, 2, 0.6, 0.7, 1.0, 1.0), ("B", T0 + 400, 3, 0.1, 0.2, 1.0, 1.0)]
     out = append_to_table(bars.stream_filled_bars(as_stream(spark, tmp_path, [rows], TICKS)), "f").filter("ticker = 'A'").orderBy("ts").collect()

@@ -82,6 +82,29 @@ def test_matches_of_stemmed_words(spark):
     assert [r.word_idx for r in phrases.reprice_matches(words, vocab, True).filter("market_ticker = 'M3'").collect()] == [3]
 
 
+@pytest.mark.parametrize("t,window", [(1005, 2), (1005, 4), (1003, 1), (500, 10), (5000, 10)])
+def test_matches_around_a_move(spark, t, window):
+    """Matches end inside the slice; a move before the first or after the last word has one too."""
+    words = tape(spark, "cat x x dog x cat x x big dog x".split())
+    vocab = spark.createDataFrame([("M", "cat / dog / big dog")], "market_ticker string, phrase string")
+    vocab_pair = spark.createDataFrame([("M", "cat / big dog"), ("N", "x dog x")], "market_ticker string, phrase string")
+    moves = spark.createDataFrame([("T", t)], "ticker string, t_event bigint")
+
+    def by_hand(v):
+        tokens, times = [r.word for r in words.orderBy("word_idx").collect()], [r.t_start_utc for r in words.orderBy("word_idx").collect()]
+        lo, hi = max(0, sum(x < t - window for x in times) - 3), sum(x < t + window for x in times) + 3
+        out = set()
+        for r in v.collect():
+            for alias in r.phrase.split(" / "):
+                a = alias.split()
+                out |= {(r.market_ticker, i) for i in range(lo, min(hi, len(tokens)) - len(a) + 1) if tokens[i:i + len(a)] == a}
+        return sorted(out)
+
+    for v in (vocab, vocab_pair):
+        got = reprice.mentions_near(moves, words, phrases.measured_matches(words, v), window)
+        assert sorted((r.market_ticker, r.word_idx) for r in got.collect()) == by_hand(v)
+
+
 def test_event_and_cluster_gaps_differ_at_the_boundary(spark):
     rows = [(1, i, "goal", t, t + 1) for i, t in enumerate([0, 20, 40, 61, 100])]
     words = spark.createDataFrame(rows, WORDS)
