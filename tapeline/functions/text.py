@@ -20,6 +20,18 @@ BROADCAST_TOKENS = ("FTN", "MTP", "FACENATION", "MEETPRESS", "THEVIEW", "FIRSTTA
 BROADCAST_TITLES = ("face the nation", "meet the press", "the view", "first take", "squawk",
                     "cnbc", "espn", "state of play", "nintendo direct", "podcast", "late night")
 
+# Wording of the notes column.
+NOTE_WINDOW_VIDEO = "windowed statement, no canonical video → outlet-miss risk"
+NOTE_WINDOW_SPARSE = "windowed statement, sparse approved sources → high miss risk"
+NOTE_VIDEO = "video/transcript-primary resolution → low approved-outlet-miss risk"
+NOTE_OUTLETS = " approved outlets → low miss risk"
+NOTE_FEW_OUTLETS = ("only ", " approved source(s) → outlet-dependency risk")
+NOTE_NO_SOURCE = "no governing source declared"
+NOTE_UNKNOWN = "unrecognized rule template — needs manual parse; "
+NOTE_VAGUE = ("; +", " ambiguity")
+NOTE_PLURAL = "plural/possessive accepted"
+NOTE_NQE = "qualifying-event-does-not-occur leg (cancellation clause); not a phrase pred"
+
 SPEECH_RULE = (r"^If (.+?) says (.+?) (?:as part of|at) (.+?)"
                r"\s*,?\s*then the market resolves to Yes\.?$")
 EARNINGS_RULE = (r"^If (.+?) is said by any (.+?) representative.*?"

@@ -121,19 +121,19 @@ def resolutions(raw: DataFrame) -> DataFrame:
         F.when((t == "duration") & (n >= 3), "medium").when(t == "duration", "high")
         .when((t == "earnings") | F.col("_video"), "low").when(n >= 5, "low").when(n >= 1, "medium").otherwise("high"))
     why = (
-        F.when((t == "duration") & (n >= 3), "windowed statement, no canonical video → outlet-miss risk")
-        .when(t == "duration", "windowed statement, sparse approved sources → high miss risk")
-        .when((t == "earnings") | F.col("_video"), "video/transcript-primary resolution → low approved-outlet-miss risk")
-        .when(n >= 5, F.concat(n.cast("string"), F.lit(" approved outlets → low miss risk")))
-        .when(n >= 1, F.concat(F.lit("only "), n.cast("string"), F.lit(" approved source(s) → outlet-dependency risk")))
-        .otherwise("no governing source declared"))
+        F.when((t == "duration") & (n >= 3), text.NOTE_WINDOW_VIDEO)
+        .when(t == "duration", text.NOTE_WINDOW_SPARSE)
+        .when((t == "earnings") | F.col("_video"), text.NOTE_VIDEO)
+        .when(n >= 5, F.concat(n.cast("string"), F.lit(text.NOTE_OUTLETS)))
+        .when(n >= 1, F.concat(F.lit(text.NOTE_FEW_OUTLETS[0]), n.cast("string"), F.lit(text.NOTE_FEW_OUTLETS[1])))
+        .otherwise(text.NOTE_NO_SOURCE))
     vague = F.col("_variant").isin("count_threshold", "fuzzy")
     bumped = F.when(~vague, F.col("_risk")).when(F.col("_risk") == "low", "medium").otherwise("high")
     note = F.concat_ws(
         "; ", F.concat(F.lit("template="), t),
-        F.concat(F.when(t == "other", "unrecognized rule template — needs manual parse; ").otherwise(""), why,
-                 F.when(vague, F.concat(F.lit("; +"), F.col("_variant"), F.lit(" ambiguity"))).otherwise("")),
-        F.when(F.col("_plural"), "plural/possessive accepted"))
+        F.concat(F.when(t == "other", text.NOTE_UNKNOWN).otherwise(""), why,
+                 F.when(vague, F.concat(F.lit(text.NOTE_VAGUE[0]), F.col("_variant"), F.lit(text.NOTE_VAGUE[1]))).otherwise("")),
+        F.when(F.col("_plural"), text.NOTE_PLURAL))
     return (
         base.withColumns({"speaker": speaker, "occasion": occasion, "_risk": risk})
         .select(
@@ -141,7 +141,7 @@ def resolutions(raw: DataFrame) -> DataFrame:
             F.when(nqe, "exact").otherwise(F.col("_variant")).alias("variant_rule"), "cutoff_ts", "governing_sources",
             "early_resolution", nqe.alias("cancellation_clause"), nqe.alias("is_nqe"),
             F.when(nqe, "medium").otherwise(bumped).alias("resolution_risk"), confidence.alias("confidence"),
-            F.when(nqe, "qualifying-event-does-not-occur leg (cancellation clause); not a phrase pred")
+            F.when(nqe, text.NOTE_NQE)
             .otherwise(note).alias("notes"))
     )
 
