@@ -160,12 +160,13 @@ def preview(words: DataFrame, n: int = 40) -> DataFrame:
 def sample_windows(words: DataFrame, n_windows: int = 15, length: int = 15, seed: int = 42) -> DataFrame:
     """Seeded random word windows of each occasion.
 
-    Starts are ranked by a hash of seed and position; a tape not longer than a window gives itself.
+    Starts are ranked by the MD5 of seed, occasion and position, so other engines can draw the same
+    windows; a tape not longer than a window gives itself.
     """
     sizes = words.groupBy("occasion_id").agg((F.max("word_idx") + 1).alias("_n"))
     starts = words.select("occasion_id", "word_idx").join(sizes, "occasion_id").filter(
         (F.col("word_idx") < F.col("_n") - length) | ((F.col("_n") <= length) & (F.col("word_idx") == 0)))
-    place = F.row_number().over(Window.partitionBy("occasion_id").orderBy(F.xxhash64(F.lit(seed), "word_idx"), "word_idx"))
+    place = F.row_number().over(Window.partitionBy("occasion_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "occasion_id", "word_idx")), "word_idx"))
     picks = starts.withColumn("_p", place).filter(F.col("_p") <= n_windows).select(
         "occasion_id", F.col("word_idx").alias("start_idx"),
         F.explode(F.sequence("word_idx", F.col("word_idx") + length - 1)).alias("word_idx"))

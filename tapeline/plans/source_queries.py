@@ -151,6 +151,33 @@ def vocab_rows(spark, sf_dir):
     return records.vocabulary_rows(s.select(F.col("s_suppkey").alias("occasion_id"), body.alias("body")))
 
 
+@query("series_list", """
+    SELECT 'KX' || s_suppkey AS ticker, s_name AS title, 'Mentions' AS category, CASE WHEN s_suppkey % 3 = 0 THEN 'quadratic' ELSE 'quadratic_with_maker_fees' END AS fee_type FROM supplier
+    UNION ALL SELECT 'KY' || s_suppkey, s_name, NULL, CASE WHEN s_acctbal < 0 THEN 'flat' END FROM supplier""")
+def series_list(spark, sf_dir):
+    """Two series a payload; missing fields stay NULL."""
+    s = views.table(spark, sf_dir, "supplier")
+
+    def series(ticker, title, category, fee):
+        return F.struct(F.concat(F.lit(ticker), "s_suppkey").alias("ticker"), F.col(title).alias("title"), category.alias("category"), fee.alias("fee_type"))
+
+    fee = F.when(F.col("s_suppkey") % 3 == 0, "quadratic").otherwise("quadratic_with_maker_fees")
+    both = F.array(series("KX", "s_name", F.lit("Mentions"), fee), series("KY", "s_name", F.lit(None).cast("string"), F.when(F.col("s_acctbal") < 0, "flat")))
+    return payloads.series_rows(s.select(F.to_json(F.struct(both.alias("series"))).alias("body")))
+
+
+@query("pinned_videos", """
+    SELECT video_id, coalesce(release_ts, CASE WHEN is_live THEN 900000000 END) AS start_ts
+    FROM (SELECT o_orderkey AS video_id, o_orderstatus = 'O' AS is_live, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) END AS release_ts FROM orders)
+    WHERE coalesce(release_ts, CASE WHEN is_live THEN 900000000 END) >= 800000000""")
+def pinned_videos(spark, sf_dir):
+    """Every order as a pinned video; a third has no start of its own."""
+    o = views.table(spark, sf_dir, "orders")
+    release = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    pinned = o.select(F.col("o_orderkey").alias("video_id"), (F.col("o_orderstatus") == "O").alias("is_live"), F.when(F.col("o_orderkey") % 3 != 0, release).alias("release_ts"))
+    return occasions.resolve_pinned(pinned, 900_000_000, 800_000_000).select("video_id", "start_ts")
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 @query("html_text")

@@ -127,7 +127,12 @@ def previews(spark, sf_dir):
     return transcripts.preview(views.words(spark, sf_dir))
 
 
-@query("sample_windows")
+@query("sample_windows", sql("""
+    SELECT s.occasion_id, start_idx, arg_min(w.t_start_utc, w.word_idx) AS t_start_utc, string_agg(w.word, ' ' ORDER BY w.word_idx) AS text
+    FROM (SELECT occasion_id, word_idx AS start_idx FROM (SELECT *, max(word_idx) OVER (PARTITION BY occasion_id) + 1 AS n FROM words)
+          WHERE word_idx < n - 15 OR (n <= 15 AND word_idx = 0)
+          QUALIFY row_number() OVER (PARTITION BY occasion_id ORDER BY md5('42:' || occasion_id || ':' || word_idx), word_idx) <= 3) s
+    JOIN words w ON w.occasion_id = s.occasion_id AND w.word_idx BETWEEN start_idx AND start_idx + 14 GROUP BY s.occasion_id, start_idx""", "words"))
 def sample_windows(spark, sf_dir):
     return transcripts.sample_windows(views.words(spark, sf_dir), 3, 15)
 
