@@ -201,7 +201,11 @@ def judged(docs: DataFrame, rules: list[Rule], id: str = "doc_id", text: str = "
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the list. Columns are kept."""
+    """The rows of ``docs`` that pass the base rules and the list. Columns are kept.
+
+    Null, empty and blank texts fail the base rules and go; null ids and repeated rows are judged
+    like others, each by its own text. An empty table gives no rows.
+    """
     c = "c"
     while c in docs.columns:
         c = "_" + c

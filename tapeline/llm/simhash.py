@@ -118,7 +118,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Ids that are null come last; of repeated rows with that id one stays. Columns are kept.
+    Ids that are null come last; of repeated rows with that id one stays. Null and blank texts have
+    fingerprint zero and link like any other. An empty table gives no rows. Columns are kept.
     """
     fp, key, least = free_name(docs, "fp"), free_name(docs, "row_key"), free_name(docs, "least")
     prints = materialize(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")

@@ -68,3 +68,15 @@ def test_odd_rows(odd_docs):
     assert kept.columns == odd_docs.columns and kept.count() == rows.where("kept").count()
     assert quality.judged(odd_docs.limit(0), rules).collect() == []
     assert quality.fit(odd_docs, labels.limit(0)) == []
+
+
+def test_held_out_labels(spark):
+    """Rules learned on two thirds of the labels, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = "crc32(cast(doc_id as string)) % 3 = 0"
+    rules = quality.fit(docs, labels.where(f"not {held}"))
+    rows = quality.judged(docs, rules).where("not base_failed").join(labels.where(held), "doc_id").groupBy("quality").agg(
+        {"*": "count", "rule": "count"}).collect()
+    found = {r["quality"]: (r["count(1)"], r["count(rule)"]) for r in rows}
+    print(found)
+    assert found[0][1] > 0.9 * found[0][0] and found[1][1] < 0.01 * found[1][0]
