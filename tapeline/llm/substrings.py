@@ -2,10 +2,10 @@
 
 A window is ``length`` consecutive words. Its anchor is the leftmost least hash among the shorter
 word grams in it, so equal windows have equal anchors at equal places, and the windows with one
-anchor are a run of starts. Anchors are the seeds: documents meet only where they share one. An
-occurrence is extended both ways over its whole run; runs that are equal word for word are
-repeated as a whole. Only where the runs of a seed differ, at the edges of a repeat, are their
-windows compared one by one. The union of all repeated windows is every maximal repeat.
+anchor are a run of starts. Anchors are the seeds: documents meet only where they share one. A
+run reaches both ways from its anchor; runs whose hashes are equal are repeated as a whole. Only
+where the runs of a seed differ, at the edges of a repeat, are their windows grouped one by one, by
+a 64-bit hash. The union of all repeated windows is every maximal repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import add_column, free_name, query, slices, table, utf8, words
-from tapeline.session import materialize
+from tapeline.session import materialize, settled
 
 LENGTH = 35
 SEED_WORDS = 8
@@ -121,7 +121,10 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
 
     ``texts`` has one (key, text) row for each document, copies included.
     """
-    texts = texts.where("text is not null")
+    return settled(lambda: _repeats(texts.where("text is not null"), length, seed), "repeats")
+
+
+def _repeats(texts: DataFrame, length: int, seed: int) -> DataFrame:
     seeds = materialize(all_anchors(texts, length, seed), "anchors")
     # what a join meets is stored first: both sides are then dealt out for it, and a hot key can be split
     shared = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
@@ -137,7 +140,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> D
     place = F.struct("key", "start")
     again = materialize(windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window"), "again")
     single = windows.join(again, "window").select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    return materialize(whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "repeats")
+    return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
 def kept_words(text: bytes | None, runs: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -184,6 +187,8 @@ def without_repeats(docs: DataFrame, text: str = "text", n_chars: str | None = "
     """``docs`` with the repeated words cut from the texts, what stays joined by one space.
 
     Texts without a repeat stay as they are, white space included. ``n_chars`` follows the text.
+    Null texts stay null, texts of nothing but repeats become empty; no row goes. Rows that repeat
+    are repeats of each other. An empty table gives no rows.
     """
     rows, _, runs = _with_runs(docs, text, length, seed)
     cut = free_name(rows, "cut")
