@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeline.llm.common import WORD, free_name, query, table
 from tapeline.session import materialize
@@ -155,14 +156,20 @@ def mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it. Columns are kept."""
+    """The rows of ``docs``, each as often as the mixture takes it. Columns are kept.
+
+    Sizes, targets and draws are those of ``mixture``: null and empty texts are taken no times, a
+    null source is one source. Rows of one id, source and size share their copies in the order of a
+    hash of their simple columns. An empty table gives no rows.
+    """
     sizes = _sizes(docs, id, text, source)
     targets = materialize(source_targets(sizes, weights, share, most), "targets")
     decided = copies(sizes, targets).where("m > 0").select(*[F.col(c).alias(f"_mix_{c}") for c in ("id", "source", "size", "n", "m")])
     size, k, times = (free_name(docs, c) for c in ("mix_size", "mix_k", "mix_times"))
     rows = docs.withColumn(size, size_of(F.col(text)))
     rows = rows.join(decided, F.col(id).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col(size) == F.col("_mix_size")))
-    same = Window.partitionBy(id, source, size).orderBy(F.lit(0))
+    simple = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    same = Window.partitionBy(id, source, size).orderBy(F.xxhash64(*simple))
     rows = rows.withColumn(k, F.when(F.col("_mix_n") > 1, F.row_number().over(same)).otherwise(1)).withColumn(
         times, _part(F.col("_mix_m"), F.col("_mix_n"), F.col(k) - 1)).where(F.col(times) > 0)
     return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
