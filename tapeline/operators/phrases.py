@@ -50,8 +50,14 @@ def ngram_matches(words: DataFrame, token: Column, vocab_tokens: DataFrame) -> D
     """
     own = ["occasion_id"] if "occasion_id" in vocab_tokens.columns else []
     w = words.select("occasion_id", "word_idx", "t_start_utc", token.alias("token"))
-    votes = join_small(w, vocab_tokens, [*own, "token"], ["word_idx"]).withColumn(
-        "start", F.col("word_idx") - F.col("pos"))
+    if own:
+        # words that no phrase has leave first; the vocabulary grows with the occasions, so it is neither
+        # copied per salt nor broadcast
+        tokens = materialize(vocab_tokens.select("token").distinct(), "tokens")
+        met = w.join(tokens, "token", "left_semi").join(vocab_tokens.hint("merge"), ["occasion_id", "token"])
+    else:
+        met = join_small(w, vocab_tokens, ["token"], ["word_idx"])
+    votes = met.withColumn("start", F.col("word_idx") - F.col("pos"))
     starts = votes.groupBy("occasion_id", "market_ticker", "phrase", "start").agg(
         # at most one entry per token of the phrase
         F.collect_list(F.struct("alias", "n")).alias("votes"),
@@ -73,9 +79,10 @@ def reprice_matches(words: DataFrame, vocab: DataFrame, stem_aliases: bool = Fal
     return measured_matches(words, vocab, stem_aliases).drop("n_tokens")
 
 
-def qa_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Matches of the surface forms under the QA token rules."""
-    lists = F.transform(text.surface_forms(F.col("phrase")), lambda f: F.split(f, " "))
+def qa_matches(words: DataFrame, vocab: DataFrame, forms: Column | None = None) -> DataFrame:
+    """Matches of the surface forms (``forms``, where they are at hand) under the QA token rules."""
+    forms = text.surface_forms(F.col("phrase")) if forms is None else forms
+    lists = F.transform(forms, lambda f: F.split(f, " "))
     return ngram_matches(words, text.qa_token(F.col("word")), token_lists(vocab, lists)).drop("n_tokens")
 
 
@@ -120,14 +127,18 @@ def hit_rate(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
     ``vocab``: occasion_id, market_ticker, phrase.
     """
-    hits = qa_matches(words, vocab).groupBy("occasion_id", "market_ticker").agg(
+    # the forms of a phrase are made once, however many occasions track it
+    vocab = materialize(vocab, "vocab")
+    forms = materialize(vocab.select("phrase").distinct().withColumn("_forms", text.surface_forms(F.col("phrase"))), "forms")
+    known = vocab.join(forms, "phrase", "left").select(*vocab.columns, "_forms")
+    hits = qa_matches(words, known, F.col("_forms")).groupBy("occasion_id", "market_ticker").agg(
         F.count("*").alias("n_matches"),
         F.min_by("t_start_utc", "word_idx").alias("t_first_utc"),
         F.max_by("t_start_utc", "word_idx").alias("t_last_utc"))
     return (
-        vocab.join(hits, ["occasion_id", "market_ticker"], "left")
+        known.join(hits, ["occasion_id", "market_ticker"], "left")
         .withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
-        .withColumn("variants_searched", F.array_join(text.surface_forms(F.col("phrase")), "; "))
+        .withColumn("variants_searched", F.array_join("_forms", "; ")).drop("_forms")
     )
 
 

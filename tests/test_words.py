@@ -219,3 +219,22 @@ def test_occurrence_index_uses_the_first_spec(spark):
     got = sorted((r.doc_id, r.phrase_key, r.occurred, r["count"]) for r in phrases.occurrence_index(corpus, specs, ["ord"]).collect())
     assert got == [("d1", "rates", True, 2), ("d1", "rates|>=3", False, 2)]
     assert spark.range(1).select(text.speaker_key(F.lit("Chair Powell"))).first()[0] == "jerome powell"
+
+
+def _plans(monkeypatch, module):
+    """The plans of what a module stores, by name."""
+    seen, real = {}, module.materialize
+
+    def spy(df, name):
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(module, "materialize", spy)
+    return seen
+
+
+def test_a_vocabulary_of_occasions_is_not_copied(spark):
+    """It grows with the occasions: no copies per salt, no broadcast."""
+    vocab = spark.createDataFrame([(1, "M", "goal")], "occasion_id bigint, market_ticker string, phrase string")
+    plan = phrases.qa_matches(tape(spark, ["goal", "x"]), vocab)._jdf.queryExecution().toString()
+    assert "_salt" not in plan and "SortMergeJoin [occasion_id" in plan
