@@ -153,10 +153,10 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
     The label's pattern runs over the space-joined words, but never over a whole transcript: two
     neighbouring words are joined only where a match could span them, and what remains between
     such joints is a text of a few words. ``words``: occasion_id, word_idx, word, t_end_utc.
-    ``anchors``: occasion_id, series_key, label.
+    ``anchors``: occasion_id, series_key, label; they are read twice, so store them if they are costly.
     """
     spec = text.phrase_spec(F.col("label"))
-    a = anchors.withColumn("_s", spec).filter(F.col("_s.pattern").isNotNull())
+    a = anchors.select("label").distinct().withColumn("_s", spec).filter(F.col("_s.pattern").isNotNull())
     terms = F.transform("_s.alternates", lambda t: F.transform(
         F.split(text.squeeze(t), " "), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))))
     pairs = F.flatten(F.transform(terms, lambda t: F.when(F.size(t) > 1, F.zip_with(
@@ -165,25 +165,35 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
     # folded both ways, so that letters with several lower cases stay together
     words_of = F.flatten(F.transform("_s.alternates", lambda t: F.split(F.lower(F.upper(text.squeeze(t))), " ")))
     plain = F.flatten(F.transform("_s.alternates", lambda t: F.split(text.squeeze(t), " ")))
-    a = a.select("occasion_id", "series_key", F.col("_s.pattern").alias("pattern"), F.array_distinct(words_of).alias("needles"),
-                 F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"),
-                 F.array_distinct(F.transform(plain, lambda n: F.regexp_extract(_letters(n), "[a-z]+", 0))).alias("_akeys"))
+    # a label is parsed once, however many occasions ask for it
+    a = materialize(a.select("label", F.col("_s.pattern").alias("pattern"), F.array_distinct(words_of).alias("needles"),
+                             F.when(F.size(pairs) > 0, F.concat(F.lit("(?iu)"), F.array_join(pairs, "|"))).alias("joint"),
+                             F.array_distinct(F.transform(plain, lambda n: F.regexp_extract(_letters(n), "[a-z]+", 0))).alias("_akeys")), "labels")
+    tight, free = a.filter(~F.array_contains("_akeys", "")), a.filter(F.array_contains("_akeys", ""))
     # a match holds the first run of letters of a label's word whole, but for a plural; so words and
-    # anchors meet on those runs, and only then come substring tests and patterns
-    runs = F.regexp_extract_all(_letters(F.col("word")), F.lit("[a-z]+"), F.lit(0))
-    folded = words.select("occasion_id", "word_idx", "word", "t_end_utc", F.lower(F.upper("word")).alias("_folded"))
+    # anchors meet on those runs, and only then come substring tests and patterns. Words with no run
+    # of any label leave before the shuffle.
+    keys = materialize(tight.select("label", F.explode("_akeys").alias("_key")), "keys")
+    words = words.select("occasion_id", "word_idx", "word", "t_end_utc")
+    anchors = anchors.select("occasion_id", "series_key", "label")
+    letters = F.when(F.octet_length("word") == F.length("word"), F.lower("word")).otherwise(_letters(F.col("word")))
+    runs = F.regexp_extract_all(letters, F.lit("[a-z]+"), F.lit(0))
     run = F.col("_run")
     ends = F.when(run.endswith("es"), F.array(run, F.expr("left(_run, length(_run) - 1)"), F.expr("left(_run, length(_run) - 2)"))).when(
         run.endswith("s"), F.array(run, F.expr("left(_run, length(_run) - 1)"))).otherwise(F.array(run))
-    keyed = folded.withColumn("_run", F.explode(runs)).withColumn("_key", F.explode(ends)).join(
-        a.withColumn("_key", F.explode("_akeys")), ["occasion_id", "_key"]).drop("_run")
-    # labels with a word of no letters have no such run
-    loose = join_small(folded, a.filter(F.array_contains("_akeys", "")), ["occasion_id"], ["word_idx"])
+    keyed = words.withColumn("_run", F.explode(runs)).withColumn("_key", F.explode(ends)).drop("_run")
+    keyed = keyed.join(keys.select("_key").distinct(), "_key", "left_semi")
+    # the anchors grow with the occasions, so they are never broadcast
+    met = keyed.join(anchors.join(keys, "label").hint("merge"), ["occasion_id", "_key"]).drop("_key").join(tight, "label")
+    if not free.isEmpty():  # labels with a word of no letters have no such run
+        met = met.unionByName(join_small(words, anchors.join(free, "label"), ["occasion_id"], ["word_idx"]))
+    near = met.filter(F.exists("needles", lambda n: F.contains(F.lower(F.upper("word")), n))).drop("needles", "_akeys", "label")
     # a word may meet an anchor by several runs; the few rows that pass the tests are made distinct
-    met = keyed.filter(~F.array_contains("_akeys", "")).drop("_key").unionByName(loose)
-    near = met.filter(F.exists("needles", lambda n: F.contains("_folded", n))).drop("_folded", "needles", "_akeys").dropDuplicates(
-        ["occasion_id", "series_key", "word_idx"])
-    rows, order = by_position(materialize(near, "near"), ("occasion_id", "series_key"), "word_idx")
+    near = materialize(near.dropDuplicates(["occasion_id", "series_key", "word_idx"]), "near")
+    # no match of a label of single words spans two words
+    within = near.filter("joint IS NULL").withColumn("n", F.expr("size(regexp_extract_all(word, pattern, 0))")).filter("n > 0").select(
+        "occasion_id", "series_key", F.explode(F.array_repeat("t_end_utc", F.col("n"))).alias("t_end_utc"))
+    rows, order = by_position(near.filter("joint IS NOT NULL"), ("occasion_id", "series_key"), "word_idx")
     rows = previous(rows, order, _pi=F.col("word_idx"), _pw=F.col("word"))
     joined = (F.col("_pi") == F.col("word_idx") - 1) & F.expr("concat(_pw, ' ', word) rlike joint")
     pieces = islands(rows, order, ~F.coalesce(joined, F.lit(False)), "piece").groupBy(
@@ -197,12 +207,13 @@ def occurrence_times(words: DataFrame, anchors: DataFrame) -> DataFrame:
         aggregate(arrays_zip(slice(gaps, 1, k), slice(hits, 1, k)), 0, (n, x) -> n + length(x['0']) + length(x['1'])))""")
     starts = F.expr("""transform(sequence(1, size(ws)), k ->
         aggregate(slice(ws, 1, k - 1), 0, (n, w) -> n + length(w.word) + 1))""")
-    return (
+    across = (
         found.withColumns({"ends": ends, "starts": starts})
         .select("occasion_id", "series_key", "ws", "starts", F.explode("ends").alias("end"))
         .select("occasion_id", "series_key",
                 F.expr("ws[size(filter(starts, s -> s <= end - 1)) - 1].t_end_utc").alias("t_end_utc"))
     )
+    return within.unionByName(across)
 
 
 def said_time(times: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -445,7 +445,7 @@ _ANCHOR_LABELS = (("U1", "the"), ("U2", "of / and"), ("U3", "with (3+ times)"),
 
 def _anchors(words):
     rows = F.array(*[F.struct(F.lit(t).alias("series_key"), F.lit(p).alias("label")) for t, p in _ANCHOR_LABELS])
-    return words.select("occasion_id").distinct().select("occasion_id", F.inline(rows))
+    return materialize(words.select("occasion_id").distinct().select("occasion_id", F.inline(rows)), "asked")
 
 
 def _video_words(spark, sf_dir):
@@ -504,7 +504,7 @@ def _alignment(spark, sf_dir):
     crosses = align.first_cross(views.candles(spark, sf_dir), 0.4, (1_705_000_000, 1 << 40))
     offsets = materialize(align.anchor_offsets(said, crosses), "anchors")
     d = F.col("occasion_id")
-    occasions = w.select("occasion_id").distinct().withColumn(
+    occasions = anchors.select("occasion_id").distinct().withColumn(
         "release_start_utc", F.when(d % 3 != 0, 1_705_017_600 + d % 200))
     return w, offsets, align.estimate_alignment(occasions, offsets)
 

@@ -238,3 +238,13 @@ def test_a_vocabulary_of_occasions_is_not_copied(spark):
     vocab = spark.createDataFrame([(1, "M", "goal")], "occasion_id bigint, market_ticker string, phrase string")
     plan = phrases.qa_matches(tape(spark, ["goal", "x"]), vocab)._jdf.queryExecution().toString()
     assert "_salt" not in plan and "SortMergeJoin [occasion_id" in plan
+
+
+def test_words_without_a_key_leave_before_the_shuffle(spark, monkeypatch):
+    plans = _plans(monkeypatch, phrases)
+    words = spark.createDataFrame([(1, i, w, i) for i, w in enumerate("the other of-of thes the's and The".split())],
+                                  "occasion_id bigint, word_idx bigint, word string, t_end_utc bigint")
+    anchors = spark.createDataFrame([(1, "A", "the"), (1, "B", "of / and"), (2, "A", "the")], "occasion_id bigint, series_key string, label string")
+    got = sorted(map(tuple, phrases.occurrence_times(words, anchors).collect()))
+    assert got == [(1, "A", 0), (1, "A", 3), (1, "A", 4), (1, "A", 6), (1, "B", 2), (1, "B", 2), (1, "B", 5)]
+    assert "LeftSemi" in plans["near"] and "strategy=merge" in plans["near"]
