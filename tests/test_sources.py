@@ -198,3 +198,15 @@ def test_pinned_video_falls_back_to_now(spark):
     df = spark.createDataFrame([("a", True, None), ("b", False, None), ("c", False, 50)], "video_id string, is_live boolean, release_ts bigint")
     assert sorted((r.video_id, r.start_ts) for r in occasions.resolve_pinned(df, 900).collect()) == [("a", 900), ("c", 50)]
     assert [r.video_id for r in occasions.resolve_pinned(df, 900, 100).collect()] == ["a"]
+
+
+def test_transcripts_share_folders(spark, tmp_path):
+    """The folders of a table don't grow with its occasions; those left out of a later write stay."""
+    path = str(tmp_path / "many")
+    rows = lambda ids, word: spark.createDataFrame([(str(i), 0, word, 1, 2, "s", None) for i in ids], schemas.TRANSCRIPT.schema)
+    tables.write_transcript(rows(range(300), "old"), path, schemas.TRANSCRIPT)
+    tables.write_transcript(rows(range(0, 300, 3), "new"), path, schemas.TRANSCRIPT)
+    assert len([p for p in (tmp_path / "many").iterdir() if p.is_dir()]) <= tables.BUCKETS
+    got = {r.occasion_id: r.word for r in tables.load_transcript(spark, path, schemas.TRANSCRIPT).collect()}
+    assert got == {str(i): "new" if i % 3 == 0 else "old" for i in range(300)}
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("many")] == ["many"]
