@@ -210,3 +210,8 @@ def test_transcripts_share_folders(spark, tmp_path):
     got = {r.occasion_id: r.word for r in tables.load_transcript(spark, path, schemas.TRANSCRIPT).collect()}
     assert got == {str(i): "new" if i % 3 == 0 else "old" for i in range(300)}
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("many")] == ["many"]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    rows = spark.range(0, 100_000, numPartitions=1)
+    assert tables.spread(rows, 1000).rdd.getNumPartitions() == 100
