@@ -121,6 +121,10 @@ _CAPTIONS = """
     FROM (SELECT *, lead(t_start_ms) OVER (PARTITION BY video_id ORDER BY t_start_ms) AS nxt
           FROM (SELECT video_id, t_start_ms, regexp_replace(word, '^>>+', '') AS word FROM caps) WHERE word <> '')""", caps=_CAPTIONS))
 def captions_json(spark, sf_dir):
+    return _caption_words(spark, sf_dir).drop("word_idx")
+
+
+def _caption_words(spark, sf_dir):
     words = F.filter(F.split("text", views.WORD_SPLIT), lambda t: t != "")
     # two segments per event: a word after a speaker caret, and a cue that is no word
     events = F.transform(words, lambda w, i: F.struct(
@@ -307,7 +311,7 @@ def linked_streams(spark, sf_dir):
     SELECT video_id, CAST(sum(1700000000 + CAST(round_even(t_start_ms / 1000.0, 0) AS BIGINT)) AS BIGINT) AS starts, count(*) AS n
     FROM (SELECT video_id, t_start_ms, regexp_replace(word, '^>>+', '') AS word FROM caps) WHERE word <> '' GROUP BY video_id""", caps=_CAPTIONS))
 def caption_clock(spark, sf_dir):
-    w = captions_json(spark, sf_dir)
+    w = _caption_words(spark, sf_dir)
     return w.groupBy("video_id").agg(F.sum(align.utc_seconds(F.lit(views.TAPE_T0), F.col("t_start_ms"))).alias("starts"), F.count("*").alias("n"))
 
 
@@ -315,4 +319,4 @@ def caption_clock(spark, sf_dir):
     SELECT video_id, word, t_start_ms, row_number() OVER (PARTITION BY video_id ORDER BY t_start_ms) - 1 AS word_idx
     FROM (SELECT video_id, t_start_ms, regexp_replace(word, '^>>+', '') AS word FROM caps) WHERE word <> ''""", caps=_CAPTIONS))
 def video_word_frame(spark, sf_dir):
-    return transcripts.word_frame(captions_json(spark, sf_dir), "video_id", ["t_start_ms"]).select("video_id", "word", "t_start_ms", "word_idx")
+    return _caption_words(spark, sf_dir).select("video_id", "word", "t_start_ms", "word_idx")

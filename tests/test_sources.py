@@ -215,3 +215,10 @@ def test_transcripts_share_folders(spark, tmp_path):
 def test_tasks_grow_with_the_rows(spark):
     rows = spark.range(0, 100_000, numPartitions=1)
     assert tables.spread(rows, 1000).rdd.getNumPartitions() == 100
+
+
+def test_captions_are_numbered_in_order_of_time(spark):
+    body = {"events": [{"tStartMs": 900, "segs": [{"utf8": " >> two "}, {"utf8": " (aside) "}]}, {"tStartMs": 100, "segs": [{"utf8": ">>> one"}, {"utf8": "　[x]\n"}]}]}
+    df = spark.createDataFrame([("v", json.dumps(body))], "video_id string, body string")
+    got = [(r.word_idx, r.word) for r in captions.caption_words(df).orderBy("word_idx").collect()]
+    assert got == [(0, "one"), (1, ">> two")]
