@@ -9,7 +9,7 @@ from tapeline.operators import calibrate, phrases, universe
 from tapeline.plans import market_queries, replay_queries, views
 from tapeline.plans.catalog import query
 from tapeline.plans.sqlviews import sql
-from tapeline.session import shared_dir
+from tapeline.session import materialize, shared_dir
 from tapeline.sources import pages, records, tables
 
 
@@ -114,16 +114,17 @@ def contract_counts(spark, sf_dir):
 def said_by_hook(spark, sf_dir):
     """A caller's own anchor function: the first whole word equal to the anchor."""
     w = views.words(spark, sf_dir).select("occasion_id", "word_idx", "word", "t_end_utc")
-    found = []
-    for key in ("the", "of"):
-        anchors = w.select("occasion_id").distinct().withColumn("series_key", F.lit(key))
+    keys = ("the", "of")
+    anchors = materialize(w.select("occasion_id").distinct().withColumn("series_key", F.explode(F.array(*[F.lit(k) for k in keys]))), "anchors")
 
-        def first(pdf, key=key):
+    def first(key):
+        def said(pdf):
             hit = pdf.loc[pdf["word"] == key, "t_end_utc"]
             return int(hit.min()) if len(hit) else None
 
-        found.append(phrases.said_time_by(w, anchors, first))
-    return found[0].unionByName(found[1])
+        return said
+
+    return phrases.said_time_by(w, anchors, {k: first(k) for k in keys})
 
 
 class _Documents:

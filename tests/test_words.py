@@ -248,3 +248,10 @@ def test_words_without_a_key_leave_before_the_shuffle(spark, monkeypatch):
     got = sorted(map(tuple, phrases.occurrence_times(words, anchors).collect()))
     assert got == [(1, "A", 0), (1, "A", 3), (1, "A", 4), (1, "A", 6), (1, "B", 2), (1, "B", 2), (1, "B", 5)]
     assert "LeftSemi" in plans["near"] and "strategy=merge" in plans["near"]
+
+
+def test_a_function_per_key_sees_each_occasion_whole(spark):
+    words = spark.createDataFrame([(o, i, f"w{i}", o * 100 + i) for o in range(100) for i in (2, 0, 1)], "occasion_id bigint, word_idx bigint, word string, t_end_utc bigint")
+    anchors = spark.createDataFrame([(o, k) for o in range(101) for k in "ab"], "occasion_id bigint, series_key string")
+    out = phrases.said_time_by(words, anchors, {"a": lambda w: int(w.t_end_utc.iloc[0]), "b": lambda w: None if len(w) != 3 else int(w.t_end_utc.iloc[2])})
+    assert {(r.occasion_id, r.series_key): r.said for r in out.collect()} == {(o, k): o * 100 + 2 * (k == "b") for o in range(100) for k in "ab"}
