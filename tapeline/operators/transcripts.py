@@ -73,10 +73,11 @@ def same_start_runs(words: DataFrame, min_run: int = 5) -> DataFrame:
 
 def thanks_clusters(words: DataFrame, max_gap: int = 50) -> DataFrame:
     """Clusters of "thank you" at most ``max_gap`` words apart."""
-    token = qa_token(F.col("word"))
-    rows, order = by_position(words.select("occasion_id", "word_idx", "t_start_utc", token.alias("token")),
-                              ("occasion_id",), "word_idx")
-    rows = rows.filter(F.col("token").isin("thank", "you"))
+    token, low = qa_token(F.col("word")), F.lower("word")
+    # a plain search first, and the few rows that are left are stored, as they are read twice
+    near = words.filter(low.contains("thank") | low.contains("you")).select(
+        "occasion_id", "word_idx", "t_start_utc", token.alias("token")).filter(F.col("token").isin("thank", "you"))
+    rows, order = by_position(materialize(near, "thanks"), ("occasion_id",), "word_idx")
     pairs = following(rows, order, _ni=F.col("word_idx"), _nt=F.col("token")).filter(
         (F.col("token") == "thank") & (F.col("_nt") == "you") & (F.col("_ni") == F.col("word_idx") + 1))
     marked = previous(materialize(pairs, "pairs"), order, _before=F.col("word_idx"))
@@ -177,6 +178,6 @@ def sample_windows(words: DataFrame, n_windows: int = 15, length: int = 15, seed
 
 
 def word_frame(words: DataFrame, video: str, order: list[str]) -> DataFrame:
-    """Timed words with a running index per video."""
+    """Timed words with a running index per video (X40); captions are numbered as they are parsed."""
     rows, o = by_seconds(words, (video,), order[0], *order[1:], seconds=3_600_000)
     return running_sum(rows, o, _n=F.lit(1)).withColumn("word_idx", F.col("_n") - 1).drop("_n", "_chunk")

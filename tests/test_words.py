@@ -255,3 +255,10 @@ def test_a_function_per_key_sees_each_occasion_whole(spark):
     anchors = spark.createDataFrame([(o, k) for o in range(101) for k in "ab"], "occasion_id bigint, series_key string")
     out = phrases.said_time_by(words, anchors, {"a": lambda w: int(w.t_end_utc.iloc[0]), "b": lambda w: None if len(w) != 3 else int(w.t_end_utc.iloc[2])})
     assert {(r.occasion_id, r.series_key): r.said for r in out.collect()} == {(o, k): o * 100 + 2 * (k == "b") for o in range(100) for k in "ab"}
+
+
+def test_thanks_reads_the_words_once(spark, monkeypatch):
+    plans = _plans(monkeypatch, transcripts)
+    got = transcripts.thanks_clusters(tape(spark, ["Thank", "you,", "x", "thank", "YOU!"])).collect()
+    assert [(r.word_idx, r.n) for r in got] == [(0, 2)]
+    assert "thanks" in plans and "ontains" in plans["thanks"]
