@@ -43,12 +43,14 @@ def measure(events: DataFrame, ticks: DataFrame, p: RepriceParams = RepriceParam
     whole seconds and prices lie on a grid, so a crowded second stays small - and mentions of one
     market are a gap apart, so a second falls into few windows.
     """
-    key = ["occasion_id", "market_ticker", "t_word"]
+    # a book's reaction depends on its market and the second alone, which many occasions share
+    key = ["market_ticker", "t_word"]
     events = materialize(events, "mentions")  # few rows from a long scan, read by every branch
-    e = events.select(*key, F.col("market_ticker").alias("ticker"))
+    e = materialize(events.select(*key).distinct().withColumn("ticker", F.col("market_ticker")), "moments")
     t = F.col("t_word")
     span = p.before_s + p.after_s
-    series = ticks.select("ticker", "recv_utc", "seq", "yes_bid", "yes_ask", "depth_bid", "depth_ask", "mid")
+    series = ticks.select("ticker", "recv_utc", "seq", "yes_bid", "yes_ask", "depth_bid", "depth_ask", "mid").join(
+        e.select("ticker").distinct(), "ticker", "left_semi")
 
     pulled = (F.coalesce(F.col("depth_ask") < DEPTH_EPS, F.lit(False)) | F.col("yes_ask").isNull()
               | F.coalesce(F.col("yes_bid") >= F.col("yes_ask"), F.lit(False)))
@@ -87,15 +89,17 @@ def measure(events: DataFrame, ticks: DataFrame, p: RepriceParams = RepriceParam
         at_offset(-1, F.when(F.col("q").isNotNull(), valid)).alias("book_valid_at_word"))
 
     covered = F.col("_has_base") & (F.col("_last") >= t + (p.after_s - 10))
-    return (
-        events.join(last.withColumnRenamed("ticker", "market_ticker"), "market_ticker", "left")
+    measured = (
+        e.drop("ticker").join(last.withColumnRenamed("ticker", "market_ticker"), "market_ticker", "left")
         .join(base.withColumn("_has_base", F.lit(True)), key, "left")
         .join(moved, key, "left").join(states, key, "left")
         .withColumn("lag_s", F.col("t_reprice") - t)
         .withColumn("tick_coverage", F.coalesce(covered, F.lit(False)))
-        .select(*events.columns, "t_reprice", "t_pull", "lag_s", "move_60s", "move_300s", "reprice_move",
+        .select(*key, "t_reprice", "t_pull", "lag_s", "move_60s", "move_300s", "reprice_move",
                 "book_valid_at_word", "tick_coverage")
     )
+    out = events.join(materialize(measured, "measured"), key, "left").withColumn("tick_coverage", F.coalesce("tick_coverage", F.lit(False)))
+    return out.select(*events.columns, *measured.columns[len(key):])
 
 
 def lag_stats(measured: DataFrame, by: list[str] = ()) -> DataFrame:
