@@ -189,21 +189,17 @@ def mentions_near(moves: DataFrame, words: DataFrame, matches: DataFrame, window
     A move looks two positions up in every transcript: its first word not before ``t_event -
     window_s`` and its first not before ``t_event + window_s``. The words between them, ``pad`` more
     on both sides, are its slice, so there is one even where no word falls in the window; matches
-    that lie wholly inside the slice are reported. Both lookups ride one time line per transcript.
+    that lie wholly inside the slice are reported. As few moves are asked for, all positions are counted
+    in one aggregate over the words.
     ``moves``: ticker, t_event, ..., the few that ``top_moves`` picks; ``words`` have gap-free
     positions in order of time; ``matches`` as from ``measured_matches``.
     """
-    events = moves.select("ticker", "t_event").distinct().agg(F.collect_set(F.struct("ticker", "t_event")).alias("events"))
-    asked = words.select("occasion_id").distinct().withColumn("_e", F.explode(events.scalar())).select("occasion_id", "_e.ticker", "_e.t_event")
-    asks = asked.select("occasion_id", F.explode(F.array(F.lit(-window_s), F.lit(window_s))).alias("_off"), F.struct("ticker", "t_event").alias("_e")).select(
-        "occasion_id", (F.col("_e.t_event") + F.col("_off")).cast("double").alias("_t"), F.lit(0).alias("_word"), F.lit(-1).cast("bigint").alias("_idx"), "_off", "_e")
-    line = words.select("occasion_id", F.col("t_start_utc").cast("double").alias("_t"), F.lit(1).alias("_word"), F.col("word_idx").cast("bigint").alias("_idx"),
-                        F.lit(None).cast("int").alias("_off"), F.lit(None).cast(asks.schema["_e"].dataType).alias("_e")).unionByName(asks)
-    # words of the asked second itself come after the question
-    order = Ordering(("occasion_id",), ("_t", "_word", "_idx"), "_chunk")
-    found = running_sum(line.withColumn("_chunk", F.floor(F.col("_t") / F.lit(3600))), order, _n=F.col("_word")).where("_word = 0")
-    spans = found.groupBy("_e.ticker", "_e.t_event", "occasion_id").agg(
-        F.greatest(F.lit(0), F.min(F.when(F.col("_off") < 0, F.col("_n"))) - pad).alias("_lo"), (F.max(F.when(F.col("_off") > 0, F.col("_n"))) + pad).alias("_hi"))
+    events = moves.select("ticker", "t_event").distinct().collect()
+    before = [F.count_if(F.col("t_start_utc") < r.t_event + off) for r in events for off in (-window_s, window_s)]
+    at = words.groupBy("occasion_id").agg(F.array(*before).alias("_n")) if before else words.select("occasion_id", F.array().cast("array<bigint>").alias("_n")).limit(0)
+    asked = F.array(*[F.struct(F.lit(r.ticker).alias("ticker"), F.lit(r.t_event).cast(moves.schema["t_event"].dataType).alias("t_event"), F.greatest(F.lit(0), F.col("_n")[2 * i] - pad).alias("_lo"),
+                               (F.col("_n")[2 * i + 1] + pad).alias("_hi")) for i, r in enumerate(events)])
+    spans = at.select("occasion_id", F.inline(asked)) if events else at.selectExpr("occasion_id", "'' AS ticker", "0L AS t_event", "0L AS _lo", "0L AS _hi")
     # positions are joined in chunks, as times are
     size = 1024
     copied = spans.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
