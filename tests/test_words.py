@@ -262,3 +262,21 @@ def test_thanks_reads_the_words_once(spark, monkeypatch):
     got = transcripts.thanks_clusters(tape(spark, ["Thank", "you,", "x", "thank", "YOU!"])).collect()
     assert [(r.word_idx, r.n) for r in got] == [(0, 2)]
     assert "thanks" in plans and "ontains" in plans["thanks"]
+
+
+def test_positions_of_moves_need_no_order(spark):
+    words = tape(spark, ["goal", "x", "goal"])
+    moves = spark.createDataFrame([("T", 1001)], "ticker string, t_event bigint")
+    vocab = spark.createDataFrame([("M", "goal")], "market_ticker string, phrase string")
+    near = reprice.mentions_near(moves, words, phrases.measured_matches(words, vocab))
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.word_idx for r in near.collect()) == [0, 2]
+
+
+def test_occasions_share_the_reaction_of_a_second(spark, monkeypatch):
+    stored, real = {}, reprice.materialize
+    monkeypatch.setattr(reprice, "materialize", lambda df, name: stored.setdefault(name, real(df, name)))
+    events = spark.createDataFrame([(o, "M", 1000) for o in range(5)], "occasion_id bigint, market_ticker string, t_word bigint")
+    ticks = spark.createDataFrame([("M", 700, 1, 0.2, 0.22, 5.0, 5.0)], "ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double, depth_bid double, depth_ask double")
+    assert reprice.measure(events, reprice.prepare(ticks)).count() == 5
+    assert stored["moments"].count() == 1
