@@ -6,7 +6,10 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -77,6 +80,25 @@ def blind_minutes(quotes: DataFrame, words: DataFrame, occasions: DataFrame,
         F.col("at") - since >= limits.blind_s).select("occasion_id", "at", "span", (F.col("at") - since).alias("silent_s"))
 
 
+def _thinned(observations: DataFrame, period_s: int) -> DataFrame:
+    """The observations that a check can see, of those that Python gets together.
+
+    Of a ticker (or the words) only the last one before a check counts; the first of each period
+    stays too, as it may start the capture.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ts = b.column("ts")
+            at = pc.fill_null(ts, 0).to_numpy()
+            rows = pd.DataFrame({c: pc.dictionary_encode(b.column(c), null_encoding="encode").indices.to_numpy() for c in ("occasion_id", "ticker")})
+            rows["period"] = -((1 - at) // period_s)  # checks come one second after each boundary
+            rows = rows.iloc[np.argsort(at, kind="stable")]
+            needed = ~rows.duplicated(keep="last") | ~rows.duplicated(["occasion_id", "period"], keep="first")
+            yield b.filter(pc.or_(pc.is_null(ts), pa.array(needed.sort_index().to_numpy())))
+
+    return observations.mapInArrow(run, observations.schema)
+
+
 class _Watch(StatefulProcessor):
     """Standing mids and the last word of one occasion, checked after every period boundary."""
 
@@ -87,8 +109,8 @@ class _Watch(StatefulProcessor):
         self.handle = handle
         # small: five minutes of one mid per ticker and check
         self.state = handle.getValueState("watch", "body string")
-        # observations that the watermark has not passed
-        self.pending = handle.getListState("pending", "ts bigint, ticker string, mid double")
+        # observations that the watermark has not passed, those of a micro-batch together
+        self.pending = handle.getListState("pending", "body string")
 
     def _first(self, start: int) -> int:
         return (start // self.limits.period_s + 1) * self.limits.period_s + 1
@@ -115,18 +137,21 @@ class _Watch(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows)
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"stopped": False}
+        batch = [(int(ts), None if pd.isna(t) else t, None if pd.isna(m) else float(m))
+                 for part in rows for ts, t, m in zip(part["ts"], part["ticker"], part["mid"])]
+        s = None if pd.isna(key[0]) else self.state.get()
+        s = json.loads(s[0]) if s else {"stopped": False}
         if not pd.isna(key[0]) and not s["stopped"]:
-            self.pending.appendList([(int(ts), None if pd.isna(t) else t, None if pd.isna(m) else float(m))
-                                     for ts, t, m in zip(batch["ts"], batch["ticker"], batch["mid"])])
-            if "check" not in s:
-                self._timer(self._first(min(r[0] for r in self.pending.get())))
-        yield pd.DataFrame([], columns=["occasion_id", "at", "kind"])
+            self.pending.appendValue((json.dumps(batch),))
+            if "check" not in s:  # until the first check the timer alone tells when it is due
+                first = self._first(min(r[0] for r in batch))
+                if first * 1000 < min(self.handle.listTimers(), default=first * 1000 + 1):
+                    self._timer(first)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto, out = timerValues.getCurrentWatermarkInMs() // 1000, []
-        rows = sorted(self.pending.get() if self.pending.exists() else [], key=lambda r: r[0])
+        rows = sorted((r for (body,) in self.pending.get() for r in json.loads(body)) if self.pending.exists() else [], key=lambda r: r[0])
         if self.state.exists():
             s = json.loads(self.state.get()[0])
         else:
@@ -146,14 +171,15 @@ class _Watch(StatefulProcessor):
             out += self._check(s, s["check"])
             s["check"] += self.limits.period_s
         self.state.update((json.dumps(s),))
-        left = [] if s["stopped"] else [tuple(r) for r in rows[i:]]
+        left = [] if s["stopped"] else rows[i:]
         if left:
-            self.pending.put(left)
+            self.pending.put([(json.dumps(left),)])
         else:
             self.pending.clear()
         if not s["stopped"]:
             self._timer(s["check"])
-        yield pd.DataFrame([(key[0], at, kind) for at, kind in out], columns=["occasion_id", "at", "kind"])
+        if out:
+            yield pd.DataFrame([(key[0], at, kind) for at, kind in out], columns=["occasion_id", "at", "kind"])
 
     def close(self) -> None:
         pass
@@ -166,8 +192,11 @@ def watch(observations: DataFrame, limits: CaptureLimits = CaptureLimits(), dela
     ``ts``; one with a ticker is its standing mid. The first observation starts the capture.
     A check runs when the watermark, ``delay_s`` behind the latest observation of any occasion,
     has passed it, so an occasion that falls silent is stopped too; later rows are dropped. A row
-    without an occasion only moves the watermark.
+    without an occasion only moves the watermark. Observations that no check can see leave before
+    the shuffle; so if the watermark already stands inside the period of an occasion's first rows,
+    the capture may start with a later row of that same period.
     """
-    timed = observations.select("occasion_id", "ts", "ticker", "mid", F.timestamp_seconds("ts").alias("_at"))
+    seen = _thinned(observations.select("occasion_id", "ts", "ticker", "mid"), limits.period_s)
+    timed = seen.withColumn("_at", F.timestamp_seconds("ts"))
     return timed.withWatermark("_at", f"{delay_s} seconds").groupBy("occasion_id").transformWithStateInPandas(
         _Watch(limits), ALERT_SCHEMA, "Append", "EventTime")

@@ -159,6 +159,22 @@ def test_silent_occasions_stop_too(spark, tmp_path):
     assert got == want and {k for _, _, k in want} == {"speech_ended", "max_duration"}
 
 
+def test_rows_that_no_check_sees_leave_before_the_state(spark):
+    """Of the words and of each ticker the last row before a check stays, and the first row of each period."""
+    rng = random.Random(11)
+    rows = [(k, T0 + rng.randrange(600), t, None if rng.random() < 0.1 else float(i)) for i in range(9000) for k in (1, 2) for t in (None, "A", "B")]
+    ddl = "occasion_id bigint, ts bigint, ticker string, mid double"
+    kept = [tuple(r) for r in capture._thinned(spark.createDataFrame(rows, ddl).coalesce(1), 60).collect()]
+    period = lambda r: (r[0], -(-(r[1] - 1) // 60))
+    last, first = {}, {}
+    for part in (rows[i:i + 10_000] for i in range(0, len(rows), 10_000)):
+        for j, r in enumerate(sorted(part, key=lambda r: r[1])):
+            last[(id(part[0]), *period(r), r[2])] = r
+            first.setdefault((id(part[0]), *period(r)), r)
+    assert sorted(set(kept), key=str) == sorted(set(last.values()) | set(first.values()), key=str)
+    assert len(kept) < 1000 < len(rows) / 50
+
+
 def test_watch_reads_the_words(spark):
     """The stops of the registered query are those of the batch rule over the words of the documents."""
     data = "/root/testdata/sf0.001"
