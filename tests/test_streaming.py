@@ -226,6 +226,18 @@ def test_commits_match(spark, tmp_path):
     assert any(c == -1.0 for _, c in want) and any(c is None for _, c in want)
 
 
+def test_passes_do_not_carry_their_document(spark):
+    """All passes of a document are made before the explode, so no row of it holds the whole text."""
+    docs = spark.createDataFrame([(5, "a b c " * 30), (4, " ".join(f"w{i}" for i in range(25))), (3, None), (2, "")], "doc_id bigint, text string")
+    out = stream_queries.hypotheses_of(docs)
+    generate = next(n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in n)
+    assert "hyp" in generate
+    rows = {(r.occasion_id, r.pass_no): r for r in out.collect()}
+    assert sorted(rows) == [(2, 0), *[(4, p) for p in range(3)], *[(5, p) for p in range(10)]]
+    assert [w.word for w in rows[4, 2].hyp] == [f"w{i}" for i in range(23)] + ["w23?", "w24?"]
+    assert [(w.word, w.t_start) for w in rows[5, 4].hyp[:2]] == [("c4", 20 * 0.4), ("a4", 21 * 0.4)]
+
+
 def test_standing_quote_keeps_each_side(spark):
     rows = [("A", T0, 1, 0.4, 0.5, 1.0, None), ("A", T0 + 1, 2, None, 0.6, 2.0, 3.0), ("A", T0 + 1, 3, float("nan"), None, None, None)]
     r = bars.standing_quotes(spark.createDataFrame(rows, TICKS)).first()
