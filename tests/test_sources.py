@@ -6,7 +6,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from __spark_entry__ import queries
 from tapeline import schemas
 from tapeline.operators import occasions, universe
 from tapeline.sources import captions, pages, payloads, records, tables
@@ -112,6 +114,28 @@ RAW = {
 }
 
 
+def test_registry_columns_carry_no_records(spark, tmp_path):
+    """A few columns of the registry are those of the whole one; no rule text goes through an aggregate for them."""
+    def record(sighting, ticker, rules, **more):
+        return {"sighting": sighting, "market": {**RAW["market"], "ticker": ticker, "rules_primary": rules, **more}, "event": RAW["event"]}
+
+    rules = RAW["market"]["rules_primary"]
+    rows = [record(1, "A", "later"), record(0, "A", rules, result="yes"), record(0, "B", "other"), record(0, "C", rules, mve_collection_ticker="M"),
+            record(1, "C", rules), record(0, "", rules), record(0, None, rules), record(2, "D", rules, result="no")]
+    raw = spark.createDataFrame([(json.dumps(r),) for r in rows], "body string").select(
+        F.from_json("body", T.StructType([T.StructField("sighting", T.LongType()), *universe.RAW_SCHEMA.fields])).alias("r")).select("r.*")
+    kept = universe.without_parlays(raw, ["sighting"])
+    whole = universe.build_registry(universe.catalog(kept), universe.resolutions(kept))
+    for columns in (["market_ticker"], ["format", "eligible", "result", "speaker"], ["market_ticker", "governing_sources", "n_candles"], universe.REVIEW_COLUMNS):
+        got = universe.registry_columns(raw, ["sighting"], columns)
+        assert got.columns == columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*columns).collect())), columns
+    for name in ("market_filters",):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        aggregates = [line for line in plan.splitlines() if "Aggregate [" in line]
+        assert aggregates and not [line for line in aggregates if "rules_primary" in line or "market#" in line], name
+
+
 def test_records_to_registry_and_review(spark, tmp_path):
     raw_path = tmp_path / "raw.jsonl"
     nqe = {"market": {"ticker": "KXQ-B", "yes_sub_title": "Event does not qualify", "rules_primary": "x"}, "event": {"event_ticker": "E"}}
