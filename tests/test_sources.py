@@ -130,7 +130,7 @@ def test_registry_columns_carry_no_records(spark, tmp_path):
         got = universe.registry_columns(raw, ["sighting"], columns)
         assert got.columns == columns
         assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*columns).collect())), columns
-    for name in ("market_filters",):
+    for name in ("market_filters", "profile_counts"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         aggregates = [line for line in plan.splitlines() if "Aggregate [" in line]
         assert aggregates and not [line for line in aggregates if "rules_primary" in line or "market#" in line], name
