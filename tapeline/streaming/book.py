@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from tapeline.functions import prices
 TICK_SCHEMA = ("ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double, depth_bid double, "
                "depth_ask double, yes_bid2 double, yes_ask2 double, depth_bid2 double, depth_ask2 double")
 _COLUMNS = [c.split()[0] for c in TICK_SCHEMA.split(", ")]
+#: Tickers that share a bucket are handed to Python together: what it costs to call it is paid per bucket and micro-batch.
+BUCKETS = 2048
+_FRAME = ["snapshot", "yes_price", "yes_count", "no_price", "no_count", "side", "price", "delta"]
 
 
 def _dollars(price: Column) -> Column:
@@ -63,33 +67,46 @@ def _ask(price: float | None) -> float | None:
 
 
 class _Rebuild(StatefulProcessor):
-    """Two price maps per ticker; one top-of-book row per frame."""
+    """The books of a bucket of tickers, one state entry each; one top-of-book row per frame."""
 
     def init(self, handle) -> None:
-        self.maps = {s: handle.getMapState(s, "price double", "count double") for s in ("yes", "no")}
+        self.books = handle.getMapState("books", "ticker string", "yes_price array<double>, yes_count array<double>, no_price array<double>, no_count array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["seq", "recv_utc"], kind="stable")
-        kept = {s: {k[0]: v[0] for k, v in m.iterator()} for s, m in self.maps.items()}
-        books, out = {s: dict(b) for s, b in kept.items()}, []
-        for f in batch.to_dict("records"):
-            if f["snapshot"]:
-                books = {s: {x["price"]: x["count"] for x in f[s]} for s in books}
-            elif f["side"] in books and pd.notna(f["price"]) and pd.notna(f["delta"]):
-                book = books[f["side"]]
-                book[f["price"]] = book.get(f["price"], 0.0) + f["delta"]
-                if book[f["price"]] <= 0:
-                    del book[f["price"]]
-            (b1, db1), (b2, db2) = _top(books["yes"])
-            (n1, dn1), (n2, dn2) = _top(books["no"])
-            out.append((key[0], f["recv_utc"], f["seq"], b1, _ask(n1), db1, dn1, b2, _ask(n2), db2, dn2))
-        for s, m in self.maps.items():  # levels that are as they were are not written again
-            for price in kept[s].keys() - books[s].keys():
-                m.removeKey((price,))
-            for price, count in books[s].items():
-                if kept[s].get(price) != count:
-                    m.updateValue((price,), (count,))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+        codes, tickers = pd.factorize(batch["ticker"])
+        order = np.lexsort((batch["recv_utc"].to_numpy(), batch["seq"].to_numpy(), codes))
+        batch, out = batch.iloc[order], []
+        ends = np.cumsum(np.bincount(codes)).tolist()
+        values = list(zip(*(batch[c].tolist() for c in _FRAME)))
+        for ticker, lo, hi in zip(tickers, [0, *ends], ends):
+            out += self._tops(ticker, values[lo:hi])
+        yield pd.DataFrame({**{c: batch[c].to_numpy() for c in _COLUMNS[:3]}, **dict(zip(_COLUMNS[3:], zip(*out)))}, columns=_COLUMNS)
+
+    def _tops(self, ticker: str, frames: list[tuple]) -> list[tuple]:
+        """Apply a ticker's frames, in order, to its book."""
+        kept = self.books.getValue((ticker,)) or ((),) * 4
+        kept = {"yes": dict(zip(kept[0], kept[1])), "no": dict(zip(kept[2], kept[3]))}
+        books = {s: dict(b) for s, b in kept.items()}
+        tops, out = {s: _top(b) for s, b in books.items()}, []
+        for snapshot, yp, yn, np_, nn, side, price, delta in frames:
+            if snapshot:
+                books = {"yes": dict(zip(yp, yn)), "no": dict(zip(np_, nn))}
+                tops = {s: _top(b) for s, b in books.items()}
+            elif side in books and price == price and delta == delta:  # neither is missing
+                book = books[side]
+                count = book.get(price, 0.0) + delta
+                if count > 0:
+                    book[price] = count
+                else:
+                    book.pop(price, None)
+                tops[side] = _top(book)
+            ((b1, db1), (b2, db2)), ((n1, dn1), (n2, dn2)) = tops["yes"], tops["no"]
+            out.append((b1, _ask(n1), db1, dn1, b2, _ask(n2), db2, dn2))
+        if books != kept:
+            self.books.updateValue((ticker,), tuple(list(v) for b in (books["yes"], books["no"]) for v in (b.keys(), b.values())))
+        return out
 
     def close(self) -> None:
         pass
@@ -101,5 +118,9 @@ def rebuild(book_frames: DataFrame) -> DataFrame:
     A snapshot replaces both sides, a delta changes one level, and a level at or below zero is
     gone. Frames of a ticker are applied in ``seq`` order inside a micro-batch, whose size the
     source's rate limit bounds; across batches the state carries the book.
+    Tickers are handed to Python by buckets; a checkpoint of the earlier layout, keyed by ticker, can't be continued.
     """
-    return book_frames.groupBy("ticker").transformWithStateInPandas(_Rebuild(), TICK_SCHEMA, "Append", "None")
+    # plain arrays reach Python much faster than arrays of rows
+    plain = [F.col(s)[f].alias(f"{s}_{f}") for s in ("yes", "no") for f in ("price", "count")]
+    flat = book_frames.select(F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).alias("_bucket"), "ticker", "recv_utc", "seq", "snapshot", *plain, "side", "price", "delta")
+    return flat.groupBy("_bucket").transformWithStateInPandas(_Rebuild(), TICK_SCHEMA, "Append", "None")

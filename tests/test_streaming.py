@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -242,3 +243,35 @@ def test_standing_quote_keeps_each_side(spark):
     rows = [("A", T0, 1, 0.4, 0.5, 1.0, None), ("A", T0 + 1, 2, None, 0.6, 2.0, 3.0), ("A", T0 + 1, 3, float("nan"), None, None, None)]
     r = bars.standing_quotes(spark.createDataFrame(rows, TICKS)).first()
     assert tuple(r) == ("A", 0.4, 0.6, 2.0, 3.0)
+
+
+def test_tickers_of_a_bucket_keep_their_books():
+    """One call takes the frames of several tickers in any order; each has one state entry, written where it changed."""
+    state, writes = {}, []
+
+    class Entries:
+        def getValue(self, key):
+            return state.get(key)
+
+        def updateValue(self, key, value):
+            writes.append(key)
+            state[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Entries()
+
+    def frame(ticker, seq, snapshot=False, yes=(), side=None, price=float("nan"), delta=float("nan")):
+        return dict(ticker=ticker, recv_utc=100 + seq, seq=seq, snapshot=snapshot, yes_price=[p for p, _ in yes], yes_count=[n for _, n in yes],
+                    no_price=[], no_count=[], side=side, price=price, delta=delta)
+
+    def rows(*frames):
+        got, = p.handleInputRows((0,), iter([pd.DataFrame([f]) for f in frames]), None)
+        return [(r.ticker, r.seq, r.yes_bid, r.depth_bid) for r in got.itertuples()]
+
+    p = book._Rebuild()
+    p.init(Handle())
+    first = rows(frame("B", 2, side="yes", price=0.5, delta=3.0), frame("A", 1, True, [(0.4, 7.0)]), frame("B", 1, True, [(0.3, 2.0)]))
+    assert sorted(first) == [("A", 1, 0.4, 7.0), ("B", 1, 0.3, 2.0), ("B", 2, 0.5, 3.0)] and sorted(writes) == [("A",), ("B",)]
+    second = rows(frame("A", 2, side="no", price=float("nan"), delta=1.0), frame("B", 3, side="yes", price=0.5, delta=-3.0))
+    assert sorted(second) == [("A", 2, 0.4, 7.0), ("B", 3, 0.3, 2.0)] and writes[2:] == [("B",)]
