@@ -86,7 +86,8 @@ def links(fps: DataFrame, limit: int) -> DataFrame:
     keyed = variants(fps, limit)
     left, right = (keyed.select("bit", "key", F.col("fp").alias(n)) for n in "ab")
     differs = F.col("a").bitwiseXOR(F.col("b"))
-    return left.join(right, ["bit", "key"]).where(
+    # Spark sizes the keyed rows as if each fingerprint had one, so left alone it broadcasts some millions of them
+    return left.hint("merge").join(right, ["bit", "key"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(differs) <= limit) & _first_meeting(F.col("bit"), differs, limit)).select("a", "b")
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 import xxhash
 from conftest_llm import DATA, by_hand_components
+from pyspark.sql import functions as F
 
 from tapeline.llm import simhash
 from tapeline.llm.graph import components
@@ -69,6 +70,13 @@ def test_each_link_once(spark):
         assert got == sorted((a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= limit)
 
 
+def test_keyed_rows_are_not_broadcast(spark, tmp_path):
+    """A stored table of fingerprints is small enough for a broadcast, its 64 keyed rows each are not."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/fps"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (5, 4), (7, 7)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(29, 100)], []])
 def test_components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
