@@ -69,10 +69,12 @@ def tape_append(spark, sf_dir):
     SELECT occasion_id, word_idx, CASE WHEN occasion_id % 3 = 0 THEN word || '!' ELSE word END AS word, t_start_utc FROM words""", "words"))
 def transcript_replace(spark, sf_dir):
     """All words of all occasions, then a third of the occasions again, whole and changed."""
-    w = views.words(spark, sf_dir).select(*[F.col(c) for c in schemas.TRANSCRIPT.columns])
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # a document's words go to one folder, so the texts are dealt out instead of the words
+    w = views.words_of(tables.dealt_by_occasion(docs, F.col("doc_id"))).select(*[F.col(c) for c in schemas.TRANSCRIPT.columns])
     path = shared_dir(spark, "transcripts")
-    tables.write_transcript(w, path, schemas.TRANSCRIPT)
-    tables.write_transcript(w.where(F.col("occasion_id") % 3 == 0).withColumn("word", F.concat("word", F.lit("!"))), path, schemas.TRANSCRIPT)
+    tables.write_transcript(w, path, schemas.TRANSCRIPT, dealt=True)
+    tables.write_transcript(w.where(F.col("occasion_id") % 3 == 0).withColumn("word", F.concat("word", F.lit("!"))), path, schemas.TRANSCRIPT, dealt=True)
     rows = tables.load_transcript(spark, path, schemas.LIVE_TRANSCRIPT)
     return rows.select(F.col("occasion_id").cast("bigint").alias("occasion_id"), "word_idx", "word", "t_start_utc")
 

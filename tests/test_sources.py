@@ -236,6 +236,22 @@ def test_transcripts_share_folders(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("many")] == ["many"]
 
 
+def test_transcripts_take_no_shuffle_of_words(spark, tmp_path):
+    """Of words made of dealt-out documents none is shuffled, nor any that a later write keeps; a folder can be new."""
+    from tapeline.plans import views
+
+    docs = spark.createDataFrame([(i, "en", "some words of one occasion " * 200) for i in range(40)], "doc_id bigint, lang string, text string")
+    w = views.words_of(tables.dealt_by_occasion(docs, F.col("doc_id"))).select(*schemas.TRANSCRIPT.columns)
+    path, tracker = str(tmp_path / "dealt"), spark.sparkContext._jsc.sc().statusStore()
+    rows = lambda: sum(s.shuffleWriteRecords() for s in (lambda l: [l.apply(i) for i in range(l.size())])(tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = rows()
+    tables.write_transcript(w.where("occasion_id < 30"), path, schemas.TRANSCRIPT, dealt=True)
+    tables.write_transcript(w.where("occasion_id >= 20").withColumn("word", F.lit("new")), path, schemas.TRANSCRIPT, dealt=True)
+    assert rows() - before < 2000
+    got = tables.load_transcript(spark, path, schemas.TRANSCRIPT).groupBy("occasion_id").agg(F.count("*").alias("n"), F.max("word").alias("w")).collect()
+    assert {(r.occasion_id, r.n, r.w) for r in got} == {(str(i), 1000, "new" if i >= 20 else "words") for i in range(40)}
+
+
 def test_tasks_grow_with_the_rows(spark):
     rows = spark.range(0, 100_000, numPartitions=1)
     assert tables.spread(rows, 1000).rdd.getNumPartitions() == 100
