@@ -87,10 +87,24 @@ def utc_seconds(start: Column, ms: Column) -> Column:
     return start + F.bround(ms / 1000.0).cast("bigint")
 
 
-def to_utc_transcript(words: DataFrame, alignment: DataFrame, source: str) -> DataFrame:
-    """Transcript rows of the occasions that have a clock."""
+def clocked(rows: DataFrame, alignment: DataFrame, occasion: str = "occasion_id") -> DataFrame:
+    """``rows`` of the occasions that have a clock, with its start: words, or what words are made of."""
+    clock = alignment.filter(F.col("video_start_utc").isNotNull()).select(F.col("occasion_id").alias(occasion), "video_start_utc")
+    return rows.join(clock, occasion)
+
+
+def on_clock(words: DataFrame, source: str) -> DataFrame:
+    """Transcript rows of words that carry the start of their clock."""
     start = F.col("video_start_utc")
-    return words.join(alignment.filter(start.isNotNull()).select("occasion_id", "video_start_utc"), "occasion_id").select(
+    return words.select(
         "occasion_id", "word_idx", "word", utc_seconds(start, F.col("t_start_ms")).alias("t_start_utc"),
         utc_seconds(start, F.col("t_end_ms")).alias("t_end_utc"), F.lit(source).alias("source"),
         F.lit(None).cast("double").alias("asr_conf"))
+
+
+def to_utc_transcript(words: DataFrame, alignment: DataFrame, source: str) -> DataFrame:
+    """Transcript rows of the occasions that have a clock.
+
+    The words themselves are joined; where they are made of fewer rows, ``clocked`` takes those.
+    """
+    return on_clock(clocked(words, alignment), source)

@@ -450,9 +450,13 @@ def _anchors(words):
 
 def _video_words(spark, sf_dir):
     """The word view on video-relative milliseconds."""
-    return views.words(spark, sf_dir).select(
+    return _on_video(views.words(spark, sf_dir))
+
+
+def _on_video(words, *carried):
+    return words.select(
         "occasion_id", "word_idx", "word",
-        (F.col("word_idx") * 400).alias("t_start_ms"), (F.col("word_idx") * 400 + 350).alias("t_end_ms"))
+        (F.col("word_idx") * 400).alias("t_start_ms"), (F.col("word_idx") * 400 + 350).alias("t_end_ms"), *carried)
 
 
 # Matches on the view's words: an alternate with letters on neither side, plural or possessive.
@@ -529,5 +533,7 @@ def anchor_residuals(spark, sf_dir):
            CAST(NULL AS DOUBLE) AS asr_conf
     FROM words JOIN aligned_ USING (occasion_id) WHERE video_start_utc IS NOT NULL""", "words", "candles", **_ALIGN))
 def word_frame(spark, sf_dir):
-    w, _, alignment = _alignment(spark, sf_dir)
-    return align.to_utc_transcript(w, alignment, "captions")
+    _, _, alignment = _alignment(spark, sf_dir)
+    # the documents meet their clocks, as their words are many more bytes
+    docs = align.clocked(views.documents(spark, sf_dir).select("doc_id", "lang", "text"), alignment, "doc_id")
+    return align.on_clock(_on_video(views.words_of(docs, "video_start_utc"), "video_start_utc"), "captions")

@@ -280,3 +280,15 @@ def test_occasions_share_the_reaction_of_a_second(spark, monkeypatch):
     ticks = spark.createDataFrame([("M", 700, 1, 0.2, 0.22, 5.0, 5.0)], "ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double, depth_bid double, depth_ask double")
     assert reprice.measure(events, reprice.prepare(ticks)).count() == 5
     assert stored["moments"].count() == 1
+
+
+def test_clocks_meet_documents(spark):
+    """The clocks of word_frame are joined to documents; their words, many more bytes, meet no join."""
+    from tapeline.plans import word_queries
+
+    plan = word_queries.word_frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate posexplode") < plan.index("Join Inner")
+    words = spark.createDataFrame([(1, 0, "a", 400, 750), (1, 1, "b", 1500, 2500), (2, 0, "c", 0, 350)], "occasion_id long, word_idx long, word string, t_start_ms long, t_end_ms long")
+    clocks = spark.createDataFrame([(1, 100), (2, None)], "occasion_id long, video_start_utc long")
+    assert [tuple(r) for r in align.to_utc_transcript(words, clocks, "s").orderBy("word_idx").collect()] == [
+        (1, 0, "a", 100, 101, "s", None), (1, 1, "b", 102, 102, "s", None)]
