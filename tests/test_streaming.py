@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -14,7 +16,7 @@ from tapeline.operators.bars import bucket_bars
 from tapeline.operators.dedup import dedup_tick_stream
 from tapeline.plans import stream_queries, views
 from tapeline.streaming import bars, book, capture, commits
-from tapeline.streaming.run import append_to_table
+from tapeline.streaming.run import append_to_table, dealt_by_key, landed, state_partitions
 
 TICKS = "ticker string, recv_utc bigint, seq bigint, yes_bid double, yes_ask double, depth_bid double, depth_ask double"
 T0 = 1_800_000_000
@@ -275,3 +277,41 @@ def test_tickers_of_a_bucket_keep_their_books():
     assert sorted(first) == [("A", 1, 0.4, 7.0), ("B", 1, 0.3, 2.0), ("B", 2, 0.5, 3.0)] and sorted(writes) == [("A",), ("B",)]
     second = rows(frame("A", 2, side="no", price=float("nan"), delta=1.0), frame("B", 3, side="yes", price=0.5, delta=-3.0))
     assert sorted(second) == [("A", 2, 0.4, 7.0), ("B", 3, 0.3, 2.0)] and writes[2:] == [("B",)]
+
+
+def test_passes_are_made_where_their_state_is(spark, tmp_path):
+    """Texts are the only rows shuffled before the commits; a micro-batch takes about as many bytes of files as it is told."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(45))) for k in range(12)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    stream = landed(spark, str(tmp_path), "documents", bytes_per_trigger=1).select("doc_id", "text")
+    with state_partitions(spark, 16):
+        query = (commits.commit_words(stream_queries.hypotheses_of(dealt_by_key(stream, "doc_id"))).writeStream.format("noop").outputMode("append")
+                 .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+
+
+def test_state_keeps_no_committed_words():
+    """Of the previous pass only the words after the commit point are kept, as no others are compared again."""
+    kept = []
+
+    class Value:
+        def get(self):
+            return kept[-1] if kept else None
+
+        def update(self, value):
+            kept.append(value)
+
+    processor = commits._Commit(commits.CommitRules())
+    processor.init(type("Handle", (), {"getValueState": lambda *_: Value()})())
+    words = [(f"w{i}", i * 0.4, i * 0.4 + 0.3) for i in range(40)]
+    out = []
+    for p in range(3):
+        hyp = words[max(0, p * 10 - 20):p * 10 + 10]
+        rows = pd.DataFrame({"pass_no": [p], "end_s": [p * 4.0 + 4], "capture_start_utc": [0],
+                             **{c: [np.array([w[k] for w in hyp])] for k, c in enumerate(("words", "starts", "ends"))}})
+        out += [w for d in processor.handleInputRows((1,), iter([rows]), None) for w in d["word"]]
+    assert out == [w[0] for w in words[:20]]
+    assert [w[0] for w in json.loads(kept[-1][0])["prev"]] == [w[0] for w in words[20:30]]
