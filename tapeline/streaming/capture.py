@@ -19,6 +19,8 @@ from tapeline.operators.joins import asof_backward
 from tapeline.operators.ordered import by_seconds, following
 
 ALERT_SCHEMA = "occasion_id bigint, at bigint, kind string"
+#: Occasions reach Python by buckets, as each call costs more than the checks of an occasion.
+BUCKETS = 2048
 
 
 @dataclass(frozen=True)
@@ -100,25 +102,30 @@ def _thinned(observations: DataFrame, period_s: int) -> DataFrame:
 
 
 class _Watch(StatefulProcessor):
-    """Standing mids and the last word of one occasion, checked after every period boundary."""
+    """Standing mids and the last word of each occasion of a bucket, checked after every period boundary."""
 
     def __init__(self, limits: CaptureLimits) -> None:
         self.limits = limits
 
     def init(self, handle) -> None:
         self.handle = handle
-        # small: five minutes of one mid per ticker and check
-        self.state = handle.getValueState("watch", "body string")
+        # small: five minutes of one mid per ticker and check, and when the next check is due
+        self.running = handle.getValueState("watch", "body string")
+        self.stopped = handle.getValueState("stopped", "body string")
         # observations that the watermark has not passed, those of a micro-batch together
         self.pending = handle.getListState("pending", "body string")
 
     def _first(self, start: int) -> int:
         return (start // self.limits.period_s + 1) * self.limits.period_s + 1
 
-    def _timer(self, check: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(check * 1000)
+    def _timer(self, running: dict) -> None:
+        """One timer a bucket, at the first check that is due."""
+        due = [min(s["check"] for s in running.values()) * 1000] if running else []
+        if (before := list(self.handle.listTimers())) != due:
+            for old in before:
+                self.handle.deleteTimer(old)
+            for new in due:
+                self.handle.registerTimer(new)
 
     def _check(self, s: dict, at: int) -> list[tuple[int, str]]:
         lim, out = self.limits, []
@@ -137,27 +144,31 @@ class _Watch(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = [(int(ts), None if pd.isna(t) else t, None if pd.isna(m) else float(m))
-                 for part in rows for ts, t, m in zip(part["ts"], part["ticker"], part["mid"])]
-        s = None if pd.isna(key[0]) else self.state.get()
-        s = json.loads(s[0]) if s else {"stopped": False}
-        if not pd.isna(key[0]) and not s["stopped"]:
+        gone = self.stopped.get()
+        gone = set(json.loads(gone[0])) if gone else set()
+        batch = [(o, int(ts), None if pd.isna(t) else t, None if pd.isna(m) else float(m))
+                 for part in rows for o, ts, t, m in zip(part["occasion"], part["ts"], part["ticker"], part["mid"]) if not pd.isna(o) and o not in gone]
+        if batch:
+            running = self.running.get()
+            running = json.loads(running[0]) if running else {}
+            first: dict[str, int] = {}
+            for o, ts, *_ in batch:
+                first[o] = min(ts, first.get(o, ts))
+            for o, ts in first.items():
+                s = running.setdefault(o, {"check": self._first(ts)})
+                if "start" not in s:  # until the first check the earliest observation tells when it is due
+                    s["check"] = min(s["check"], self._first(ts))
             self.pending.appendValue((json.dumps(batch),))
-            if "check" not in s:  # until the first check the timer alone tells when it is due
-                first = self._first(min(r[0] for r in batch))
-                if first * 1000 < min(self.handle.listTimers(), default=first * 1000 + 1):
-                    self._timer(first)
+            self.running.update((json.dumps(running),))
+            self._timer(running)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, out = timerValues.getCurrentWatermarkInMs() // 1000, []
-        rows = sorted((r for (body,) in self.pending.get() for r in json.loads(body)) if self.pending.exists() else [], key=lambda r: r[0])
-        if self.state.exists():
-            s = json.loads(self.state.get()[0])
-        else:
+    def _run(self, s: dict, rows: list[list], upto: int) -> tuple[dict, list[list], list[tuple[int, str]]]:
+        """All checks of one occasion that are due: its state, the rows that are left, the alerts."""
+        out, i = [], 0
+        if "start" not in s:
             start = rows[0][0]
             s = {"start": start, "occurrence": start, "word": 0, "mids": {}, "hist": {}, "stopped": False, "check": self._first(start)}
-        i = 0
         while not s["stopped"] and s["check"] <= upto:
             while i < len(rows) and rows[i][0] <= s["check"]:
                 ts, ticker, mid = rows[i]
@@ -170,16 +181,36 @@ class _Watch(StatefulProcessor):
                 i += 1
             out += self._check(s, s["check"])
             s["check"] += self.limits.period_s
-        self.state.update((json.dumps(s),))
-        left = [] if s["stopped"] else rows[i:]
+        return s, rows[i:], out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto, waiting = timerValues.getCurrentWatermarkInMs() // 1000, {}
+        for (body,) in self.pending.get() if self.pending.exists() else []:
+            for o, *r in json.loads(body):
+                waiting.setdefault(o, []).append(r)
+        running, ended, left, out = json.loads(self.running.get()[0]), [], [], []
+        for o, s in list(running.items()):
+            rows = sorted(waiting.get(o, []), key=lambda r: r[0])
+            if s["check"] <= upto:
+                s, rows, found = self._run(s, rows, upto)
+                out += [(int(o), at, kind) for at, kind in found]
+            if s.get("stopped"):
+                ended.append(o)
+                del running[o]
+            else:
+                running[o] = s
+                left += [(o, *r) for r in rows]
+        self.running.update((json.dumps(running),))
+        if ended:
+            gone = self.stopped.get()
+            self.stopped.update((json.dumps((json.loads(gone[0]) if gone else []) + ended),))
         if left:
             self.pending.put([(json.dumps(left),)])
         else:
             self.pending.clear()
-        if not s["stopped"]:
-            self._timer(s["check"])
+        self._timer(running)
         if out:
-            yield pd.DataFrame([(key[0], at, kind) for at, kind in out], columns=["occasion_id", "at", "kind"])
+            yield pd.DataFrame(out, columns=["occasion_id", "at", "kind"])
 
     def close(self) -> None:
         pass
@@ -197,6 +228,8 @@ def watch(observations: DataFrame, limits: CaptureLimits = CaptureLimits(), dela
     the capture may start with a later row of that same period.
     """
     seen = _thinned(observations.select("occasion_id", "ts", "ticker", "mid"), limits.period_s)
-    timed = seen.withColumn("_at", F.timestamp_seconds("ts"))
-    return timed.withWatermark("_at", f"{delay_s} seconds").groupBy("occasion_id").transformWithStateInPandas(
+    # as text, for a column of numbers with a null would come to Python as floats
+    timed = seen.select(F.pmod(F.xxhash64("occasion_id"), F.lit(BUCKETS)).alias("bucket"), F.col("occasion_id").cast("string").alias("occasion"),
+                        "ts", "ticker", "mid", F.timestamp_seconds("ts").alias("_at"))
+    return timed.withWatermark("_at", f"{delay_s} seconds").groupBy("bucket").transformWithStateInPandas(
         _Watch(limits), ALERT_SCHEMA, "Append", "EventTime")

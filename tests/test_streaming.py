@@ -315,3 +315,37 @@ def test_state_keeps_no_committed_words():
         out += [w for d in processor.handleInputRows((1,), iter([rows]), None) for w in d["word"]]
     assert out == [w[0] for w in words[:20]]
     assert [w[0] for w in json.loads(kept[-1][0])["prev"]] == [w[0] for w in words[20:30]]
+
+
+def test_occasions_of_a_bucket_share_their_calls():
+    """One call takes the observations of several occasions, one timer runs all checks that are due, a stopped occasion stays stopped."""
+    class Value(list):
+        def get(self):
+            return self[-1] if self else None
+
+        def update(self, value):
+            self.append(value)
+
+    class Rows(list):
+        exists = lambda self: bool(self)
+        get = lambda self: iter(list(self))
+        appendValue = lambda self, value: self.append(value)
+
+        def put(self, values):
+            self[:] = values
+
+    timers = set()
+    handle = type("Handle", (), {"getValueState": lambda *_: Value(), "getListState": lambda *_: Rows(), "listTimers": lambda _: iter(timers),
+                                 "deleteTimer": lambda _, t: timers.discard(t), "registerTimer": lambda _, t: timers.add(t)})()
+    watch = capture._Watch(capture.CaptureLimits(min_capture_s=60, quiet_s=100, max_capture_s=10_000))
+    watch.init(handle)
+    at = lambda s: type("Timer", (), {"getCurrentWatermarkInMs": lambda _: s * 1000})()
+    feed = lambda rows: list(watch.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["occasion", "ts", "ticker", "mid"])]), None))
+    feed([("1", 130, None, None), ("2", 400, None, None), (None, 10, None, None), ("1", 100, None, None)])
+    assert timers == {121_000}
+    assert [d.values.tolist() for d in watch.handleExpiredTimer((0,), at(241), None)] == [[[1, 241, "speech_ended"]]]
+    assert timers == {421_000}
+    feed([("1", 300, None, None), ("2", 430, None, None)])
+    assert timers == {421_000}
+    assert [d.values.tolist() for d in watch.handleExpiredTimer((0,), at(1000), None)] == [[[2, 541, "speech_ended"]]]
+    assert not timers and not watch.pending
